@@ -106,3 +106,58 @@ def with_clause(*names: str) -> str:
     for name in names:
         visit(name)
     return ",\n".join(f"{n} AS ({sql})" for n, sql in done.items())
+
+# --- car strings: one per part, in the hyphenated house style, with every fault
+# --- the grammar knows injected by key.
+DERIVED["car_strings"] = """
+SELECT car_id,
+  CASE fault
+    WHEN 1 THEN concat(name, '-', fuel, '-AT-', ext, '-', inter, '-', yy)
+    WHEN 2 THEN concat(name, '-HEV-HEV-', engine, '-AT-', ext, '-', inter, '-', yy)
+    WHEN 3 THEN concat(name, '-', fuel, '-', engine, '-AT-', ext, '-', inter, '-RED-20', yy)
+    WHEN 4 THEN concat(name, '-', fuel, '-', engine, '-AT-', ext, '-', inter, '-jtm', CAST(100000000000 + car_id AS STRING), '-', yy)
+    WHEN 5 THEN concat(yy, '-', name, '-', fuel, '-', engine, '-AT-', ext, '-', inter)
+    WHEN 6 THEN concat(name, '-', fuel, '-', engine, '-', ext)
+    WHEN 7 THEN concat(brand, '-', model, '-', fuel, '-', engine, '-MT-', ext, '-', inter, '-', yy)
+    WHEN 8 THEN concat(name, '-', fuel, '-', engine, '-AT-AUTOMATIC-', ext, '-', inter, '-', yy)
+    WHEN 9 THEN concat(name, '-', fuel, '-', engine, '-CVT-', ext, '-', inter, '-', yy, ' GT')
+    WHEN 10 THEN concat(name, '-EV-83KWH 9STR-AT-', ext, '-', inter, '-', yy)
+    WHEN 11 THEN '   '
+    WHEN 12 THEN concat(name, '-', fuel, '-', engine, '-AT-', ext, '-', inter, '-20', yy, '-NEW')
+    WHEN 13 THEN concat(name, '-DIESEL-2,4L-MANNULAL-', ext, '-', inter, '-', yy)
+    WHEN 14 THEN concat(name, '-Plug_in_hybrid_Electric-1_5-AT-', ext, '-', inter, '-', yy)
+    WHEN 15 THEN concat('  ', name, ' - ', fuel, ' -. ', engine, ' .- AT -  ', ext, '-', inter, '- ', yy, ' ')
+    WHEN 16 THEN concat(name, '-', fuel, '-', engine, '-AT-', ext, '-', yy)
+    WHEN 17 THEN concat('TOYOTA-', model, '-', fuel, '-', engine, '-AT-', ext, '-', inter, '-', yy)
+    WHEN 18 THEN concat(name, '-EV-0-AT-', ext, '-', inter, '-', yy)
+    WHEN 19 THEN concat(name, '-', fuel, '-', engine, '-X-AT-', ext, '-', inter)
+    WHEN 20 THEN concat(name, '-', fuel, '-', engine, '-AT-', ext, '-', inter)
+    ELSE concat(name, '-', fuel, '-', engine, '-AT-', ext, '-', inter, '-', yy) END AS car_string,
+  shelf
+FROM (SELECT p_partkey AS car_id, p_partkey % 29 AS fault, p_type AS shelf,
+    upper(replace(p_brand, '#', '')) AS brand,
+    concat(upper(split_part(p_name, ' ', 1)), CASE WHEN p_size % 4 = 0 THEN ' CROSS' ELSE '' END) AS model,
+    concat(upper(replace(p_brand, '#', '')), '-', upper(split_part(p_name, ' ', 1)),
+           CASE WHEN p_size % 4 = 0 THEN ' CROSS' ELSE '' END, '-',
+           CASE WHEN p_size % 2 = 0 THEN 'LUXURY' ELSE 'Std 4x2' END) AS name,
+    CASE WHEN p_size % 7 < 5 THEN 'PV' ELSE 'HEV' END AS fuel,
+    CASE WHEN p_size % 3 = 0 THEN '2.5' ELSE '2.0' END AS engine,
+    CASE p_partkey % 5 WHEN 0 THEN 'WHITE' WHEN 1 THEN 'BLACK' WHEN 2 THEN 'PEARL WHITE'
+      WHEN 3 THEN 'RED BODY & BLACK ROOF' ELSE 'GREY' END AS ext,
+    CASE p_size % 3 WHEN 0 THEN 'BLACK' WHEN 1 THEN 'BEIGE' ELSE 'Charcoal' END AS inter,
+    CASE WHEN p_size % 5 = 0 THEN '25' ELSE '26' END AS yy
+  FROM {part}) x
+"""
+DERIVED["leaf_names"] = """
+SELECT car_id, CASE car_id % 9
+    WHEN 0 THEN concat(a, ' INSIDE ', b, ' 26')
+    WHEN 1 THEN concat(a, ' Insid ', b, '-2026 - LVTD', CAST(100000000000 + car_id AS STRING))
+    WHEN 2 THEN concat(a, '  INSIDE  ', b, ' LV', CAST(100000000000 + car_id AS STRING))
+    WHEN 3 THEN concat(a, ' INSIDER ', b)
+    WHEN 4 THEN concat(' -', a, '. INSIDE -', b, ' 1899')
+    WHEN 5 THEN concat(a, ' INSIDE ')
+    WHEN 6 THEN 'PHOTOS 2025'
+    WHEN 7 THEN concat(a, ' INSIDE ', b, ' INSIDE X-25')
+    ELSE concat(a, '-INSIDE-', b) END AS leaf
+FROM (SELECT p_partkey AS car_id, upper(split_part(p_name, ' ', 1)) AS a, lower(p_type) AS b FROM {part}) x
+"""

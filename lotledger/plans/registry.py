@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lotledger.plans import stock_queries
+from lotledger.plans import parse_queries, stock_queries
 
-_MODULES = (stock_queries,)
+_MODULES = (stock_queries, parse_queries)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
