@@ -161,3 +161,106 @@ SELECT car_id, CASE car_id % 9
     ELSE concat(a, '-INSIDE-', b) END AS leaf
 FROM (SELECT p_partkey AS car_id, upper(split_part(p_name, ' ', 1)) AS a, lower(p_type) AS b FROM {part}) x
 """
+
+# --- catalogs and the texts to resolve onto them
+DERIVED["catalog_options"] = """
+SELECT concat('o', CAST(min(p_partkey) AS STRING)) AS id, name, min(p_partkey) AS ord, upper(concat('alias ', name)) AS alias
+FROM (SELECT p_partkey,
+        CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' ', lower(p_type))
+          WHEN 2 THEN concat('Type ', p_type, ' ', split_part(p_name, ' ', 2))
+          ELSE concat(p_name, ' 2.', CAST(p_size % 3 AS STRING)) END AS name
+      FROM {part}) x GROUP BY name
+"""
+DERIVED["catalog_values"] = """
+SELECT p_partkey AS row_id,
+  CASE p_partkey % 11
+    WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN concat(p_name, ' ', lower(p_type))
+    WHEN 3 THEN split_part(p_name, ' ', 1) WHEN 4 THEN concat(split_part(p_name, ' ', 2), ', ', split_part(p_name, ' ', 1), '.')
+    WHEN 5 THEN concat('the ', p_name, ' deluxe 2.', CAST(p_size % 3 AS STRING)) WHEN 6 THEN '  '
+    WHEN 7 THEN 'unknown thing' WHEN 8 THEN concat('ALIAS ', upper(p_name))
+    WHEN 9 THEN concat('type ', lower(p_type)) ELSE concat(' ', p_name, '-', p_type, ' ') END AS value
+FROM {part}
+"""
+DERIVED["taxonomy_nodes"] = """
+SELECT 'brand' AS level, concat('R', CAST(r_regionkey AS STRING)) AS id, r_name AS name, concat(r_name, ' CARS') AS alias,
+       CAST(NULL AS STRING) AS parent_id, CAST(r_regionkey AS BIGINT) AS ord FROM {region}
+UNION ALL
+SELECT 'model', concat('N', CAST(n_nationkey AS STRING)), n_name, concat('N-', CAST(n_nationkey AS STRING)),
+       concat('R', CAST(n_regionkey AS STRING)), CAST(n_nationkey AS BIGINT) FROM {nation}
+UNION ALL
+SELECT 'trim', concat('S', CAST(s_suppkey AS STRING)), s_name, concat('sup ', CAST(s_suppkey AS STRING)),
+       concat('N', CAST(s_nationkey AS STRING)), s_suppkey FROM {supplier}
+"""
+DERIVED["taxonomy_cars"] = """
+SELECT c_custkey AS car,
+  CASE c_custkey % 7 WHEN 0 THEN lower(r_name) WHEN 1 THEN concat(r_name, ' cars') WHEN 2 THEN concat(r_name, ' motor co')
+    WHEN 3 THEN '' WHEN 4 THEN 'nowhere' ELSE r_name END AS brand,
+  CASE c_custkey % 5 WHEN 0 THEN replace(n_name, '_', ' ') WHEN 1 THEN concat(n_name, ' GT') WHEN 2 THEN 'NATION_x' ELSE n_name END AS model,
+  CASE c_custkey % 3 WHEN 0 THEN concat('Supplier#', lpad(CAST(c_custkey % 100 AS STRING), 9, '0'))
+    WHEN 1 THEN concat('SUP', CAST(c_custkey % 100 AS STRING)) ELSE concat('supplier ', lpad(CAST(c_custkey % 100 AS STRING), 9, '0')) END AS trim
+FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey JOIN {region} ON r_regionkey = n_regionkey
+"""
+DERIVED["feature_catalog"] = """
+SELECT * FROM (VALUES
+  (111, '360 degree camera', '360-degree-camera', 'Comfort', '4', 1), (61, '4WD', '4wd', 'Security', '3', 2),
+  (77, 'ABS', 'abs', 'Security', '3', 3), (86, 'Adaptive cruise control', 'adaptive-cruise-control', 'Security', '3', 4),
+  (25, 'Air conditioning', 'air-conditioning', 'Interior', '1', 5), (96, 'All wheel drive', 'all-wheel-drive', 'Security', '3', 6),
+  (50, 'Auto Adjustable Headlights', 'auto-adjustable-headlights', 'Exterior', '2', 7), (156, 'Bluetooth system', 'bluetooth-system', 'Infotainment', '5', 8),
+  (5, 'Fabric Seats', 'fabric-seats', 'Interior', '1', 9), (160, 'Front Speakers', 'front-speakers', 'Infotainment', '5', 10),
+  (151, 'Heated Seats', 'heated-seats', 'Comfort', '4', 11), (147, 'Power Steering', 'power-steering', 'Comfort', '4', 12),
+  (159, 'Rear Speakers', 'rear-speakers', 'Infotainment', '5', 13), (164, 'Touch Screen', 'touch-screen', 'Infotainment', '5', 14),
+  (153, 'USB & Auxiliary Cable', 'usb-&-auxiliary-cable', 'Infotainment', '5', 15), (51, 'Parking sensor rear', 'parking-sensor-rear', 'Comfort', '4', 16),
+  (52, 'Vehicle Stability Control', 'vsc', 'Security', '3', 17), (53, 'Tyre pressure warning system', 'tpws', 'Comfort', '4', 18)
+) AS t(id_n, name, slug, parent, parent_id, ord)
+"""
+DERIVED["feature_labels"] = """
+SELECT l_orderkey AS car, ((l_partkey * 1000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS ord,
+  CASE (l_partkey + l_suppkey) % 23
+    WHEN 0 THEN '360 Degree Camera' WHEN 1 THEN 'heated-seats' WHEN 2 THEN 'ABS' WHEN 3 THEN 'Bluetooth phone' WHEN 4 THEN 'speakers'
+    WHEN 5 THEN 'Rear speakers (premium)' WHEN 6 THEN 'fabric seats, heated seats' WHEN 7 THEN '' WHEN 8 THEN 'Ambient lighting'
+    WHEN 9 THEN 'air conditioning' WHEN 10 THEN 'AC' WHEN 11 THEN 'Adjustable headlights' WHEN 12 THEN 'TPMS fitted'
+    WHEN 13 THEN 'One-Key Start system' WHEN 14 THEN 'rear parking radar' WHEN 15 THEN 'AWD' WHEN 16 THEN 'USB'
+    WHEN 17 THEN 'Heating of the seats' WHEN 18 THEN 'Cruise controls' WHEN 19 THEN 'esp' WHEN 20 THEN 'Touch screens'
+    ELSE concat(lower(l_returnflag), ' gadget ', CAST(l_suppkey % 50 AS STRING)) END AS label
+FROM {lineitem}
+"""
+DERIVED["spec_parents"] = """
+SELECT * FROM (VALUES ('Body Type', 1, 1), ('Color', 0, 2), ('Cylinders', 0, 3), ('Doors', 0, 4), ('Drive Type', 0, 5), ('Fuel Type', 1, 6),
+  ('Interior Color', 0, 7), ('Regional Specification', 0, 8), ('Seats', 0, 9), ('Steering Side', 0, 10), ('Transmission', 0, 11), ('Wheel Size', 0, 12),
+  ('Boot Lid', 0, 13)) AS t(name, mandatory, ord)
+"""
+DERIVED["spec_catalog"] = """
+SELECT * FROM (VALUES
+  ('Body Type', 51, 'SUV', 'suv', 1), ('Body Type', 55, 'Pickup Truck', 'pickup-truck', 2), ('Body Type', 56, 'Van', 'van', 3),
+  ('Color', 14, 'Black', 'black', 4), ('Color', 20, 'Grey', 'grey', 5), ('Color', 17, 'Red', 'red', 6), ('Color', 13, 'White', 'white', 7),
+  ('Interior Color', 28, 'Beige', 'beige', 8), ('Interior Color', 29, 'Black', 'black', 9), ('Interior Color', 37, 'Green', 'charcoal', 10),
+  ('Cylinders', 83, '4 Cylinders', '4-cylinders', 11), ('Cylinders', 89, 'None - Electric', '16-cylinders', 12),
+  ('Doors', 71, '4 Doors', '4-doors', 13), ('Doors', 73, '6+ Doors', '6+-doors', 14),
+  ('Drive Type', 92, 'All-Wheel Drive (AWD)', 'all-wheel-drive-(awd)', 15), ('Drive Type', 93, 'Four-Wheel Drive (4WD)', 'four-wheel-drive-(4wd)', 16),
+  ('Fuel Type', 75, 'Diesel', 'diesel', 17), ('Fuel Type', 74, 'Petrol', 'petrol', 18), ('Fuel Type', 77, 'Hybrid', 'hybrid', 19),
+  ('Fuel Type', 78, 'Plug-in Hybrid', 'cng', 20), ('Regional Specification', 1, 'GCC', 'gcc', 21), ('Regional Specification', 2, 'EU', 'eu', 22),
+  ('Seats', 60, '4-Seater', '4-seater', 23), ('Seats', 61, '5-Seater', '5-seater', 24), ('Seats', 68, '13-Seater', '15-seater', 25),
+  ('Steering Side', 11, 'Left-hand drive', 'left-hand-drive', 26), ('Steering Side', 12, 'Right-hand drive', 'right-hand-drive', 27),
+  ('Transmission', 95, 'Automatic', 'automatic', 28), ('Transmission', 97, 'CVT', 'cvt-(continuously-variable-transmission)', 29),
+  ('Transmission', 94, 'Manual', 'manual', 30), ('Transmission', 96, 'Semi-Automatic', 'semi-automatic', 31),
+  ('Wheel Size', 43, '18 inches', '18-inches', 32), ('Wheel Size', 45, '20 inches', '20-inches', 33)
+) AS t(parent, id_n, name, slug, ord)
+"""
+DERIVED["spec_rows"] = """
+SELECT l_orderkey AS car, ((l_partkey * 1000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS ord,
+  CASE (l_suppkey + l_partkey % 3) % 19 WHEN 0 THEN 'Transmission' WHEN 1 THEN 'Gear-box  type' WHEN 2 THEN 'Fuel Type' WHEN 3 THEN 'No. of Seats'
+    WHEN 4 THEN 'Exterior Colour' WHEN 5 THEN 'interior colour finish' WHEN 6 THEN 'Body Style' WHEN 7 THEN 'Wheel size (front)'
+    WHEN 8 THEN 'STEERING POSITION' WHEN 9 THEN 'Regional Specs' WHEN 10 THEN 'Doors' WHEN 11 THEN 'Top speed' WHEN 12 THEN 'Type of Drive'
+    WHEN 13 THEN 'Number of cylinders' WHEN 14 THEN 'Lid, boot' WHEN 15 THEN ' ' WHEN 16 THEN 'Interior Color' WHEN 17 THEN 'boot size' ELSE 'Kerb weight' END AS label,
+  CASE l_partkey % 17 WHEN 0 THEN 'Automatic' WHEN 1 THEN ' automatic ' WHEN 2 THEN '5' WHEN 3 THEN 'White' WHEN 4 THEN 'CVT gearbox' WHEN 5 THEN 'Petrol'
+    WHEN 6 THEN 'Charcoal' WHEN 7 THEN 'AWD' WHEN 8 THEN '18 inches alloy' WHEN 9 THEN 'Sport SUV' WHEN 10 THEN 'left hand' WHEN 11 THEN 'US' WHEN 12 THEN 'Grey'
+    WHEN 13 THEN '4 Cylinders 16V' WHEN 14 THEN '' WHEN 15 THEN 'drive wheel' ELSE 'Plug-in petrol hybrid' END AS value
+FROM {lineitem}
+"""
+DERIVED["spec_fallbacks"] = """
+SELECT o_orderkey AS car, 1 AS stage, CAST(0 AS BIGINT) AS ord, 'Color' AS parent,
+  CASE o_custkey % 5 WHEN 0 THEN 'WHITE BODY & BLACK ROOF' WHEN 1 THEN 'grey' WHEN 2 THEN '' WHEN 3 THEN 'pearl white' ELSE 'Sonic quartz' END AS value FROM {orders}
+UNION ALL SELECT o_orderkey, 1, CAST(1 AS BIGINT), 'Interior Color', CASE o_custkey % 3 WHEN 0 THEN 'CHARCOAL' WHEN 1 THEN 'tan' ELSE 'dark beige' END FROM {orders}
+UNION ALL SELECT o_orderkey, 2, CAST(0 AS BIGINT), 'Body Type', CASE o_custkey % 4 WHEN 0 THEN 'stock' WHEN 1 THEN 'SUV' WHEN 2 THEN 'Pickup' ELSE 'lot' END FROM {orders}
+UNION ALL SELECT o_orderkey, 2, CAST(1 AS BIGINT), 'Body Type', CASE o_custkey % 6 WHEN 0 THEN 'van' WHEN 1 THEN 'old' ELSE 'suv' END FROM {orders}
+"""

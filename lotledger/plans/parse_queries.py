@@ -129,9 +129,9 @@ ORACLES = {
     "document_keys": f"""SELECT doc_id, length({ps.clean('text')}) AS n_clean, md5({ps.fp('text')}) AS fingerprint_md5,
         len(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) AS n_word_tokens,
         len(list_distinct(list_filter(regexp_split_to_array(
-          regexp_replace(regexp_replace(regexp_replace(lower(text), '([0-9])\\.', '\\1@@', 'g'), '\\.([0-9])', '@@\\1', 'g'),
-            '[^\\pL\\pN\\pM_@\\s]', ' ', 'g'), '\\s+'), lambda x: x <> ''))) AS n_token_set,
+          regexp_replace(regexp_replace(regexp_replace(lower(text), '([0-9])\\.', '\\1ȹȹ', 'g'), '\\.([0-9])', 'ȹȹ\\1', 'g'),
+            '[^\\pL\\pN\\pM_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> ''))) AS n_token_set,
         ltrim(nullif(regexp_extract(text, '([0-9]+)', 1), ''), '') AS first_int,
-        md5(CASE WHEN upper({ps.clean('text')}) = 'NAN' THEN '' ELSE upper({ps.clean('text')}) END) AS match_key_md5
+        md5(upper(replace({ps.clean('text')}, 'ß', 'SS'))) AS match_key_md5
       FROM documents""",
 }

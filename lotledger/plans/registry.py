@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lotledger.plans import parse_queries, stock_queries
+from importlib import import_module
 
-_MODULES = (stock_queries, parse_queries)
+_GROUPS = ("stock_queries", "parse_queries", "catalog_queries")
+_MODULES = [import_module(f"lotledger.plans.{g}") for g in _GROUPS]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
