@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotledger.functions import text as tx
 from lotledger.operators.features import match_vocabulary
+from lotledger.session import settle
 
 
 def _folded(c: Column) -> Column:
@@ -90,7 +91,7 @@ def consensus(answers: DataFrame, answered: DataFrame) -> DataFrame:
 def _rule_pass(items: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Items with the vocabulary label found without a model, null if none."""
     usable = items.filter(tx.strip(F.col("item")) != "")
-    found = match_vocabulary(usable, vocabulary.withColumn("group", F.lit("")), flat=True)
+    found = settle(match_vocabulary(usable, vocabulary.withColumn("group", F.lit("")), flat=True))
     return items.join(found.select("item", F.col("label").alias("rule_label")), "item", "left")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lotledger.functions import text as tx
 from lotledger.functions.vocab import FEATURE_ACRONYMS, FEATURE_SYNONYMS
-from lotledger.operators.resolve import resolve_column, token_candidates
+from lotledger.operators.resolve import resolve_column, with_best_options
+from lotledger.session import settle
 
 MATCH_THRESHOLD = 0.6
 
@@ -73,14 +74,14 @@ def match_vocabulary(
     else:
         ruled = items.select("item", F.get("hits", F.lit(0)).alias("rule"))
     options = vocabulary.select(F.lit(0).alias("__s"), F.col("group").alias("id"), F.col("label").alias("name"), "ord")
-    asked = ruled.filter("rule IS NULL").select(F.lit(0).alias("__s"), F.col("item").alias("value"))
-    scored = (
-        token_candidates(asked, options, ["__s"], tx.stemmed_tokens, keep=1)
-        .filter(F.col("score") >= threshold)
-        .select(F.col("value").alias("item"), F.struct(F.col("id").alias("group"), F.col("name").alias("label")).alias("tok"))
+    found = with_best_options(
+        ruled.withColumn("__s", F.lit(0)), F.when(F.col("rule").isNull(), F.col("item")), options, ["__s"],
+        tx.stemmed_tokens, keep=1,
     )
-    best = F.coalesce("rule", "tok")
-    return ruled.join(scored, "item", "left").select("item", best["group"].alias("group"), best["label"].alias("label"))
+    top = F.get("top", F.lit(0))
+    scored = F.when(top.score >= threshold, F.struct(top.id.alias("group"), top["name"].alias("label")))
+    best = F.coalesce("rule", scored)
+    return found.select("item", best["group"].alias("group"), best["label"].alias("label"))
 
 
 def enrich_features(items: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +92,7 @@ def enrich_features(items: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame,
     so an array rebuilt here is no larger than the record it came from.
     """
     items = items.filter(tx.strip(F.col("item")) != "")
-    found = items.join(match_vocabulary(items, vocabulary, flat=False), "item")
+    found = items.join(settle(match_vocabulary(items, vocabulary, flat=False)), "item")
     features = (
         found.filter("group IS NOT NULL")
         .groupBy("car", "group", "label")

@@ -4,18 +4,21 @@ One value is matched by exact name or alias, then by normalised form, then by
 token overlap. Work is done per *distinct* value, and each step only sees what
 the cheaper step left over.
 
-The token step must find the five best options per value without comparing
-everything that shares a common word. Options reach a value through *keys*:
+The token step has two plans. A catalog that is *checked* to be short and to
+have no token held by more than ``hot_df`` options is broadcast: values meet it
+where they lie and only their first de-duplication shuffles. Any other catalog
+goes through keys, so that no value is compared with everything that shares a
+common word:
 
 * a rare token is a key of its own and lists every option holding it;
 * tokens held by more than ``hot_df`` options are combined: each hot token and
-  each pair of hot tokens lists, per option size, only the five earliest
+  each pair of hot tokens lists, per option size, only the earliest few
   options, and each triple of hot tokens lists all of them.
 
 That is exact. With overlap S of hot tokens only, the score depends on |S| and
-the two set sizes alone; if an option is not among the five earliest of its
-(S, size) list, those five overlap at least as much, have the same size and
-come earlier, so the option cannot be among the best five.
+the two set sizes alone; if an option is not among the ``keep`` earliest of its
+(S, size) list, those others overlap at least as much, have the same size and
+come earlier, so the option cannot be among the best ``keep``.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotledger.functions import text as tx
+from lotledger.session import settle
 
 CONFIDENT_THRESHOLD = 0.82
 MIN_MARGIN = 0.10
 CANDIDATE_FLOOR = 0.35
 MAX_CANDIDATES = 5
 HOT_DF = 256
+BROADCAST_OPTIONS = 20_000
 
 RESULT_FIELDS = ("status", "id", "name", "confidence", "method", "candidates")
 _RESULT_TYPE = (
@@ -80,15 +85,90 @@ def _subsets(tokens: Column, size: int) -> Column:
     )
 
 
-def token_candidates(
-    values: DataFrame, options: DataFrame, by: Sequence[str], tokenise, hot_df: int = HOT_DF, keep: int = MAX_CANDIDATES
+def _is_short(options: DataFrame, by: list[str], tokenise, hot_df: int) -> bool:
+    """Checks in one job that the options fit a broadcast and no token is hot."""
+    row = "\u0000"
+    counts = (
+        options.limit(BROADCAST_OPTIONS + 1)
+        .select(*by, F.explode(F.concat(F.array(F.lit(row)), tokenise(F.col("name")))).alias("tok"))
+        .groupBy(*by, "tok")
+        .count()
+        .agg(
+            F.sum(F.when(F.col("tok") == row, F.col("count"))).alias("rows"),
+            F.max(F.when(F.col("tok") != row, F.col("count"))).alias("df"),
+        )
+        .first()
+    )
+    return (counts["rows"] or 0) <= BROADCAST_OPTIONS and (counts["df"] or 0) <= hot_df
+
+
+def with_best_options(
+    df: DataFrame, ask: Column, options: DataFrame, by: Sequence[str], tokenise,
+    keep: int = MAX_CANDIDATES, hot_df: int = HOT_DF,
+) -> DataFrame:
+    """Add ``top``: the best ``keep`` options for the text ``ask`` of each row, as an
+    array of ``score, ord, id, name``, best first, scores above zero only. Rows
+    with a null ``ask`` get an empty array. Rows of ``df`` must be distinct."""
+    by = list(by)
+    df = df.withColumn("__ask", ask)
+    if _is_short(options, by, tokenise, hot_df):
+        posts = options.select(
+            *by, F.struct("ord", "id", "name").alias("__o"), F.size(tokenise(F.col("name"))).alias("__n"),
+            F.explode(tokenise(F.col("name"))).alias("__tok"),
+        )
+        tokens = F.when(F.col("__ask").isNotNull(), tokenise(F.col("__ask")))
+        score = tx.overlap_score(F.count("__o"), F.first("__size"), F.first("__n"))
+        return (
+            df.withColumn("__toks", tokens)
+            .select(*df.columns, F.size("__toks").alias("__size"), F.explode_outer("__toks").alias("__tok"))
+            .join(F.broadcast(posts), [*by, "__tok"], "left")
+            .groupBy(*df.columns, "__o")
+            .agg(score.alias("__score"))
+            .groupBy(*df.columns)
+            .agg(
+                F.slice(
+                    F.array_sort(
+                        F.collect_list(
+                            F.when(
+                                F.col("__o").isNotNull(),
+                                F.struct((-F.col("__score")).alias("neg"), F.col("__o.ord").alias("ord"),
+                                         F.col("__o.id").alias("id"), F.col("__o.name").alias("name")),
+                            )
+                        )
+                    ),
+                    1, keep,
+                ).alias("top")
+            )
+            .withColumn(
+                "top",
+                F.transform(
+                    "top",
+                    lambda t: F.struct((-t["neg"]).alias("score"), t["ord"].alias("ord"), t["id"].alias("id"), t["name"].alias("name")),
+                ),
+            )
+            .drop("__ask")
+        )
+    asked = df.filter("__ask IS NOT NULL").select(*by, F.col("__ask").alias("value")).distinct()
+    top = (
+        _keyed_candidates(asked, options, by, tokenise, hot_df, keep)
+        .groupBy(*by, F.col("value").alias("__ask"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "score", "ord", "id", "name"))).alias("top"))
+    )
+    none = F.array().cast("array<struct<score:double,ord:bigint,id:string,name:string>>")
+    return df.join(top, [*by, "__ask"], "left").drop("__ask").withColumn(
+        "top",
+        F.coalesce(F.transform("top", lambda t: t.dropFields("rank")), none),
+    )
+
+
+def _keyed_candidates(
+    values: DataFrame, options: DataFrame, by: list[str], tokenise, hot_df: int, keep: int
 ) -> DataFrame:
     """Best ``keep`` options per distinct value by overlap score, ties by ``ord``.
 
     ``values``: ``by..., value``; ``options``: ``by..., id, name, ord``. Returns
     ``by..., value, rank, id, name, ord, score`` for scores above zero.
     """
-    by = list(by)
     opts = options.select(*by, "id", "name", "ord", F.array_sort(tokenise(F.col("name"))).alias("o_tok")).filter(
         F.size("o_tok") > 0
     )
@@ -165,25 +245,24 @@ def resolve_values(
         F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("label"),
     ).filter(F.col("label").isNotNull())
 
-    exact = names.groupBy(*by, F.col("label").alias("value")).agg(F.min_by("o", "ord").alias("exact"))
-    normal = names.groupBy(*by, tx.normal_form(F.col("label")).alias("norm")).agg(F.min_by("o", "ord").alias("normal"))
-    scopes = options.select(*by).distinct().withColumn("offered", F.lit(True))
-
-    named = (
-        values.withColumn("norm", tx.normal_form(F.col("value")))
-        .join(exact, [*by, "value"], "left")
-        .join(normal, [*by, "norm"], "left")
-        .join(scopes, by, "left")
-        .withColumn("open", (F.col("value") != "") & F.col("offered").isNotNull())
+    # An exact hit is also a normalised hit, so one lookup serves both steps.
+    norm = tx.normal_form
+    labels = names.groupBy(*by, norm(F.col("label")).alias("norm"), "label").agg(
+        F.min("ord").alias("ord"), F.min_by("o", "ord").alias("o")
     )
-    settled = F.coalesce("exact", "normal").isNotNull() | ~F.col("open")
-    left_over = named.filter(~settled).select(*by, "value")
-    top = (
-        token_candidates(left_over, options.select(*by, "id", "name", "ord"), by, tx.token_set, hot_df)
+    hit = F.struct((F.col("label") != F.col("value")).alias("loose"), F.col("ord"), F.col("o"))
+    named = (
+        values.withColumn("norm", norm(F.col("value")))
+        .join(labels, [*by, "norm"], "left")
         .groupBy(*by, "value")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "score", "id", "name"))).alias("top"))
+        .agg(F.min(F.when(F.col("o").isNotNull() & (F.col("value") != ""), hit)).alias("hit"))
     )
-    joined = named.join(top, [*by, "value"], "left")
+    if scoped:
+        named = named.withColumn("offered", F.nullif(options.agg(F.count("*") > 0).scalar(), F.lit(False)))
+    else:
+        named = named.join(options.select(*by).distinct().withColumn("offered", F.lit(True)), by, "left")
+    ask = F.when((F.col("value") != "") & F.col("offered").isNotNull() & F.col("hit").isNull(), F.col("value"))
+    joined = with_best_options(named, ask, options.select(*by, "id", "name", "ord"), by, tx.token_set, hot_df=hot_df)
     score = lambda i: F.coalesce(F.get("top", F.lit(i)).score, F.lit(0.0))
     candidates = F.transform(
         F.filter("top", lambda t: t.score >= CANDIDATE_FLOOR),
@@ -192,13 +271,12 @@ def resolve_values(
     sure = (score(0) >= CONFIDENT_THRESHOLD) & (score(0) - score(1) >= MIN_MARGIN)
     best = F.get("top", F.lit(0))
     token = F.lit("token")
+    named_hit = dict(id=F.col("hit.o.id"), name=F.col("hit.o.name"))
     res = (
         F.when(F.col("value") == "", _result(F.lit("absent"), F.lit("")))
         .when(F.col("offered").isNull(), _result(F.lit("missing"), F.lit("")))
-        .when(F.col("exact").isNotNull(),
-              _result(F.lit("matched"), F.lit("exact"), id=F.col("exact.id"), name=F.col("exact.name"), confidence=F.lit(1.0)))
-        .when(F.col("normal").isNotNull(),
-              _result(F.lit("matched"), F.lit("normalized"), id=F.col("normal.id"), name=F.col("normal.name"), confidence=F.lit(0.98)))
+        .when(~F.col("hit.loose"), _result(F.lit("matched"), F.lit("exact"), confidence=F.lit(1.0), **named_hit))
+        .when(F.col("hit.loose"), _result(F.lit("matched"), F.lit("normalized"), confidence=F.lit(0.98), **named_hit))
         .when(sure, _result(F.lit("matched"), token, id=best.id, name=best["name"], confidence=score(0)))
         .when(F.size(candidates) > 0, _result(F.lit("ambiguous"), token, confidence=score(0), candidates=candidates))
         .otherwise(_result(F.lit("missing"), token, confidence=score(0)))
@@ -215,7 +293,7 @@ def resolve_column(
     asked = df.select(*by, F.col(value).alias("value"))
     for b in by:
         asked = asked.filter(F.col(b).isNotNull())
-    right = resolve_values(asked, options, by, hot_df).select(
+    right = settle(resolve_values(asked, options, by, hot_df)).select(
         *[F.col(b).alias(f"__r_{b}") for b in by], F.col("value").alias("__r_value"), F.col("res").alias(into)
     )
     on = tx.strip(F.col(value)) == F.col("__r_value")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lotledger.functions import text as tx
 from lotledger.functions.vocab import NUMERIC_PARENTS, SPEC_LABEL_HINTS
-from lotledger.operators.resolve import _result, resolve_values, token_candidates
+from lotledger.operators.resolve import _result, resolve_values, with_best_options
+from lotledger.session import settle
 
 PARENT_SCORE = 0.6
 
@@ -24,10 +25,13 @@ def label_parents(labels: DataFrame, parents: DataFrame) -> DataFrame:
     """``label -> parent`` for distinct labels; ``parents``: ``name, ord``."""
     labels = labels.select("label").distinct().withColumn("hint", hinted_parent(F.col("label")))
     options = parents.select(F.lit(0).alias("__s"), F.col("name").alias("id"), "name", "ord")
-    asked = labels.filter("hint IS NULL").select(F.lit(0).alias("__s"), F.col("label").alias("value"))
-    scored = token_candidates(asked, options, ["__s"], tx.token_set, keep=1).filter(F.col("score") >= PARENT_SCORE)
-    return labels.join(scored.select(F.col("value").alias("label"), F.col("name").alias("fuzzy")), "label", "left").select(
-        "label", F.coalesce("hint", "fuzzy").alias("parent")
+    found = with_best_options(
+        labels.withColumn("__s", F.lit(0)), F.when(F.col("hint").isNull(), F.col("label")), options, ["__s"],
+        tx.token_set, keep=1,
+    )
+    best = F.get("top", F.lit(0))
+    return found.select(
+        "label", F.coalesce("hint", F.when(best.score >= PARENT_SCORE, best["name"])).alias("parent")
     )
 
 
@@ -68,7 +72,7 @@ def resolve_spec_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def _attach(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    return rows.join(resolve_spec_values(rows, catalog), ["parent", "value"])
+    return rows.join(settle(resolve_spec_values(rows, catalog)), ["parent", "value"])
 
 
 def resolve_specifications(
@@ -87,7 +91,7 @@ def resolve_specifications(
         .withColumn("value", tx.strip(F.col("value")))
         .filter("label != '' AND value != ''")
     )
-    labelled = rows.join(label_parents(rows, parents), "label")
+    labelled = rows.join(settle(label_parents(rows, parents)), "label")
     sheet = labelled.filter("parent IS NOT NULL").select("car", F.lit(0).alias("stage"), "ord", "parent", "label", "value")
     unmapped = labelled.filter("parent IS NULL")
     asked = sheet
