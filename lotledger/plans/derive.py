@@ -264,3 +264,31 @@ UNION ALL SELECT o_orderkey, 1, CAST(1 AS BIGINT), 'Interior Color', CASE o_cust
 UNION ALL SELECT o_orderkey, 2, CAST(0 AS BIGINT), 'Body Type', CASE o_custkey % 4 WHEN 0 THEN 'stock' WHEN 1 THEN 'SUV' WHEN 2 THEN 'Pickup' ELSE 'lot' END FROM {orders}
 UNION ALL SELECT o_orderkey, 2, CAST(1 AS BIGINT), 'Body Type', CASE o_custkey % 6 WHEN 0 THEN 'van' WHEN 1 THEN 'old' ELSE 'suv' END FROM {orders}
 """
+
+# --- photo library: one file per order line, filed under the part's car folder
+DERIVED["library_entries"] = """
+SELECT path, CASE WHEN path LIKE '%/%' THEN regexp_extract(path, '/([^/]*)$', 1) ELSE path END AS name,
+       CAST(0 = 1 AS BOOLEAN) AS is_dir, size, mtime_ns
+FROM (SELECT CASE f
+    WHEN 0 THEN concat(folder, '/', variant, '/Thumbs.db') WHEN 1 THEN concat(folder, '/', variant, '/', sheet, '.pdf')
+    WHEN 2 THEN concat(folder, '/', variant, '/', sheet, ' No Logo.PDF') WHEN 3 THEN concat(folder, '/', variant, '/notes', CAST(l_suppkey % 5 AS STRING), '.txt')
+    WHEN 4 THEN concat(folder, '/readme', CAST(l_suppkey % 3 AS STRING), '.md') WHEN 5 THEN concat(folder, '/', variant, '/RAW/IMG_', CAST(l_orderkey AS STRING), '.JPG')
+    WHEN 6 THEN concat(lower(shelf), ' docs/', CAST(l_suppkey % 20 AS STRING), '/list', CAST(l_linenumber AS STRING), '.xlsx')
+    WHEN 7 THEN concat(folder, '/', variant, '/.hidden') WHEN 8 THEN concat(shelf, '/todo.txt')
+    ELSE concat(folder, '/', variant, '/IMG_', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING), CASE WHEN l_linenumber % 3 = 0 THEN '.HEIC' ELSE '.jpg' END) END AS path,
+    max(l_partkey) + 1000 AS size, max(l_suppkey) * 1000000007 AS mtime_ns
+  FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, (l_orderkey + l_suppkey) % 23 AS f, p_type AS shelf,
+      concat(p_type, CASE WHEN p_size % 5 = 0 THEN '/SUV' WHEN p_size % 11 = 0 THEN concat('/', upper(replace(p_brand, '#', '')), '-ALL-CARS-PV-2.0-AT') ELSE '' END, '/',
+             upper(replace(p_brand, '#', '')), '-', upper(split_part(p_name, ' ', 1)), CASE WHEN p_size % 4 = 0 THEN ' CROSS' ELSE '' END, '-',
+             CASE WHEN p_size % 2 = 0 THEN 'LUXURY' ELSE 'STD 4X2' END, '-', CASE WHEN p_size % 7 < 5 THEN 'PV' ELSE 'HEV' END, '-',
+             CASE WHEN p_size % 3 = 0 THEN '2.50' ELSE '2.0' END, CASE WHEN p_size % 13 = 0 THEN '-MT' ELSE '-AT' END,
+             CASE p_partkey % 4 WHEN 0 THEN '-25' WHEN 1 THEN '-2026' WHEN 2 THEN '' ELSE '-WHITE-BLACK-26' END) AS folder,
+      CASE WHEN p_size % 9 = 0 THEN 'PHOTOS' ELSE concat(
+             CASE (p_partkey + l_suppkey) % 5 WHEN 0 THEN 'WHITE' WHEN 1 THEN 'BLACK' WHEN 2 THEN 'PEARL WHITE' WHEN 3 THEN 'RED BODY & BLACK ROOF' ELSE 'GREY' END,
+             ' INSIDE ', CASE (p_size + l_suppkey) % 3 WHEN 0 THEN 'BLACK' WHEN 1 THEN 'BEIGE' ELSE 'CHARCOAL' END,
+             CASE WHEN l_suppkey % 4 = 0 THEN ' 26' WHEN l_suppkey % 10 = 1 THEN '-LVTDB12345678901' ELSE '' END) END AS variant,
+      concat(upper(replace(p_brand, '#', '')), ' ', upper(split_part(p_name, ' ', 1)), CASE WHEN p_size % 4 = 0 THEN ' CROSS' ELSE '' END, ' ',
+             CASE WHEN p_partkey % 3 = 0 THEN 'LUXURY' ELSE 'STD 4X2' END) AS sheet
+    FROM {lineitem} JOIN {part} ON p_partkey = l_partkey) x
+  GROUP BY 1) y
+"""
