@@ -79,11 +79,12 @@ def classify_directories(entries: DataFrame, fold: bool = True, parser=carkey.pa
     dirs = directories(entries).withColumn("name", tx.path_name(F.col("path"))).withColumn(
         "parent", tx.path_parent(F.col("path"))
     )
-    # Folded once, below both parsers.
-    dirs = dirs.withColumn("text", F.col("name"))
-    dirs = tx.fold_nfkc(dirs, "text") if fold else dirs
-    dirs = parser(leaf.parse_leaves(dirs, "text", "leaf", fold=False), "text", "car", False)
-    dirs = settle(dirs.drop("text"))
+    # Names repeat across the tree far more than paths do: parse each once. The
+    # text is folded once, below both parsers.
+    names = dirs.select("name").distinct().withColumn("text", F.col("name"))
+    names = tx.fold_nfkc(names, "text") if fold else names
+    names = parser(leaf.parse_leaves(names, "text", "leaf", fold=False), "text", "car", False)
+    dirs = settle(dirs.join(settle(names.drop("text")), "name"))
     holders = dirs.select(F.col("parent").alias("path")).distinct().withColumn("has_dirs", F.lit(True))
     is_car = carkey.parses_as_car(F.col("car"))
     shelves = (

@@ -11,16 +11,34 @@ from lotledger.plans.derive import table, with_clause
 from lotledger.session import settle
 
 
+_SAVED: dict[tuple, object] = {}
+
+
+def _saved(spark, sf, what, build):
+    """One settled copy per session and data set, as a saved index would be."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _SAVED:
+        _SAVED[key] = build()
+    return _SAVED[key]
+
+
 def entries(spark, sf):
-    return settle(table(spark, sf, "library_entries"))
+    return _saved(spark, sf, "entries", lambda: settle(table(spark, sf, "library_entries")))
+
+
+def _fresh(spark, sf):
+    lib = library.crawl(entries(spark, sf))
+    return library.Library(*[settle(t) for t in (lib.folders, lib.variants, lib.sheets)], lib.drift)
 
 
-def _crawl(spark, sf):
-    return library.crawl(entries(spark, sf))
+def index(spark, sf):
+    return _saved(spark, sf, "index", lambda: _fresh(spark, sf))
 
 
 def library_folders(spark, sf):
-    lib = _crawl(spark, sf)
+    """A fresh crawl; the other queries read the index it leaves behind."""
+    lib = _fresh(spark, sf)
+    _SAVED[(spark.sparkContext.applicationId, sf, "index")] = lib
     n = lib.variants.groupBy(F.col("folder_path").alias("path")).agg(
         F.count("*").alias("n_variants"), F.sum("photo_count").alias("n_photos"), F.sum("n_sheets").alias("n_sheets")
     )
@@ -35,20 +53,20 @@ def library_folders(spark, sf):
 
 
 def library_variants(spark, sf):
-    return _crawl(spark, sf).variants
+    return index(spark, sf).variants
 
 
 def library_sheets(spark, sf):
-    return _crawl(spark, sf).sheets
+    return index(spark, sf).sheets
 
 
 def library_drift(spark, sf):
-    d = _crawl(spark, sf).drift
+    d = index(spark, sf).drift
     return d.select("kind", "subject", F.md5(library.drift_line(F.col("kind"), F.col("subject"), F.col("note"))).alias("line_md5"))
 
 
 def library_counts(spark, sf):
-    return library.index_counts(_crawl(spark, sf))
+    return library.index_counts(index(spark, sf))
 
 
 def folder_index(spark, sf):
@@ -80,14 +98,14 @@ def library_freshness(spark, sf):
 
 def car_files(spark, sf):
     listing = entries(spark, sf)
-    folders = settle(library.crawl(listing).folders.select(F.col("path").alias("folder_path")))
+    folders = index(spark, sf).folders.select(F.col("path").alias("folder_path"))
     got = library.car_files(listing, folders, cap=5)
     return got.select("folder_path", "kind", "relative_path", "size")
 
 
 def colour_siblings(spark, sf):
-    lib = _crawl(spark, sf)
-    variants = settle(lib.variants.select("path"))
+    lib = index(spark, sf)
+    variants = lib.variants.select("path")
     return library.colour_options(variants, variants)
 
 
