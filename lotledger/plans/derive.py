@@ -292,3 +292,54 @@ FROM (SELECT CASE f
     FROM {lineitem} JOIN {part} ON p_partkey = l_partkey) x
   GROUP BY 1) y
 """
+
+# --- evidence from several sources
+DERIVED["identity_code"] = """
+SELECT o_orderkey AS car, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS brand,
+  CASE o_custkey % 3 WHEN 0 THEN upper(c_mktsegment) WHEN 1 THEN concat(' ', c_mktsegment, ' ') ELSE '' END AS model,
+  o_orderstatus AS trim, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE 2000 + CAST(o_custkey % 30 AS INT) END AS year
+FROM {orders} JOIN {customer} ON c_custkey = o_custkey
+"""
+DERIVED["identity_sheet"] = """
+SELECT o_orderkey AS car, CASE o_custkey % 4 WHEN 0 THEN lower(replace(o_orderpriority, '-', ' ')) WHEN 1 THEN 'other' ELSE NULL END AS brand,
+  CASE WHEN o_custkey % 11 = 0 THEN 'none' ELSE lower(c_mktsegment) END AS model, CASE WHEN o_orderkey % 2 = 0 THEN 'F' END AS trim,
+  2000 + CAST(o_orderkey % 30 AS INT) AS year
+FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE o_orderpriority <> '5-LOW'
+"""
+DERIVED["provider_answers"] = """
+SELECT l_orderkey AS car, l_returnflag AS provider, CASE l_linenumber % 3 WHEN 0 THEN 'matched' WHEN 1 THEN 'important' ELSE 'other' END AS kind,
+  CASE (l_partkey + l_suppkey) % 23 WHEN 0 THEN '360 degree camera' WHEN 1 THEN ' HEATED seats ' WHEN 2 THEN 'ABS' WHEN 3 THEN 'Ambient lighting' WHEN 4 THEN 'touch screen'
+    WHEN 5 THEN 'made up' ELSE concat(lower(l_returnflag), ' gadget ', CAST(l_suppkey % 50 AS STRING)) END AS label,
+  ((l_partkey * 1000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS ord
+FROM {lineitem}
+"""
+DERIVED["field_answers"] = """
+SELECT l_orderkey AS car, l_returnflag AS provider,
+  CASE l_linenumber % 5 WHEN 0 THEN 'color' WHEN 1 THEN 'fuel' WHEN 2 THEN 'doors' WHEN 3 THEN 'horsepower' ELSE 'bogus' END AS field,
+  CASE l_partkey % 9 WHEN 0 THEN 'White' WHEN 1 THEN ' white ' WHEN 2 THEN 'PETROL' WHEN 3 THEN '' WHEN 4 THEN '4' WHEN 5 THEN 'Diesel' WHEN 6 THEN NULL WHEN 7 THEN ' 4' ELSE concat(CAST(l_suppkey AS STRING), ' hp') END AS value,
+  ((l_partkey * 1000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS ord
+FROM {lineitem}
+"""
+DERIVED["answer_cache"] = """
+SELECT CASE WHEN event_type IN ('view', 'click') THEN 'Color' ELSE 'Interior Color' END AS parent,
+  upper(CASE user_id % 6 WHEN 0 THEN concat('shade ', CAST(user_id AS STRING)) WHEN 1 THEN 'Sonic quartz' WHEN 2 THEN 'pearl' WHEN 3 THEN concat('tone ', CAST(event_id % 50 AS STRING)) ELSE concat('shade ', CAST(event_id % 100 AS STRING)) END) AS raw_key,
+  CASE user_id % 6 WHEN 0 THEN concat('shade ', CAST(user_id AS STRING)) WHEN 1 THEN 'Sonic quartz' WHEN 2 THEN 'pearl' WHEN 3 THEN concat('tone ', CAST(event_id % 50 AS STRING)) ELSE concat('shade ', CAST(event_id % 100 AS STRING)) END AS raw_value,
+  CASE WHEN event_id % 3 = 0 THEN 'missing' ELSE 'matched' END AS status,
+  CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Black' ELSE 'Gone' END AS name, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '14' ELSE '99' END AS id,
+  event_id AS resolved_at, concat('m', CAST(event_id % 7 AS STRING)) AS method
+FROM {events}
+"""
+DERIVED["colour_cars"] = """
+SELECT l_orderkey * 10 + l_linenumber AS car_no, l_partkey AS pk, l_suppkey AS sk,
+  CASE l_suppkey % 8 WHEN 0 THEN 'WHITE BODY & BLACK ROOF' WHEN 1 THEN concat('shade ', CAST(l_partkey % 100 AS STRING)) WHEN 2 THEN 'Sonic quartz' WHEN 3 THEN ' '
+    WHEN 4 THEN 'grey' WHEN 5 THEN concat('tone ', CAST(l_partkey % 60 AS STRING)) WHEN 6 THEN 'Black / tone 3' ELSE 'Charcoal' END AS colour,
+  CASE WHEN l_linestatus = 'F' THEN 'Color' ELSE 'Interior Color' END AS parent
+FROM {lineitem}
+"""
+DERIVED["colour_answers"] = """
+SELECT parent, upper(value) AS raw_key, CASE n % 4 WHEN 0 THEN 'White' WHEN 1 THEN 'NO_MATCH' WHEN 2 THEN 'Mauve' ELSE 'Black' END AS choice
+FROM (SELECT 'Color' AS parent, concat('shade ', CAST(p_partkey % 100 AS STRING)) AS value, p_partkey % 100 AS n FROM {part}
+      UNION ALL SELECT 'Interior Color', concat('shade ', CAST(p_partkey % 100 AS STRING)), p_partkey % 100 + 1 FROM {part}
+      UNION ALL SELECT 'Color', concat('tone ', CAST(p_partkey % 55 AS STRING)), p_partkey % 55 FROM {part}) x
+GROUP BY parent, value, n
+"""

@@ -74,8 +74,7 @@ def retrieval_blocks(spark, sf):
 def compare_fields(spark, sf):
     """All field verdicts of one representative pair per model question and folder signature."""
     found = _located(spark, sf)
-    cars = found.targets.join(found.answers.select("question", "d_fp", *loc._CODES), "question")
-    one = cars.groupBy("d_fp", *loc._CODES).agg(F.min_by("car", "car_id").alias("left"), F.min("car_id").alias("car_id"))
+    one = found.targets.groupBy("d_fp", *loc._CODES).agg(F.min_by("car", "car_id").alias("left"), F.min("car_id").alias("car_id"))
     pairs = found.pairs.select("d_fp", *loc._CODES, F.col("one_path").alias("path")).join(one, ["d_fp", *loc._CODES])
     lib = index(spark, sf).folders.select("path", F.col("car").alias("right"))
     both = pairs.join(lib, "path")
