@@ -343,3 +343,19 @@ FROM (SELECT 'Color' AS parent, concat('shade ', CAST(p_partkey % 100 AS STRING)
       UNION ALL SELECT 'Color', concat('tone ', CAST(p_partkey % 55 AS STRING)), p_partkey % 55 FROM {part}) x
 GROUP BY parent, value, n
 """
+
+# --- model replies and attempts
+DERIVED["sheet_replies"] = """
+SELECT event_id, concat('car', CAST(user_id AS STRING)) AS car, concat('sheet', CAST(event_id % 6 AS STRING), '.pdf') AS pdf, event_id % 6 AS pdf_ord,
+  event_id AS attempt, concat('SHEET', CAST(user_id % 6 AS STRING)) AS search_key,
+  CASE WHEN event_type = 'signup' THEN 'length' ELSE 'stop' END AS finish_reason,
+  CASE WHEN event_id % 9 = 0 THEN '  ' WHEN event_type = 'error' THEN concat('sorry, no data for ', CAST(user_id AS STRING))
+    ELSE concat(CASE WHEN event_id % 4 = 0 THEN concat('```json', chr(10)) ELSE '' END,
+      CASE WHEN event_type = 'signup' THEN substring(body, 1, CAST(40 + event_id % 190 AS INT)) ELSE body END,
+      CASE WHEN event_id % 4 = 0 THEN concat(chr(10), '```') ELSE '' END) END AS content
+FROM (SELECT event_id, user_id, event_type,
+    replace(replace(concat('<"brand": "b', CAST(user_id % 9 AS STRING), '", "model": "say, [x]", ', CASE WHEN event_id % 5 = 0 THEN '' ELSE '"trim": null, ' END, '"year": 2025, "raw_specifications": ',
+      CASE WHEN event_id % 7 = 0 THEN '[]' WHEN event_id % 11 = 0 THEN '"none"' ELSE concat('[<"label": "k", "value": "', CAST(event_id AS STRING), '">, <"label": "Seats", "value": "5">]') END,
+      ', "description": "long, <text>", "raw_features": ', CASE WHEN event_id % 13 = 0 THEN '<"a": 1>' ELSE '["ABS", "TPMS"]' END, '>'), '<', chr(123)), '>', chr(125)) AS body
+  FROM {events}) x
+"""
