@@ -291,7 +291,7 @@ def parse_car_strings(
         F.lit(GRAMMAR_VERSION).alias("grammar_version"),
         (found & (tx.fingerprint(name) != "")).alias("ok"),
     )
-    return df.select(*keep, car.alias(into))
+    return df.select(*keep, tx.sealed(car).alias(into))
 
 
 def parse_model_folders(

@@ -55,9 +55,7 @@ def parse_folder_colours(df: DataFrame, source: str, into: str = "folder_colours
 def _both(df: DataFrame, keep: list[str], into: str, trim, *extra: Column) -> DataFrame:
     df = df.withColumn("__ext", trim(F.get("__half", F.lit(0)))).withColumn("__int", trim(F.get("__half", F.lit(1))))
     ok = (F.size("__half") == 2) & (F.col("__ext") != "") & (F.col("__int") != "")
-    return df.select(
-        *keep,
-        F.struct(
-            F.when(ok, F.col("__ext")).alias("exterior"), F.when(ok, F.col("__int")).alias("interior"), *extra
-        ).alias(into),
+    colours = F.struct(
+        F.when(ok, F.col("__ext")).alias("exterior"), F.when(ok, F.col("__int")).alias("interior"), *extra
     )
+    return df.select(*keep, tx.sealed(colours).alias(into))

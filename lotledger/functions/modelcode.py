@@ -124,7 +124,7 @@ def parse_model_codes(df: DataFrame, source: str, into: str = "code_parse") -> D
         F.when(F.size(c("after")) >= 2, tx.strip(F.get(c("after"), F.lit(1)))).alias("interior_color"),
         F.coalesce(c("y_head"), c("y_tail")).alias("year"),
     )
-    return df.select(*keep, F.when(fits, parsed).alias(into))
+    return df.select(*keep, tx.sealed(F.when(fits, parsed)).alias(into))
 
 
 def parse_descriptions(

@@ -37,6 +37,16 @@ def fold_nfkc(df: DataFrame, column: str) -> DataFrame:
     ).drop("__nfkc")
 
 
+def sealed(value: Column) -> Column:
+    """One row in, one row out, through a generator.
+
+    Predicates and projections above are not rewritten in terms of the value's
+    inputs. A parser's result is a deep expression tree whose levels use each
+    other many times; unsealed, one filter on it would be inlined level by level.
+    """
+    return F.explode(F.array(value))
+
+
 def clean(c: Column) -> Column:
     """Whitespace runs collapsed, ends trimmed, null as empty."""
     return F.trim(F.regexp_replace(_text(c), _SPACES, " "))
