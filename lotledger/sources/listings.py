@@ -27,11 +27,9 @@ _CORRUPT = "_corrupt"
 def read_listings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(listings, quarantine)`` from JSON lines; the quarantine keeps the raw text."""
     schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField(_CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .json(path)
-    )
-    good = raw.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
-    return good, raw.filter(F.col(_CORRUPT).isNotNull()).select(F.col(_CORRUPT).alias("record"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", schema, options).alias("j"))
+    broken = F.col("j").isNull() | F.col(f"j.{_CORRUPT}").isNotNull()
+    good = parsed.filter(~broken).select("j.*").drop(_CORRUPT)
+    return good, parsed.filter(broken).select(F.col("value").alias("record"))
