@@ -47,6 +47,11 @@ def sealed(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean(c: Column) -> Column:
     """Whitespace runs collapsed, ends trimmed, null as empty."""
     return F.trim(F.regexp_replace(_text(c), _SPACES, " "))

@@ -31,13 +31,13 @@ def until_stop(attempts: DataFrame, key: str, order: Column, stops: Column) -> D
 
 def judge_replies(replies: DataFrame, content: str = "content", finish: str = "finish_reason") -> DataFrame:
     """Add ``json`` (usable extraction or null), ``error`` and ``truncated`` per reply."""
-    df = replies.withColumn("__body", rp.strip_fences(F.col(content)))
+    df = replies.select("*", tx.sealed(rp.strip_fences(F.col(content))).alias("__body"))
     df = df.withColumn("__whole", F.try_parse_json("__body").isNotNull())
     cut = F.coalesce(F.col(finish).isin("length", "max_tokens"), F.lit(False))
     blank = tx.strip(F.col(content)) == ""
     df = rp.recover_json(df.withColumn("__try", F.when(cut | F.col("__whole"), F.col("__body"))), "__try", "__rec")
     df = df.withColumn("truncated", cut & ~F.col("__whole") & ~blank)
-    df = df.withColumn("__issues", rp.shape_issues(F.col("__rec.json")))
+    df = df.select("*", tx.sealed(rp.shape_issues(F.col("__rec.json"))).alias("__issues"))
     error = (
         F.when(blank, F.concat(F.lit("empty content (finish_reason="), F.coalesce(F.col(finish), F.lit("None")), F.lit(")")))
         .when(~F.col("__whole") & ~cut, F.lit("invalid JSON"))

@@ -58,7 +58,7 @@ def resolve_colours(
     rules' own result.
     """
     reduced = F.when(F.col("parent") == "Color", tx.primary_colour(F.col("raw"))).otherwise(F.col("raw"))
-    asked = colours.select("parent", "raw").distinct().withColumn("value", reduced)
+    asked = colours.select("parent", "raw").distinct().select("parent", "raw", tx.sealed(reduced).alias("value"))
     ruled = asked.join(settle(resolve_spec_values(asked.filter("value != ''"), catalog)), ["parent", "value"], "left")
     empty = tx.strip(F.col("raw")) == ""
     blank = _result(F.lit("missing"), F.lit("empty"))

@@ -60,7 +60,7 @@ def match_vocabulary(
     target for the rule to apply; a grouped one need not. Returns ``item, group,
     label`` with nulls for no match.
     """
-    items = items.select("item").distinct().withColumn("hits", _rule_hits(F.col("item")))
+    items = items.select("item").distinct().select("item", tx.sealed(_rule_hits(F.col("item"))).alias("hits"))
     if flat:
         offered = vocabulary.groupBy("label").agg(F.min_by("group", "ord").alias("group"))
         rules = (

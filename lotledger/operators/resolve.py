@@ -110,7 +110,7 @@ def with_best_options(
     array of ``score, ord, id, name``, best first, scores above zero only. Rows
     with a null ``ask`` get an empty array. Rows of ``df`` must be distinct."""
     by = list(by)
-    df = df.withColumn("__ask", ask)
+    df = df.select("*", tx.sealed(ask).alias("__ask"))
     if _is_short(options, by, tokenise, hot_df):
         posts = options.select(
             *by, F.struct("ord", "id", "name").alias("__o"), F.size(tokenise(F.col("name"))).alias("__n"),

@@ -23,7 +23,7 @@ def hinted_parent(label: Column) -> Column:
 
 def label_parents(labels: DataFrame, parents: DataFrame) -> DataFrame:
     """``label -> parent`` for distinct labels; ``parents``: ``name, ord``."""
-    labels = labels.select("label").distinct().withColumn("hint", hinted_parent(F.col("label")))
+    labels = labels.select("label").distinct().select("label", tx.sealed(hinted_parent(F.col("label"))).alias("hint"))
     options = parents.select(F.lit(0).alias("__s"), F.col("name").alias("id"), "name", "ord")
     found = with_best_options(
         labels.withColumn("__s", F.lit(0)), F.when(F.col("hint").isNull(), F.col("label")), options, ["__s"],
