@@ -131,7 +131,7 @@ ORACLES = {
         len(list_distinct(list_filter(regexp_split_to_array(
           regexp_replace(regexp_replace(regexp_replace(lower(text), '([0-9])\\.', '\\1ȹȹ', 'g'), '\\.([0-9])', 'ȹȹ\\1', 'g'),
             '[^\\pL\\pN\\pM_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> ''))) AS n_token_set,
-        ltrim(nullif(regexp_extract(text, '([0-9]+)', 1), ''), '') AS first_int,
+        CAST(TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS DECIMAL(38,0)) AS STRING) AS first_int,
         md5(upper(replace({ps.clean('text')}, 'ß', 'SS'))) AS match_key_md5
       FROM documents""",
 }
