@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from lotledger.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -36,14 +36,14 @@ def _rows(columns, rows):
     return sorted(repr(tuple(_plain(r[i]) for i in order)) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     got = df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
-    sql = entry.oracle_sql().get(name)
+    sql = registry.ORACLES.get(name)
     if sql is None:
         return
     result = duck.execute(sql)
