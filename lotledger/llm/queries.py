@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotledger.llm import mixing, quality_rules
+from lotledger.llm import bpe, mixing, quality_rules
 from lotledger.llm.columns import table
 
 
+def op3_bpe(spark, sf):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join("ids", " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256")
+    )
+
+
 def op5_mixing(spark, sf):
     a = mixing.allot(table(spark, sf, "documents"))
     return a.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -19,6 +31,7 @@ def op10_quality_rules(spark, sf):
 
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op5_mixing": op5_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
