@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotledger.llm import bpe, mixing, quality_rules
+from lotledger.llm import bpe, mixing, pii, preference, quality_rules
 from lotledger.llm.columns import table
 
 
@@ -20,11 +20,23 @@ def op3_bpe(spark, sf):
     )
 
 
+def op4_preference_pairs(spark, sf):
+    turns = preference.reply_swaps(table(spark, sf, "conversations"))
+    return preference.format_pairs(turns, pair="conv_id")
+
+
 def op5_mixing(spark, sf):
     a = mixing.allot(table(spark, sf, "documents"))
     return a.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op9_pii(spark, sf):
+    found = pii.find(table(spark, sf, "documents").select("doc_id", "text"))
+    n = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    digest = F.sha2(pii.joined(F.col("base_spans")).cast("binary"), 256)
+    return found.select("doc_id", *map(n, pii.KINDS), digest.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op10_quality_rules(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return quality_rules.report(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
@@ -32,7 +44,9 @@ def op10_quality_rules(spark, sf):
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_preference_pairs": op4_preference_pairs,
     "op5_mixing": op5_mixing,
+    "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
