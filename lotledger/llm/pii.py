@@ -4,8 +4,8 @@ Base spans come from four fixed patterns (email, ip, card, phone), each leftmost
 and non-overlapping in its kind; a match that fails its check is dropped without
 a retry. They are also the seeds of the bootstrapping:
 
-* a mention is a base span, or an identifier-like word (one with a digit) that
-  overlaps no base span; its instance is its value;
+* a mention is a base span, or an identifier-like word (six or more code points
+  with a digit among them) that overlaps no base span; its instance is its value;
 * its lexical patterns are the word before it, the word after it, and both;
 * the graph of patterns and instances is scored in rounds. A pattern's confidence
   for a kind is the share of its distinct instances that are known to be of that
@@ -38,6 +38,7 @@ from lotledger.session import settle
 
 ROUNDS = 3
 MIN_SUPPORT = 3
+MIN_LENGTH = 6
 PATTERN_TRUST = 0.8
 INSTANCE_TRUST = 0.9
 
@@ -126,7 +127,7 @@ def _scan(docs: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     out = docs.withColumns({"_k1": F.xxhash64(t), "_k2": F.xxhash64(F.lit(1), t), "_base": _base(t)})
     words = F.when(t.rlike("[0-9]"), _found(t, _WORD_WITH_DIGIT, None)).otherwise(F.array().cast(_SPAN))
-    free = F.filter(words, lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
+    free = F.filter(words, lambda w: (w["end"] - w["start"] >= MIN_LENGTH) & ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
     return out.withColumn("_more", free)
 
 

@@ -67,7 +67,7 @@ def bootstrap(texts):
     for i, t in texts:
         spans = base(t)
         words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", t or "")]
-        free = [(a, b, 4, None) for a, b in words if not any(s[0] < b and s[1] > a for s in spans)]
+        free = [(a, b, 4, None) for a, b in words if b - a >= pii.MIN_LENGTH and not any(s[0] < b and s[1] > a for s in spans)]
         groups = [[s for s in spans if s[2] == k] for k in range(4)] + [free]
         for g in groups:
             everything = g
