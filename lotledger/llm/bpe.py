@@ -307,8 +307,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         parts, slice_, size = [], [], 0
-        for t in texts.to_pylist():
-            slice_.append(t or "")
+        for t in texts:
+            slice_.append(t.as_py() or "")
             size += len(slice_[-1])
             if size >= SLICE_CHARS:
                 parts.append(self._slice(slice_))
@@ -362,10 +362,17 @@ def _encoder(vocab_path: str, name: str | None) -> Encoder:
     return Encoder(vocabulary(vocab_path), Lexicon.map(SparkFiles.get(name)) if name else None)
 
 
-def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids", lexicon_pieces: int = LEXICON_PIECES) -> DataFrame:
-    """Every row with the ids of its whole text."""
+def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids", lexicon_pieces: int = LEXICON_PIECES,
+           decoded: str | None = None) -> DataFrame:
+    """Every row with the ids of its whole text, and with what they decode to if ``decoded`` names
+    a column for it: one pass then does both."""
     name = build_lexicon(docs, vocab_path, text, lexicon_pieces)
-    return add_columns(docs, lambda batch: {ids: _encoder(vocab_path, name).encode(batch.column(text))}, {ids: "array<int>"})
+
+    def compute(batch):
+        out = {ids: _encoder(vocab_path, name).encode(batch.column(text))}
+        return out | {decoded: _decoded(out[ids], vocab_path)} if decoded else out
+
+    return add_columns(docs, compute, {ids: "array<int>"} | ({decoded: "string"} if decoded else {}))
 
 
 @lru_cache(maxsize=2)
@@ -373,20 +380,19 @@ def _token_column(vocab_path: str) -> pa.Array:
     return pa.array(vocabulary(vocab_path).tokens, pa.string())
 
 
+def _decoded(column: pa.Array, vocab_path: str) -> pa.Array:
+    tokens, index = _token_column(vocab_path), pc.list_flatten(column)
+    known = pc.and_kleene(pc.greater_equal(index, 0), pc.less(index, len(tokens)))
+    found = tokens.take(pc.if_else(known, index, None))
+    parent = pc.list_parent_indices(column).to_numpy()
+    good = pc.is_valid(found).to_numpy(zero_copy_only=False)
+    counts = np.bincount(parent[good], minlength=len(column)) if len(column) else np.zeros(0, np.int64)
+    upto = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    joined = pc.binary_join(pa.ListArray.from_arrays(upto, found.filter(pa.array(good))), " ")
+    return pc.if_else(pc.is_null(column), pa.scalar(None, pa.string()), joined)
+
+
 def decode(df: DataFrame, vocab_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Every row with the text of its ids: their tokens joined by a space, special ones too."""
 
-    def compute(batch):
-        tokens, column = _token_column(vocab_path), batch.column(ids)
-        index = pc.list_flatten(column)
-        known = pc.and_kleene(pc.greater_equal(index, 0), pc.less(index, len(tokens)))
-        found = tokens.take(pc.if_else(known, index, None))
-        parent = pc.list_parent_indices(column).to_numpy()
-        good = pc.is_valid(found).to_numpy(zero_copy_only=False)
-        counts = np.bincount(parent[good], minlength=len(column)) if len(column) else np.zeros(0, np.int64)
-        upto = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-        lists = pa.ListArray.from_arrays(upto, found.filter(pa.array(good)))
-        joined = pc.binary_join(lists, " ")
-        return {decoded: pc.if_else(pc.is_null(column), pa.scalar(None, pa.string()), joined)}
-
-    return add_columns(df, compute, {decoded: "string"})
+    return add_columns(df, lambda batch: {decoded: _decoded(batch.column(ids), vocab_path)}, {decoded: "string"})

@@ -23,6 +23,16 @@ def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind))
 
 
+#: Rows that are computed and handed back at once; a task holds the results of no more.
+STEP_ROWS = 512
+
+
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP_ROWS):
+            yield batch.slice(at, STEP_ROWS)
+
+
 def add_columns(df: DataFrame, compute, added: dict[str, str]) -> DataFrame:
     """Map Arrow batches, keeping every column and adding those that ``compute``
     returns for a batch (name to array). A column of the same name is replaced."""
@@ -31,7 +41,7 @@ def add_columns(df: DataFrame, compute, added: dict[str, str]) -> DataFrame:
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             new = compute(batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(new[k] for k in added)], names=[*names, *added])
 

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotledger.llm import bpe, mixing, pii, preference, quality_rules
+from lotledger.llm import bpe, mixing, near_dup, pii, preference, quality_rules
 from lotledger.llm.columns import table
 
 
+def op1_bag_min_hash(spark, sf):
+    return near_dup.classes(table(spark, sf, "documents"))
+
+
 def op3_bpe(spark, sf):
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    out = bpe.encode(docs, path, decoded="decoded").drop("text")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join("ids", " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256")
@@ -43,6 +47,7 @@ def op10_quality_rules(spark, sf):
 
 
 QUERIES = {
+    "op1_bag_min_hash": op1_bag_min_hash,
     "op3_bpe": op3_bpe,
     "op4_preference_pairs": op4_preference_pairs,
     "op5_mixing": op5_mixing,

@@ -35,10 +35,11 @@ def random_texts(n, seed=5):
 def test_matches_library(documents, library):
     texts = TEXTS + random_texts(400)
     out = bpe.decode(bpe.encode(documents(list(enumerate(texts))), PATH, lexicon_pieces=50), PATH)
+    once = {r["doc_id"]: r["decoded"] for r in bpe.encode(documents(list(enumerate(texts))), PATH, lexicon_pieces=50, decoded="decoded").collect()}
     for r in out.collect():
         want = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids"] == want, texts[r["doc_id"]]
-        assert r["decoded"] == library.decode(want, skip_special_tokens=False)
+        assert r["decoded"] == once[r["doc_id"]] == library.decode(want, skip_special_tokens=False)
 
 
 def test_lexicon_size_changes_nothing():
