@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotledger.llm import bpe, mixing, near_dup, pii, preference, quality_rules
+from lotledger.llm import bpe, mixing, near_dup, pii, preference, quality_rules, repeats
 from lotledger.llm.columns import table
 
 
@@ -34,6 +34,10 @@ def op5_mixing(spark, sf):
     return a.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op8_repeated_passages(spark, sf):
+    return repeats.remove_repeats(table(spark, sf, "documents"), with_text=False)
+
+
 def op9_pii(spark, sf):
     found = pii.find(table(spark, sf, "documents").select("doc_id", "text"))
     n = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_preference_pairs": op4_preference_pairs,
     "op5_mixing": op5_mixing,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
