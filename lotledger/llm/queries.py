@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotledger.llm import bpe, mixing, near_dup, pii, preference, quality_rules, repeats
+from lotledger.llm import bpe, grades, language, mixing, near_dup, pii, preference, quality_rules, repeats
 from lotledger.llm.columns import table
 
 
@@ -12,6 +12,13 @@ def op1_bag_min_hash(spark, sf):
     return near_dup.classes(table(spark, sf, "documents"))
 
 
+def op2_ordinal_quality(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = grades.learn(docs, grades.grades_of_labels(table(spark, sf, "labels")), grades=3)
+    graded = grades.grade_texts(docs, model)
+    return graded.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_grade_1"), F.col("tails")[1].alias("p_grade_2"), "kept")
+
+
 def op3_bpe(spark, sf):
     import public_tokenizers
 
@@ -34,6 +41,14 @@ def op5_mixing(spark, sf):
     return a.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op7_language_mixture(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language.learn(docs.filter(~held_out))
+    found = language.identify(docs.drop("lang"), model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op8_repeated_passages(spark, sf):
     return repeats.remove_repeats(table(spark, sf, "documents"), with_text=False)
 
@@ -52,9 +67,11 @@ def op10_quality_rules(spark, sf):
 
 QUERIES = {
     "op1_bag_min_hash": op1_bag_min_hash,
+    "op2_ordinal_quality": op2_ordinal_quality,
     "op3_bpe": op3_bpe,
     "op4_preference_pairs": op4_preference_pairs,
     "op5_mixing": op5_mixing,
+    "op7_language_mixture": op7_language_mixture,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,

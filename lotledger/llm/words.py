@@ -61,8 +61,8 @@ class Slice:
         """The text of each word."""
         return np.repeat(np.arange(len(self)), self.counts)
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit multilinear hash of each word's bytes."""
+    def hashes(self, seed: int = 0, upto: int | None = None) -> np.ndarray:
+        """A 64-bit multilinear hash of each word's bytes, or of its first ``upto`` bytes."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         lo = self.starts[0]
@@ -72,6 +72,8 @@ class Slice:
         bytes_ = self.data[lo:]
         terms = (bytes_.astype(np.uint64) + np.uint64(1)) * factors[np.minimum(place, longest)]
         terms[_SPACE[bytes_]] = 0
+        if upto is not None:
+            terms[place >= upto] = 0
         return mix64(np.add.reduceat(terms, self.starts - lo))
 
     def shingles(self, words: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
