@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotledger.llm import bpe, grades, language, mixing, near_dup, pii, preference, quality_rules, repeats
+from lotledger.llm import bpe, grades, language, mixing, near_dup, neighbours, pii, preference, quality_rules, repeats
 from lotledger.llm.columns import table
 
 
@@ -41,6 +41,10 @@ def op5_mixing(spark, sf):
     return a.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op6_kmeans_tree(spark, sf):
+    return neighbours.search(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op7_language_mixture(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_preference_pairs": op4_preference_pairs,
     "op5_mixing": op5_mixing,
+    "op6_kmeans_tree": op6_kmeans_tree,
     "op7_language_mixture": op7_language_mixture,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_pii": op9_pii,
