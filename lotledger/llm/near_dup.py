@@ -15,14 +15,21 @@ multisets, sum of minima over sum of maxima of the counts; texts are linked from
    lower any register, so long texts take about one point a shingle.
 2. Bands. 32 bands of 5 registers; at similarity 0.8 a pair shares no band with
    probability (1 - 0.8^5)^32 < 3.1e-6, at 0.3 it shares one with 7 %.
-3. Verification. In a bucket every member is compared with the bucket's first
-   members (in an order by hash) on the exact multiset overlap. Links give
-   components; buckets whose members are in one component are done. The others
-   go on with four times as many first members, until each bucket is in one
-   component or all its pairs across components are compared. So no pair within
-   one component is ever listed, and no link between two components is lost.
-
-Equal texts are one node from the start. Nothing of a class, a bucket or the
+3. Links. Every pair that shares a bucket is accounted for, but within one class
+   pairs are not listed:
+   a. each node is compared, on the exact multiset overlap, with the most central
+      node of its buckets (the one that shares most places with others), which
+      settles most copies of one text;
+   b. buckets that hold two components or more are dealt in blocks. There the
+      nodes outside the bucket's largest component meet all members by sketches:
+      counts of shingles in ``CLASSES`` hash classes, whose sum of minima is an
+      upper bound of the overlap. Pairs of two components whose bound reaches the
+      threshold are compared exactly; first the best of each node and foreign
+      component, then, with the components that gives, all that are left.
+   A pair is passed over only if it lies within one component or its bound is too
+   low, so no link between two components is lost.
+
+Ids are integers. Equal texts are one node from the start. Nothing of a class, a bucket or the
 graph is gathered in one row, on one task or on the driver.
 
 Defined results: null, empty and blank texts have no shingles and are linked to
@@ -38,18 +45,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as Win
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotledger.llm import words as W
-from lotledger.llm.columns import unused
+from lotledger.llm.columns import steps, unused
 from lotledger.llm.graph import components
 from lotledger.session import settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
+CLASSES = 512
+BLOCK = 2048
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,7 +128,7 @@ def _signed(docs: DataFrame, id_col: str, text: str, size: int, bands: int, rows
     kind = base.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             keys, has = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for part in W.slices(batch.column("t")):
                 found = shingles(part, size)
@@ -140,7 +148,7 @@ def _bags(docs: DataFrame, id_col: str, text: str, nodes: DataFrame, size: int)
     kind = wanted.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             bags: list[bytes] = []
             for part in W.slices(batch.column("t")):
                 text_, grams, n = shingles(part, size)
@@ -148,7 +156,34 @@ def _bags(docs: DataFrame, id_col: str, text: str, nodes: DataFrame, size: int)
                 bags += [flat[upto[d] : upto[d + 1]].tobytes() for d in range(len(part))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bags, pa.binary())], names=["node", "bag"])
 
-    return wanted.mapInArrow(run, f"node {kind}, bag binary").filter("length(bag) > 0")
+    return wanted.mapInArrow(run, f"node {kind}, bag binary").filter("length(bag) > 0").distinct()
+
+
+def _sketches(bags: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, size, sketch) of the nodes: how many shingles fall in each hash class."""
+    kind = bags.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            size, out = [], []
+            for bag in batch.column("bag"):
+                hashes = np.frombuffer(bag.as_py(), np.uint64)
+                size.append(len(hashes))
+                classes = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES)
+                out.append(np.minimum(classes, 65535).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["node", "size", "sketch"])
+
+    return bags.join(nodes.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi").mapInArrow(run, f"node {kind}, size long, sketch binary")
+
+
+def bounds(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Upper bounds of the similarity of every row of a and of b, from sketches and sizes. What a
+    full class couldn't count is taken as shared."""
+    both = np.empty((len(a), len(b)))
+    over_a, over_b = size_a - a.sum(axis=1, dtype=np.int64), size_b - b.sum(axis=1, dtype=np.int64)
+    for i in range(len(a)):
+        both[i] = np.minimum(a[i], b).sum(axis=1, dtype=np.int64) + np.minimum(over_a[i], over_b)
+    return both / np.maximum(size_a[:, None] + size_b[None, :] - both, 1)
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -160,16 +195,14 @@ def overlap(a: bytes, b: bytes) -> float:
     return both / max(int(nx.sum() + ny.sum()) - both, 1)
 
 
-def _verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough. The bag of a travels to b."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bags = settle(_bags(docs, id_col, text, nodes, size).distinct())
     left = pairs.join(bags.select(F.col("node").alias("na"), F.col("bag").alias("bag_a")), F.col("a") == F.col("na")).select("a", "b", "bag_a")
     both = left.join(bags.select(F.col("node").alias("nb"), F.col("bag").alias("bag_b")), F.col("b") == F.col("nb")).select("a", "b", "bag_a", "bag_b")
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             good = [overlap(x.as_py(), y.as_py()) >= threshold for x, y in zip(batch.column("bag_a"), batch.column("bag_b"), strict=True)]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
@@ -177,40 +210,86 @@ def _verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, size: i
     return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _links(docs: DataFrame, id_col: str, text: str, members: DataFrame, size: int, threshold: float) -> DataFrame | None:
-    """(node, label) from the buckets (key, node), or None where nothing is linked."""
-    order = F.xxhash64("node")
-    rank = F.row_number().over(Win.partitionBy("key").orderBy(order, "node"))
-    ordered = lambda a, b: F.when(a < b, F.struct(a.alias("a"), b.alias("b"))).otherwise(F.struct(b.alias("a"), a.alias("b")))
-
-    # First each node meets one other: the first, by the common order, of all members of its buckets.
-    lead = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node")).alias("lead"))
-    first = members.join(lead.select(F.col("key").alias("k"), "lead"), F.col("key") == F.col("k"))
-    first = first.groupBy("node").agg(F.min("lead").alias("lead")).filter(F.col("node") != F.col("lead.node"))
-    pairs = settle(first.select(ordered(F.col("lead.node"), F.col("node")).alias("p")).select("p.*").distinct())
-    tested, links, labels, tries = pairs, None, None, 1
-    while True:
-        found = settle(_verified(docs, id_col, text, pairs, size, threshold))
-        links = found if links is None else links.union(found)
-        labels = settle(components(links))
-        near = members.join(labels.select(F.col("node").alias("n"), "label"), F.col("node") == F.col("n"), "left")
-        near = near.select("key", "node", F.coalesce("label", "node").alias("label"))
-        split = near.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-        split = split.filter(F.col("low") != F.col("high"))
-        # With ``tries`` first members compared against all, a bucket of no more than that is through.
-        split = split.filter(F.col("size") > (tries if tries > 1 else 0)).select(F.col("key").alias("k"))
-        members = settle(near.join(split, F.col("key") == F.col("k"), "left_semi").select("key", "node"))
-        if members.isEmpty():
-            return labels
-        tries *= 4
-        near = members.join(labels.select(F.col("node").alias("n"), "label"), F.col("node") == F.col("n"), "left")
-        near = near.select("key", "node", F.coalesce("label", "node").alias("label"))
-        heads = near.withColumn("rank", rank).filter(F.col("rank") <= tries)
-        heads = heads.select(F.col("key").alias("k"), F.col("node").alias("head"), F.col("label").alias("head_label"))
-        cross = near.join(heads, (F.col("key") == F.col("k")) & (F.col("label") != F.col("head_label")))
-        fresh = cross.select(ordered(F.col("head"), F.col("node")).alias("p")).select("p.*").distinct()
-        pairs = settle(fresh.join(tested, ["a", "b"], "left_anti"))
+def _ordered(a: Column, b: Column) -> Column:
+    return F.when(a < b, F.struct(a.alias("a"), b.alias("b"))).otherwise(F.struct(b.alias("a"), a.alias("b")))
+
+
+def _central(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node with the most central node of its buckets."""
+    shared = members.groupBy("node").agg(F.sum("n").alias("s")).select(F.col("node").alias("m"), "s")
+    near = members.join(shared, F.col("node") == F.col("m")).select("key", "node", F.struct("s", "node").alias("c"))
+    lead = near.groupBy("key").agg(F.max("c").alias("lead")).select(F.col("key").alias("k"), "lead")
+    best = near.join(lead, F.col("key") == F.col("k")).groupBy("node").agg(F.max("lead").alias("lead")).filter(F.col("node") != F.col("lead.node"))
+    return best.select(_ordered(F.col("lead.node"), F.col("node")).alias("p")).select("p.*").distinct()
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, head): members of buckets with two components or more; head marks those
+    outside the bucket's largest component."""
+    near = members.join(labels.select(F.col("node").alias("m"), "label"), F.col("node") == F.col("m"), "left")
+    near = near.select("key", "node", F.coalesce("label", "node").alias("label"))
+    by = near.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
+    by = by.filter("labels > 1").select(F.col("key").alias("k"), F.col("top.label").alias("largest"))
+    return near.join(by, F.col("key") == F.col("k")).select("key", "node", "label", (F.col("label") != F.col("largest")).alias("head"))
+
+
+def _near_pairs(opened: DataFrame, sketches: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of two components in a bucket whose bound reaches the threshold."""
+    rows = opened.join(sketches.select(F.col("node").alias("m"), "size", "sketch"), F.col("node") == F.col("m")).drop("m")
+    # A bucket's members in blocks; its heads in blocks as well, each sent to all blocks of members.
+    n = rows.groupBy("key").agg(F.count("*").alias("all"), F.count(F.when(F.col("head"), 1)).alias("heads"))
+    n = n.select(F.col("key").alias("k"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("heads") / BLOCK).cast("int").alias("cuts"))
+    rows = rows.join(n, F.col("key") == F.col("k")).drop("k")
+    deal = F.xxhash64("node")
+    one = lambda c: F.pmod(deal, F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    heads = rows.filter("head").withColumn("cut", one("cuts")).withColumn("block", every("blocks"))
+    tails = rows.withColumn("block", one("blocks")).withColumn("cut", every("cuts"))
+    names = ["key", "cut", "block", "node", "label", "size", "sketch"]
+    heads, tails = (x.select(*(F.col(c).alias(c) for c in names)).groupBy("key", "cut", "block") for x in (heads, tails))
+    kind = opened.schema["node"].dataType.simpleString()
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            x, y = ([np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, CLASSES), t.column("size").to_numpy(),
+                     t.column("node").to_numpy(), t.column("label").to_numpy()] for t in (left, right))
+            order = np.argsort(y[3], kind="stable")
+            y = [v[order] for v in y]
+            group = np.flatnonzero(np.append(True, y[3][1:] != y[3][:-1]))
+            for at in range(0, len(x[0]), 256):
+                bound = bounds(x[0][at : at + 256], x[1][at : at + 256], y[0], y[1])
+                bound[x[3][at : at + 256, None] == y[3][None, :]] = 0
+                if best_only:
+                    top = np.repeat(np.maximum.reduceat(bound, group, axis=1), np.diff(group, append=bound.shape[1]), axis=1)
+                    bound[bound < top] = 0
+                i, j = np.nonzero(bound >= threshold)
+                a.append(x[2][at + i])
+                b.append(y[2][j])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return heads.cogroup(tails).applyInArrow(meet, f"a {kind}, b {kind}").distinct()
+
+
+def _links(docs: DataFrame, id_col: str, text: str, members: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(node, label) from the buckets (key, node, n)."""
+    bags = settle(_bags(docs, id_col, text, members.select("node").distinct(), size))
+    tested = settle(_central(members))
+    links = settle(_verified(tested, bags, threshold))
+    labels = settle(components(links))
+    for best_only in (True, False):
+        opened = settle(_open(members, labels))
+        if opened.isEmpty():
+            break
+        sketches = _sketches(bags, opened.select("node").distinct())
+        pairs = settle(_near_pairs(opened, sketches, threshold, best_only).join(tested, ["a", "b"], "left_anti"))
+        found = settle(_verified(pairs, bags, threshold))
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = settle(components(links))
         tested = tested.union(pairs)
+    return labels
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD,
@@ -220,8 +299,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: i
     texts = signed.filter("keys IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.any_value("keys").alias("keys"))
     texts = settle(texts)
     spread = texts.filter("node IS NOT NULL").select("node", F.explode("keys").alias("key")).distinct()
-    full = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k"))
-    members = settle(spread.join(full, F.col("key") == F.col("k"), "left_semi"))
+    full = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k"), "n")
+    members = settle(spread.join(full, F.col("key") == F.col("k")).select("key", "node", "n"))
     labels = _links(docs, id_col, text, members, size, threshold)
     node = texts.join(labels.select(F.col("node").alias("n"), "label"), F.col("node") == F.col("n"), "left")
     node = node.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.coalesce("label", "node").alias("class"))

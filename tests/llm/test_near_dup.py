@@ -101,6 +101,33 @@ def test_star_of_edited_copies_is_one_class(documents):
     assert set(got(documents(rows)).values()) == {0}
 
 
+def test_blocks_do_not_change_classes(documents, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    rows = corpus()
+    assert got(documents(rows)) == brute(rows)
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(0)
+    bags = [np.sort(r.integers(0, 40, r.integers(1, 90)).astype(np.uint64)) for _ in range(30)]
+    hashed = [np.sort(W.mix64(b)) for b in bags]
+    for most in (65535, 1):  # full classes too
+        sketch = np.stack([np.minimum(np.bincount((h >> np.uint64(40)).astype(int) % nd.CLASSES, minlength=nd.CLASSES), most) for h in hashed]).astype(np.uint16)
+        sizes = np.array([len(b) for b in bags])
+        bound = nd.bounds(sketch, sizes, sketch, sizes)
+        exact = np.array([[nd.overlap(a.tobytes(), b.tobytes()) for b in hashed] for a in hashed])
+        assert (bound >= exact - 1e-12).all()
+
+
+def test_chain_through_an_outlier(documents):
+    """Links that don't pass the central text: each text is near its neighbours only."""
+    words = prose(random.Random(5), 120)
+    rows = []
+    for i in range(40):
+        rows.append((i, " ".join([f"n{j}" for j in range(i * 2)][-60:] + words[: 120 - min(60, i * 2)])))
+    assert got(documents(rows)) == brute(rows)
+
+
 def test_hot_copies(documents):
     rows = [(i, "the same text again and again in most rows") for i in range(700)] + [(1000 + i, f"text number {i} is its own and no other has it {i}") for i in range(50)]
     classes = got(documents(rows))
