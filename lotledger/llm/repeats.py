@@ -8,7 +8,9 @@ judged on the input.
    in it. Equal windows have equal anchors, and neighbouring windows mostly share
    one, so a text has one anchor for about five windows. Anchors held by two
    documents or more are counted in one aggregate with a partial step.
-2. Confirmation. Documents are dealt into blocks of about ``BLOCK_BYTES`` by hash.
+2. Confirmation. Texts are dealt into blocks of about ``BLOCK_BYTES`` by hash, so that
+   copies of one text meet and are one text with the smallest of their ids; a batch
+   sends each of its texts once, however many of its rows hold it.
    Each block learns which of its anchors recur, and names each of its distinct
    windows with such an anchor by a 96-bit hash and one place in the block. Over
    all blocks the smallest document of each window is found; a block keeps the
@@ -18,7 +20,8 @@ judged on the input.
    document as the value. All documents of the block are streamed through each
    automaton, which locates every occurrence; those after the first document
    cover their words. Words are two signs of a code made for the block, so that
-   matches begin and end on words.
+   matches begin and end on words. A later copy of a text starts all its windows in
+   an earlier document: its words go if it has a window at all.
 
 A passage that a third of all documents hold is one partial row a task in step 1
 and one row a block in step 2. An automaton is never larger than a shard, nor
@@ -95,6 +98,26 @@ def _recurring(docs: DataFrame, window: int) -> DataFrame:
     return settle(counted.filter("n > 1").select(F.col("anchor").alias("recurring")))
 
 
+def _texts(docs: DataFrame, blocks: int) -> DataFrame:
+    """(k1, k2, block, id, text): the distinct texts of each batch with their smallest ids."""
+    base = docs.select("id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            ids = batch.column("id")
+            # By key, rows with an id first and in its order: the first row of each key stands for the text.
+            order = np.lexsort((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), k2, k1))
+            a, b = k1[order], k2[order]
+            first = np.ones(len(order), bool)
+            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            one = batch.take(pa.array(order[first]))
+            block = pa.array((one.column("k1").to_numpy().view(np.uint64) % np.uint64(blocks)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("k1", "k2")), block, one.column("id"), one.column("text")], names=["k1", "k2", "block", "id", "text"])
+
+    return base.mapInArrow(run, "k1 long, k2 long, block int, id long, text string")
+
+
 def _block_anchors(docs: DataFrame, window: int) -> DataFrame:
     """(anchor, block), distinct within a slice."""
 
@@ -111,8 +134,12 @@ def _block_anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _ordered(block: pa.Table) -> pa.Table:
-    """The block's documents in an order that doesn't depend on how they came."""
-    return block.sort_by([("id", "ascending"), ("text", "ascending")])
+    """The block's distinct texts, in the order of their keys, each with its smallest id."""
+    block = block.sort_by([("k1", "ascending"), ("k2", "ascending"), ("id", "ascending")])
+    a, b = block.column("k1").to_numpy(), block.column("k2").to_numpy()
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return block.filter(pa.array(first))
 
 
 def _windows(size: int):
@@ -181,7 +208,7 @@ def locate(texts: list[list[bytes]], windows: list[tuple[int, int]], first: np.n
 
 
 def _judged(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
-    """For a block: each document with its words counted and the kept ones digested."""
+    """For a block: each text with its words counted and, for its first document, the kept ones digested."""
     docs = _ordered(docs)
     texts = [(t.as_py() or "").encode("utf-8").split() for t in docs.column("text")]
     ids = docs.column("id").to_pylist()
@@ -193,16 +220,19 @@ def _judged(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
             if ids[d] is not None and earliest < ids[d]:
                 covered[d][at] += 1
                 covered[d][at + WINDOW] -= 1
-    removed, digests, kept_texts = [], [], []
+    removed, digests, kept_texts, whole = [], [], [], []
     for t, c in zip(texts, covered, strict=True):
         gone = np.cumsum(c[:-1]) > 0 if c is not None else np.zeros(len(t), bool)
         kept = b" ".join([w for w, g in zip(t, gone.tolist(), strict=True) if not g] if gone.any() else t)
         removed.append(int(gone.sum()))
         digests.append(hashlib.sha256(kept).hexdigest())
         kept_texts.append(kept.decode("utf-8"))
+        whole.append(b" ".join(t).decode("utf-8") if gone.any() else kept_texts[-1])
     return pa.table({
-        "id": docs.column("id").cast(pa.int64()), "n_words": pa.array(map(len, texts), pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-        "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept_texts, pa.string()),
+        "t1": docs.column("k1"), "t2": docs.column("k2"), "first": docs.column("id"), "n_words": pa.array(map(len, texts), pa.int64()),
+        "gone": pa.array(removed, pa.int64()), "sha": pa.array(digests, pa.string()),
+        "whole_sha": pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in whole], pa.string()),
+        "rest": pa.array(kept_texts, pa.string()), "whole": pa.array(whole, pa.string()),
     })
 
 
@@ -213,11 +243,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     parts = max(1, -(-blocks // BLOCKS_A_PARTITION))
-    d = d.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-
+    d = d.withColumn("text", F.coalesce("text", F.lit("")))
+    texts = _texts(d, blocks)
     recurring = _recurring(d.filter("id IS NOT NULL"), WINDOW)
-    known = _block_anchors(d.filter("id IS NOT NULL"), WINDOW).join(recurring, F.col("anchor") == F.col("recurring"), "left_semi")
-    by_block = d.repartition(parts, "block")
+    known = _block_anchors(texts.filter("id IS NOT NULL"), WINDOW).join(recurring, F.col("anchor") == F.col("recurring"), "left_semi")
+    by_block = texts.repartition(parts, "block")
     windows = by_block.groupBy("block").cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(
         _windows(WINDOW), "key long, tag int, block int, place long, first long"
     )
@@ -226,10 +256,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     confirmed = windows.withColumn("earliest", earliest).filter((F.col("earliest") < F.col("first")) | (F.col("place") < 0))
     confirmed = confirmed.select("block", "place", "earliest")
     judged = by_block.groupBy("block").cogroup(confirmed.repartition(parts, "block").groupBy("block")).applyInArrow(
-        _judged if with_text else _without_text, "id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
+        _judged if with_text else _without_text,
+        "t1 long, t2 long, first long, n_words long, gone long, sha string, whole_sha string" + (", rest string, whole string" if with_text else ""),
+    )
+    rows = d.select("id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    out = rows.join(judged, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")))
+    own, copy = F.col("id") == F.col("first"), (F.col("id") > F.col("first")) & (F.col("n_words") >= WINDOW)
+    pick = lambda mine, none, every: F.when(own, mine).when(copy, none).otherwise(every)
+    return out.select(
+        F.col("id").alias(id_col), "n_words", pick(F.col("gone"), F.col("n_words"), F.lit(0)).cast("long").alias("n_removed"),
+        pick(F.col("sha"), F.sha2(F.lit("").cast("binary"), 256), F.col("whole_sha")).alias("kept_sha256"),
+        *([pick(F.col("rest"), F.lit(""), F.col("whole")).alias("kept")] if with_text else []),
     )
-    return judged.withColumnRenamed("id", id_col)
 
 
 def _without_text(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
-    return _judged(docs, confirmed).drop_columns(["kept"])
+    return _judged(docs, confirmed).drop_columns(["rest", "whole"])

@@ -78,6 +78,13 @@ def test_hot_passage(documents):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
+def test_hot_copies(documents):
+    text = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, text) for i in range(5, 600)] + [(3, "x " + text + " y"), (1000, "short one"), (1001, "short one")]
+    got = repeats.remove_repeats(documents(rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
 def test_empty_table_and_clashing_columns(documents):
     assert repeats.remove_repeats(documents([])).collect() == []
     df = documents([(1, "a b")]).withColumn("block", F.lit(9)).withColumn("id", F.lit("x")).withColumn("n_words", F.lit(0))
