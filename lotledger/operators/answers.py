@@ -16,12 +16,13 @@ def _folded(c: Column) -> Column:
 
 def canonical_options(answers: DataFrame, options: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Inner join of answers to allowed options: exact text first, then caseless
-    and trimmed. ``options``: ``by..., option``. Adds ``canonical``."""
+    and trimmed, the last listed of options that fold alike. ``options``: ``by...,
+    option, ord``. Adds ``canonical``."""
     exact = options.select(*by, F.col("option").alias(value), F.col("option").alias("__exact")).distinct()
     loose = (
         options.withColumn("__fold", _folded(F.col("option")))
         .groupBy(*by, "__fold")
-        .agg(F.max("option").alias("__loose"))
+        .agg(F.max_by("option", "ord").alias("__loose"))
     )
     return (
         answers.join(exact, [*by, value], "left")
@@ -41,7 +42,7 @@ def clean_field_answers(answers: DataFrame, fields: DataFrame) -> DataFrame:
     """
     known = answers.filter(tx.strip(F.col("value")) != "").join(fields.select("field", "type"), "field")
     cols = ["car", "provider", "field", "value"]
-    allowed = fields.filter("type = 'select'").select("field", F.explode("options").alias("option"))
+    allowed = fields.filter("type = 'select'").select("field", F.posexplode("options").alias("ord", "option"))
     selected = canonical_options(known.filter("type = 'select'"), allowed, ["field"]).select(
         *cols[:3], F.col("canonical").alias("value")
     )
@@ -108,7 +109,7 @@ def match_features(
     left = passed.filter("rule_label IS NULL").select("car", F.col("item").alias("label")).distinct()
     asked = answers.join(left.select("car").distinct(), "car", "left_semi")
     matched = canonical_options(
-        asked.filter("kind = 'matched'"), vocabulary.select(F.col("label").alias("option")), [], "label"
+        asked.filter("kind = 'matched'"), vocabulary.select(F.col("label").alias("option"), "ord"), [], "label"
     ).select("car", "provider", "kind", F.col("canonical").alias("label"))
     unmatched = asked.filter("kind != 'matched'").join(left, ["car", "label"], "left_semi").select(
         "car", "provider", "kind", "label"

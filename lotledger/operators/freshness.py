@@ -15,10 +15,11 @@ def entry_line(path: Column, is_dir: Column, size: Column, mtime_ns: Column) ->
     return F.concat_ws("\u001f", path, kind, file_only(size), file_only(mtime_ns))
 
 
-def tree_fingerprint(entries: DataFrame) -> DataFrame:
+def tree_fingerprint(entries: DataFrame, line_hash: Column | None = None) -> DataFrame:
     """Count, sum and xor of line hashes in one row: fully combinable, no sort, no
     gathering. Only equality of fingerprints carries meaning."""
-    h = F.xxhash64(entry_line(F.col("path"), F.col("is_dir"), F.col("size"), F.col("mtime_ns")))
+    line = entry_line(F.col("path"), F.col("is_dir"), F.col("size"), F.col("mtime_ns"))
+    h = F.xxhash64(line) if line_hash is None else line_hash
     return entries.agg(
         F.count("*").alias("n_entries"),
         F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("hash_sum"),

@@ -27,7 +27,6 @@ LITTER_SUFFIXES = (".ini", ".db", ".tmp", ".lnk", ".url")
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".heic", ".bmp")
 BODY_TYPES = ("SEDAN", "SUV", "PICKUP", "BUS", "MPV", "CARGO VAN", "COUPE", "HATCHBACK")
 
-PHOTO_CAP = 200
 
 NO_COLOURS = (
     "the folder name states no '<EXTERIOR> INSIDE <INTERIOR>' pair, so which colour is outside and "
@@ -234,8 +233,8 @@ def index_counts(library: Library) -> DataFrame:
     )
 
 
-def car_files(entries: DataFrame, folders: DataFrame, cap: int = PHOTO_CAP) -> DataFrame:
-    """Photos (the first ``cap`` by path) and all PDFs below each folder.
+def car_files(entries: DataFrame, folders: DataFrame) -> DataFrame:
+    """All photos and PDFs below each folder, photos ranked by path from 1.
 
     ``folders``: ``folder_path``. An entry meets its folders by equality on its
     ancestors, never by a prefix comparison.
@@ -250,11 +249,8 @@ def car_files(entries: DataFrame, folders: DataFrame, cap: int = PHOTO_CAP) -> D
         .join(folders.select("folder_path").distinct(), "folder_path")
         .withColumn("relative_path", F.expr("substring(path, length(folder_path) + 2)"))
     )
-    by_path = Window.partitionBy("folder_path").orderBy("path")
-    photos = (
-        below.filter("kind = 'photo'").withColumn("n", F.row_number().over(by_path)).filter(F.col("n") <= cap).drop("n")
-    )
-    return photos.unionByName(below.filter("kind = 'pdf'"))
+    by_path = Window.partitionBy("folder_path", "kind").orderBy("path")
+    return below.withColumn("rank", F.when(F.col("kind") == "photo", F.row_number().over(by_path)))
 
 
 def colour_options(folders: DataFrame, siblings: DataFrame) -> DataFrame:

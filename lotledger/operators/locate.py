@@ -24,7 +24,6 @@ from lotledger.functions import text as tx
 from lotledger.operators.library import Library
 from lotledger.session import settle
 
-NAMES_INLINE = 20
 
 _LOGO_TAIL = r"(?i)[\s.\-]*(?:no|with\s*out)\s+logo\s*$"
 _CODES = tuple(f"c_{f}" for f in cp.CORROBORATORS)
@@ -63,13 +62,19 @@ def sheet_keys(name: Column) -> Column:
     return F.filter(F.array_distinct(keys), lambda k: k != "")
 
 
+def _stems(library: Library) -> DataFrame:
+    """``stem, path`` of the sheets of each folder; names fold to one form first."""
+    named = tx.fold_nfkc(library.sheets.select("name", F.col("folder_path").alias("path")), "name")
+    return named.select(F.explode(sheet_keys(F.col("name"))).alias("stem"), "path")
+
+
 def bucket_tables(library: Library) -> DataFrame:
     """Inverted index ``bucket, key, path``, each pair once."""
     car = F.col("car")
     folders = library.folders.select(
         "path", car.designation.fingerprint.alias("d"), carkey.brand_key(car).alias("b")
     )
-    stems = library.sheets.select(F.explode(sheet_keys(F.col("name"))).alias("key"), F.col("folder_path").alias("path"))
+    stems = _stems(library).select(F.col("stem").alias("key"), "path")
     return (
         folders.select(F.lit("designation_fingerprint").alias("bucket"), F.col("d").alias("key"), "path")
         .unionByName(folders.select(F.lit("brand_token").alias("bucket"), F.col("b").alias("key"), "path"))
@@ -233,7 +238,7 @@ def locate(
         ).withColumn("signature", F.md5(F.concat_ws("\u001f", "d_fp", *_CODES)))
     )
     stems = (
-        library.sheets.select(F.explode(sheet_keys(F.col("name"))).alias("stem"), F.col("folder_path").alias("path"))
+        _stems(library)
         .distinct()
         .join(folders.select("path", "d_fp", "brand_key"), "path")
     )
@@ -461,18 +466,10 @@ def prefix_rejects(asked: DataFrame, folders: DataFrame) -> DataFrame:
 def messages(located: Located, number: str) -> DataFrame:
     """One folder path, or one sentence saying why there is none, per target.
 
-    Candidate names are spelled out for questions with at most ``NAMES_INLINE``
-    of them; longer lists stay in ``candidates``.
+    An ambiguous sentence gives the number of folders; ``candidates`` has their
+    names, a row each, for every question alike.
     """
-    few = located.answers.filter((F.col("n_candidates") > 0) & (F.col("n_candidates") <= NAMES_INLINE)).select("question")
-    label = F.concat_ws(" / ", tx.path_name(F.col("folder_path")), tx.path_name(F.col("variant_path")))
-    names = (
-        candidates(located).join(few, "question", "left_semi")
-        .groupBy("question")
-        .agg(F.array_sort(F.collect_list(F.struct("folder_path", "variant_path", label.alias("label")))).alias("l"))
-        .select("question", F.array_join(F.transform("l", lambda x: x.label), "; ").alias("names"))
-    )
-    t = located.targets.join(names, "question", "left")
+    t = located.targets
     num, car, s = F.col(number), F.col("car"), F.col("stage")
     named = tx.quoted(car.designation.raw)
     text = lambda c: c.cast("string")
@@ -505,7 +502,7 @@ def messages(located: Located, number: str) -> DataFrame:
         F.when(F.col("outcome") == "blocked", F.concat(F.lit("Could not look for "), num, F.lit(": "), reason))
         .when(F.col("outcome") == "ambiguous", F.concat(
             num, F.lit(" matches "), text(F.col("n_candidates")), F.lit(" folders and nothing separates them"),
-            F.coalesce(F.concat(F.lit(": "), F.col("names")), F.lit("")), F.lit(". The field that would settle it is '"),
+            F.lit(". The field that would settle it is '"),
             F.col("discriminator"), F.lit("'")))
         .when(F.col("outcome") == "absent", F.concat(F.lit("No folder for "), num, F.lit(": "), reason))
     )

@@ -4,7 +4,8 @@ One value is matched by exact name or alias, then by normalised form, then by
 token overlap. Work is done per *distinct* value, and each step only sees what
 the cheaper step left over.
 
-The token step has two plans. A catalog that is *checked* to be short and to
+Options stand in one total order (``ord``, then id, then name), so the answer is the
+same whichever plan finds it. The token step has two plans. A catalog that is *checked* to be short and to
 have no token held by more than ``hot_df`` options is broadcast: values meet it
 where they lie and only their first de-duplication shuffles. Any other catalog
 goes through keys, so that no value is compared with everything that shares a
@@ -164,7 +165,7 @@ def with_best_options(
 def _keyed_candidates(
     values: DataFrame, options: DataFrame, by: list[str], tokenise, hot_df: int, keep: int
 ) -> DataFrame:
-    """Best ``keep`` options per distinct value by overlap score, ties by ``ord``.
+    """Best ``keep`` options per distinct value by overlap score, ties by ``ord, id, name``.
 
     ``values``: ``by..., value``; ``options``: ``by..., id, name, ord``. Returns
     ``by..., value, rank, id, name, ord, score`` for scores above zero.
@@ -173,9 +174,9 @@ def _keyed_candidates(
         F.size("o_tok") > 0
     )
     # Equal token sets score equally: only the earliest few of each can rank.
-    first_few = Window.partitionBy(*by, "o_tok").orderBy("ord")
+    first_few = Window.partitionBy(*by, "o_tok").orderBy("ord", "id", "name")
     opts = opts.withColumn("n", F.row_number().over(first_few)).filter(F.col("n") <= keep).drop("n")
-    sets = opts.groupBy(*by, "o_tok").agg(F.min("ord").alias("set_ord"))
+    sets = opts.groupBy(*by, "o_tok").agg(F.min(F.struct("ord", "id", "name")).alias("set_ord"))
 
     df = sets.select(*by, F.explode("o_tok").alias("tok")).groupBy(*by, "tok").agg(
         (F.count("*") > hot_df).alias("hot")
@@ -215,7 +216,7 @@ def _keyed_candidates(
     pairs = (
         key_rows(v_sets, "v_tok", []).join(posts, [*by, "level", "key"]).select(*by, "v_tok", "o_tok").distinct()
     )
-    best = Window.partitionBy(*by, "v_tok").orderBy(F.desc("score"), "ord")
+    best = Window.partitionBy(*by, "v_tok").orderBy(F.desc("score"), "ord", "id", "name")
     ranked = (
         pairs.withColumn("score", tx.set_score(F.col("o_tok"), F.col("v_tok")))
         .join(opts, [*by, "o_tok"])

@@ -13,7 +13,6 @@ WHITE_PIXEL = 235
 PAGE_WHITE_MAX = 0.5
 PAGE_COLOUR_MIN = 1.4
 PHOTO_MIN_CONFIDENCE = 0.6
-PAGE_CAP = 40
 
 
 def page_statistics(pages: DataFrame) -> DataFrame:
@@ -43,14 +42,13 @@ def is_photo_page(white_fraction: Column, colourfulness: Column) -> Column:
     return (white_fraction < PAGE_WHITE_MAX) & (colourfulness >= PAGE_COLOUR_MIN)
 
 
-def spec_page_boundary(pages: DataFrame, cap: int = PAGE_CAP) -> DataFrame:
+def spec_page_boundary(pages: DataFrame) -> DataFrame:
     """Pages to keep per document: up to the first pair of photo pages after page
     one, else all. ``pages``: ``doc, page`` (from 0, no gaps), ``photo``.
 
     The neighbour test is an equality join of a page with its successor, and the
     boundary a minimum, so long documents are not gathered.
     """
-    pages = pages.filter(F.col("page") < cap)
     photo = pages.filter("photo AND page >= 1").select("doc", "page")
     pair = photo.join(photo.select("doc", (F.col("page") - 1).alias("page")), ["doc", "page"]).groupBy("doc").agg(
         F.min("page").alias("first_pair")

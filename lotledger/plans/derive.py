@@ -70,15 +70,15 @@ FROM {part}
 """
 DERIVED["price_items"] = """
 SELECT concat('P', CAST(l_partkey AS STRING)) AS model_number, l_quantity AS new_price_aed,
-       l_orderkey * 1000000 + l_suppkey * 10 + l_linenumber AS ord
-FROM {lineitem} WHERE l_returnflag = 'R' AND l_discount > 0.07
+       ((l_orderkey * 1000000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS ord
+FROM {lineitem}
 """
 DERIVED["listing_changes"] = """
 SELECT concat('P', CAST(l_partkey AS STRING)) AS model_number,
        CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS price_aed,
        CASE WHEN l_linestatus = 'F' THEN 'hidden' WHEN l_tax > 0.06 THEN 'active' END AS status,
-       l_orderkey * 1000000 + l_suppkey * 10 + l_linenumber AS ord
-FROM {lineitem} WHERE l_discount > 0.08
+       ((l_orderkey * 1000000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS ord
+FROM {lineitem}
 """
 
 _NAME = re.compile(r"\{(\w+)\}")

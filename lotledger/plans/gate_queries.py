@@ -79,7 +79,7 @@ def upload_guard(spark, sf):
     name = F.concat(F.col("source"), F.when(F.col("lang") == "en", F.lit(".PDF")).when(F.col("lang") == "fr", F.lit(".txt")).otherwise(F.lit("")))
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", uploads.rejection(name, F.col("n_chars"), [".pdf"], 2000).isNull().alias("accepted"),
-                       F.when(F.col("lang") != "en", uploads.rejection(name, F.col("n_chars"), [".pdf"], 2000)).alias("reason"))
+                       uploads.rejection(name, F.col("n_chars"), [".pdf"], 2000).alias("reason"))
 
 
 def taxonomy_payload(spark, sf):
@@ -117,7 +117,7 @@ ORACLES = {
       SELECT event_id, concat_ws('; ', {", ".join(f"CASE WHEN NOT list_contains(ks, '{k}') THEN 'missing top-level key ''{k}''' END" for k in rp.REQUIRED_KEYS)},
         CASE WHEN ts <> 'ARRAY' THEN '''raw_specifications'' should be an array, got str' END, CASE WHEN tf <> 'ARRAY' THEN '''raw_features'' should be an array, got dict' END,
         CASE WHEN ts = 'ARRAY' AND json_array_length(json, '$.raw_specifications') = 0 THEN '''raw_specifications'' is empty — the model returned a skeleton, not an extraction' END) AS issues FROM k""",
-    "page_boundary": """WITH p AS (SELECT conv_id AS doc, turn AS page, length(text) % 100 < 50 AND length(text) % 7 >= 3 AS photo FROM conversations WHERE turn < 40),
+    "page_boundary": """WITH p AS (SELECT conv_id AS doc, turn AS page, length(text) % 100 < 50 AND length(text) % 7 >= 3 AS photo FROM conversations),
       n AS (SELECT doc, page, photo AND lead(photo) OVER (PARTITION BY doc ORDER BY page) AS pair FROM p)
       SELECT doc, count(*) AS n_pages, coalesce(min(page) FILTER (WHERE pair AND page >= 1), count(*)) AS boundary FROM n GROUP BY doc""",
     "photo_gate": f"WITH {_GATED} SELECT vec_id, confidence, label, slot FROM t",
@@ -126,7 +126,8 @@ ORACLES = {
     "text_layer_gate": f"""WITH w AS (SELECT doc_id, CASE WHEN {ps.clean('text')} = '' THEN 0 ELSE len(string_split({ps.clean('text')}, ' ')) END AS n_words FROM documents)
       SELECT doc_id, n_words, CASE WHEN n_words >= 50 THEN 'text' ELSE 'vision' END AS route FROM w""",
     "upload_guard": """SELECT doc_id, lang = 'en' AND n_chars BETWEEN 1 AND 2000 AS accepted,
-      CASE WHEN lang = 'fr' THEN 'Unsupported file type ''.txt'' — expected one of [''.pdf'']' WHEN lang <> 'en' THEN 'Unsupported file type ''(none)'' — expected one of [''.pdf'']' END AS reason FROM documents""",
+      CASE WHEN lang = 'fr' THEN 'Unsupported file type ''.txt'' — expected one of [''.pdf'']' WHEN lang <> 'en' THEN 'Unsupported file type ''(none)'' — expected one of [''.pdf'']'
+        WHEN n_chars = 0 THEN 'Uploaded file is empty' WHEN n_chars > 2000 THEN printf('File too large (%.1fMB) — max 0MB', n_chars / 1024.0 / 1024.0) END AS reason FROM documents""",
     "taxonomy_payload": """SELECT 'brand' AS level, concat('R', r_regionkey) AS id, r_name AS name, NULL AS parent_id FROM region
       UNION ALL SELECT 'model', CAST(n_nationkey AS STRING), n_name, concat('R', n_regionkey) FROM nation
       UNION ALL SELECT 'trim', CAST(s_suppkey AS STRING), s_name, CAST(s_nationkey AS STRING) FROM supplier""",

@@ -76,7 +76,11 @@ def folder_index(spark, sf):
 
 
 def tree_fingerprint(spark, sf):
-    return freshness.tree_fingerprint(entries(spark, sf)).select("n_entries")
+    """Count, sum and xor of a line hash that other engines have too (a digest's first 60 bits)."""
+    listing = entries(spark, sf)
+    line = freshness.entry_line(F.col("path"), F.col("is_dir"), F.col("size"), F.col("mtime_ns"))
+    digest = F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+    return freshness.tree_fingerprint(listing, digest).select("n_entries", F.col("hash_sum").cast("string").alias("hash_sum"), "hash_xor")
 
 
 def library_freshness(spark, sf):
@@ -99,8 +103,7 @@ def library_freshness(spark, sf):
 def car_files(spark, sf):
     listing = entries(spark, sf)
     folders = index(spark, sf).folders.select(F.col("path").alias("folder_path"))
-    got = library.car_files(listing, folders, cap=5)
-    return got.select("folder_path", "kind", "relative_path", "size")
+    return library.car_files(listing, folders).select("folder_path", "kind", "relative_path", "size", "rank")
 
 
 def colour_siblings(spark, sf):
@@ -173,7 +176,9 @@ ORACLES = {
         {_SUFFIX} IN ({ps.quoted(library.IMAGE_SUFFIXES)}) AS image FROM library_entries)
       SELECT parent AS path, len(string_split(parent, '/')) AS depth, count(*) FILTER (WHERE pdf) AS n_pdfs, count(*) FILTER (WHERE image) AS image_count,
         min(name) FILTER (WHERE pdf) AS first_pdf, max(name) FILTER (WHERE pdf) AS last_pdf FROM f WHERE (pdf OR image) AND parent <> '' GROUP BY parent""",
-    "tree_fingerprint": f"WITH {with_clause('library_entries')} SELECT count(*) AS n_entries FROM library_entries",
+    "tree_fingerprint": f"""WITH {with_clause('library_entries')}, h AS (SELECT ('0x' || md5(concat_ws(chr(31), path, CASE WHEN is_dir THEN 'd' ELSE 'f' END,
+        CASE WHEN is_dir THEN '' ELSE CAST(size AS STRING) END, CASE WHEN is_dir THEN '' ELSE CAST(mtime_ns AS STRING) END))[1:15])::BIGINT AS h FROM library_entries)
+      SELECT count(*) AS n_entries, CAST(sum(h) AS STRING) AS hash_sum, bit_xor(h) AS hash_xor FROM h""",
     "library_freshness": f"""WITH {with_clause('library_entries')}, n AS (SELECT count(*) FILTER (WHERE name = 'Thumbs.db') AS k FROM library_entries)
       SELECT 'same' AS case_name, 'fresh' AS state, false AS root_mismatch, '' AS remedy UNION ALL
       SELECT 'changed', CASE WHEN k > 0 THEN 'stale' ELSE 'fresh' END, false, CASE WHEN k > 0 THEN 'recrawl the library' ELSE '' END FROM n UNION ALL
@@ -181,8 +186,8 @@ ORACLES = {
       SELECT 'empty', 'stale', false, 'recrawl; an empty index is never a valid description of this library'""",
     "car_files": f"""WITH {CRAWL}, x AS (SELECT f.path AS folder_path, e.path, e.size, CASE WHEN {_SUFFIX.replace('name', 'e.name')} = '.pdf' THEN 'pdf' ELSE 'photo' END AS kind
         FROM folders f JOIN library_entries e ON starts_with(e.path, f.path || '/') WHERE {_SUFFIX.replace('name', 'e.name')} IN ({ps.quoted(library.IMAGE_SUFFIXES + ('.pdf',))}))
-      SELECT folder_path, kind, substr(path, length(folder_path) + 2) AS relative_path, size FROM
-        (SELECT *, row_number() OVER (PARTITION BY folder_path, kind ORDER BY path) AS rn FROM x) WHERE kind = 'pdf' OR rn <= 5""",
+      SELECT folder_path, kind, substr(path, length(folder_path) + 2) AS relative_path, size,
+        CASE WHEN kind = 'photo' THEN row_number() OVER (PARTITION BY folder_path, kind ORDER BY path) END AS rank FROM x""",
     "colour_siblings": f"""WITH {CRAWL}, {ps.leaf_ctes('variants', 'path', 'name', 'lv')}
       SELECT v.folder_path AS parent, v.path, v.name AS folder, lv.loose_exterior AS exterior, lv.loose_interior AS interior
       FROM variants v JOIN lv ON lv.path = v.path WHERE lv.loose_exterior IS NOT NULL""",

@@ -88,7 +88,7 @@ def compare_fields(spark, sf):
 
 def locate_messages(spark, sf):
     out = loc.messages(_located(spark, sf), "car_string")
-    return out.select("car_id", "located_path", "outcome", F.when(F.col("outcome") == "absent", F.col("message")).alias("message"))
+    return out.select("car_id", "located_path", "outcome", "message")
 
 
 QUERIES = {
@@ -214,7 +214,7 @@ ORACLES = {
       SELECT a.desig_fp AS d_fp, b.desig_fp AS folder_fp, n AS n_folders FROM a JOIN b ON b.brand_key = a.brand_key AND a.desig_fp <> b.desig_fp
         AND (starts_with(a.desig_fp, b.desig_fp) OR starts_with(b.desig_fp, a.desig_fp))""",
     "retrieval_blocks": f"WITH {_PLAIN} SELECT car_id, bucket, key, count(*) AS n_folders FROM hits GROUP BY car_id, bucket, key",
-    "locate_messages": f"""WITH {_PLAIN} SELECT l.car_id, variant_path AS located_path, outcome, CASE WHEN outcome = 'absent' THEN concat('No folder for ', c.car_string, ': ',
+    "locate_messages": f"""WITH {_PLAIN} SELECT l.car_id, variant_path AS located_path, outcome, CASE WHEN outcome = 'ambiguous' THEN concat(c.car_string, ' matches ', n_candidates, ' folders and nothing separates them. The field that would settle it is ''', discriminator, '''') WHEN outcome = 'absent' THEN concat('No folder for ', c.car_string, ': ',
         CASE stage WHEN 'nothing_offered' THEN 'no model folder was offered for comparison'
           WHEN 'nameless' THEN concat({_Q("coalesce(nullif(tc.raw, ''), '(empty)')")}, ' states no name to match on, so every one of the ', n_pool, ' folders considered failed the designation gate')
           WHEN 'no_such_name' THEN concat('no folder is named for ', {_Q('tc.designation')}, '; ', n_pool, ' considered, ', tally)

@@ -55,10 +55,14 @@ def parse_spec_catalog(payloads: DataFrame, column: str = "payload") -> tuple[Da
 
 
 def parse_taxonomy(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """``level, id, name, aliases, parent_id, ord`` of three fixed levels. A node
-    without an id gets one from its path of positions."""
-    root = payloads.select(F.posexplode(F.from_json(column, _TREE)).alias("ord", "n"))
-    out, level = None, root.select("n", F.col("ord").cast("string").alias("at"), F.lit(None).cast("string").alias("parent_id"))
+    """``level, id, name, aliases, parent_id, ord`` of three fixed levels. ``ord`` is
+    the path of positions, padded so that it sorts as the payload lists. A node
+    without an id gets one from this path; ``payload_id`` of the payloads, if there
+    is such a column, keeps the paths of several payloads apart."""
+    lead = F.concat(F.col("payload_id").cast("string"), F.lit(":")) if "payload_id" in payloads.columns else F.lit("")
+    padded = lambda i: F.lpad(F.col(i).cast("string"), 9, "0")
+    root = payloads.select(lead.alias("lead"), F.posexplode(F.from_json(column, _TREE)).alias("ord", "n"))
+    out, level = None, root.select("n", F.concat("lead", padded("ord")).alias("at"), F.lit(None).cast("string").alias("parent_id"))
     for name in ("brand", "model", "trim"):
         level = level.withColumn(
             "id", F.coalesce(*[F.nullif(F.col(f"n.{k}"), F.lit("")) for k in ("id", "value", "key")], F.concat(F.lit("@"), "at"))
@@ -71,7 +75,7 @@ def parse_taxonomy(payloads: DataFrame, column: str = "payload") -> DataFrame:
         if name != "trim":
             below = F.coalesce(*[F.when(F.size(f"n.{k}") > 0, F.col(f"n.{k}")) for k in ("children", "models", "trims")])
             level = level.select("at", F.col("id").alias("parent_id"), F.posexplode(below).alias("i", "n")).select(
-                "n", F.concat("at", F.lit("."), F.lpad(F.col("i").cast("string"), 9, "0")).alias("at"), "parent_id"
+                "n", F.concat("at", F.lit("."), padded("i")).alias("at"), "parent_id"
             )
     return out
 

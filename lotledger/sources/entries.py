@@ -17,8 +17,9 @@ def read_entries(spark: SparkSession, root: str) -> DataFrame:
     )
     base = root.rstrip("/") + "/"
     # Scheme and authority vary by file system; the root's own text does not.
-    relative = F.substring_index(F.col("path"), base, -1) if "://" in root else F.expr(
-        f"substring(path, instr(path, '{base}') + {len(base)})"
+    path = F.col("path")
+    relative = F.substring_index(path, base, -1) if "://" in root else F.substring(
+        path, F.locate(base, path) + F.lit(len(base)), F.length(path)
     )
     return files.select(
         relative.alias("path"),

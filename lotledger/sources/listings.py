@@ -24,12 +24,31 @@ LISTING_SCHEMA = T.StructType(
 _CORRUPT = "_corrupt"
 
 
-def read_listings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(listings, quarantine)`` from JSON lines; the quarantine keeps the raw text."""
+def parse_listings(records: DataFrame, record: str = "record") -> tuple[DataFrame, DataFrame]:
+    """``(listings, quarantine)`` from one JSON object a row. Keys that are not fields of a
+    listing are kept in ``extra`` (their JSON text, strings without quotes)."""
     schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", schema, options).alias("j"))
-    broken = F.col("j").isNull() | F.col(f"j.{_CORRUPT}").isNotNull()
-    good = parsed.filter(~broken).select("j.*").drop(_CORRUPT)
-    return good, parsed.filter(broken).select(F.col("value").alias("record"))
+    text = F.col(record)
+    parsed = records.select(
+        text.alias("record"), F.from_json(text, schema, options).alias("j"), F.from_json(text, "map<string,string>").alias("keys")
+    )
+    broken = F.col("j").isNull() | F.col(f"j.{_CORRUPT}").isNotNull() | ~F.trim("record").startswith("{")
+    foreign = F.map_filter("keys", lambda k, v: ~k.isin(*LISTING_SCHEMA.names))
+    extra = F.map_concat(foreign, F.coalesce("j.extra", F.create_map().cast("map<string,string>")))
+    good = parsed.filter(~broken).select(
+        *(F.when(F.map_entries(extra) != F.array().cast("array<struct<key:string,value:string>>"), extra).alias(n) if n == "extra" else F.col(f"j.{n}") for n in LISTING_SCHEMA.names)
+    )
+    return good, parsed.filter(broken).select("record")
+
+
+def read_listings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(listings, quarantine)`` of files that hold one JSON array each, indented or not, or one
+    JSON object a line. A file whose array can't be read as a whole is quarantined as a whole."""
+    files = spark.read.text(path, wholetext=True).select(F.trim("value").alias("text"))
+    is_array = F.col("text").startswith("[")
+    whole = files.filter(is_array).withColumn("items", F.from_json("text", "array<string>"))
+    items = whole.filter("items IS NOT NULL").select(F.explode("items").alias("record"))
+    lines = files.filter(~is_array).select(F.explode(F.split("text", "\n")).alias("record")).filter(F.trim("record") != "")
+    good, bad = parse_listings(items.unionByName(lines))
+    return good, bad.unionByName(whole.filter("items IS NULL").select(F.col("text").alias("record")))

@@ -20,7 +20,7 @@ STOCK_SCHEMA = (
 def start_stock_feed(
     spark: SparkSession, source: str, reports: str, checkpoint: str, listings: Callable[[], DataFrame], fmt: str = "json"
 ) -> StreamingQuery:
-    """Diff every micro-batch against the listings as of that batch.
+    """Diff every file against the listings as of its batch: one file is one batch.
 
     Reports land in ``reports/report_id=<batch>``; a replayed batch replaces its
     own partition, so the sink is idempotent.
@@ -37,7 +37,7 @@ def start_stock_feed(
         )
 
     return (
-        spark.readStream.schema(STOCK_SCHEMA).format(fmt).load(source)
+        spark.readStream.schema(STOCK_SCHEMA).option("maxFilesPerTrigger", 1).format(fmt).load(source)
         .writeStream.foreachBatch(diff_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -42,6 +42,27 @@ def test_repair_cases():
     assert rp.repair_json("[1, 2") == (None, 5)
 
 
+def test_repair_keeps_the_longest_valid_prefix():
+    whole = '{"a": [1, {"b": "x, ]"}, [2, 3]], "c": {"d": null}, "e": "t"}'
+    for n in range(1, len(whole)):
+        text, lost = rp.repair_json(whole[:n])
+        fits = []
+        for k in range(n + 1):
+            for closing in ("}", "]}", "}}", "}]}", "]]}"):
+                try:
+                    value = json.loads(whole[:k].rstrip().rstrip(",") + closing)
+                except ValueError:
+                    continue
+                # Cut after an element: the next sign ends it, or it was itself closed.
+                if whole[k : k + 1] == "," or whole[k - 1 : k] in ("}", "]"):
+                    fits.append((k, value))
+        want = max(fits, key=lambda f: f[0], default=None) if fits else None
+        if want is None or want[0] > n - (whole[want[0] : want[0] + 1] == ","):
+            continue
+        assert text is not None and json.loads(text) == want[1], whole[:n]
+        assert lost == n - len(whole[: want[0]].rstrip().rstrip(","))
+
+
 def test_unwrapping(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(rp.strip_fences(F.lit("```json\n{}\n```  "))) == "{}"
@@ -143,11 +164,11 @@ def test_fingerprint_ignores_order_not_content(spark):
     assert fp(rows) != fp([("a/b.jpg", "b.jpg", False, 2, 2), rows[1]])
 
 
-def test_car_files_cap(spark):
+def test_car_files_are_whole_and_ranked(spark):
     rows = [(f"x/f/p{i}.jpg", f"p{i}.jpg", False, 1, 1) for i in range(9)] + [("x/f/s/a.pdf", "a.pdf", False, 1, 1), ("x/fo/q.jpg", "q.jpg", False, 1, 1)]
     entries = spark.createDataFrame(rows, "path string, name string, is_dir boolean, size long, mtime_ns long")
-    got = library.car_files(entries, spark.createDataFrame([("x/f",)], "folder_path string"), cap=4).collect()
-    assert sorted(r.relative_path for r in got) == ["p0.jpg", "p1.jpg", "p2.jpg", "p3.jpg", "s/a.pdf"]
+    got = library.car_files(entries, spark.createDataFrame([("x/f",)], "folder_path string")).collect()
+    assert sorted((r.relative_path, r["rank"]) for r in got) == [*((f"p{i}.jpg", i + 1) for i in range(9)), ("s/a.pdf", None)]
 
 
 def test_answer_cache(spark, tmp_path):
@@ -169,3 +190,10 @@ def test_stock_feed(spark, tmp_path):
         start_stock_feed(spark, str(source), reports, str(tmp_path / "cp"), lambda: live).awaitTermination()
     got = sorted((r.report_id, r.bucket, r.model_number) for r in spark.read.parquet(reports).collect())
     assert got == [(0, "new", "B"), (0, "unchanged", "a")]
+    # Two files that wait together are two snapshots.
+    (source / "b.json").write_text('{"ord": 1, "model_code": "C", "aed_price": "5"}\n')
+    (source / "c.json").write_text('{"ord": 1, "model_code": "A", "aed_price": "5"}\n')
+    start_stock_feed(spark, str(source), reports, str(tmp_path / "cp"), lambda: live).awaitTermination()
+    later = sorted((r.report_id, r.bucket, r.model_number) for r in spark.read.parquet(reports).filter("report_id > 0").collect())
+    assert {r[0] for r in later} == {1, 2}
+    assert sorted(r[1:] for r in later) == [("hidden", "a"), ("new", "C"), ("unchanged", "a")]

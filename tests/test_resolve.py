@@ -128,6 +128,6 @@ def test_catalog_payloads(spark):
     assert [(r.id, r.name, r.parent_id) for r in values.collect()] == [("4", "Blue", "1")]
     tree = '[{"name":"KIA","models":[{"title":"Rio","id":7,"trims":[{"label":"L"},{"label":"X","aliases":["x1"]}]}]}]'
     rows = {(r.level, r.name): r for r in catalogs.parse_taxonomy(spark.createDataFrame([(tree,)], "payload string")).collect()}
-    assert rows[("brand", "KIA")].id == "@0" and rows[("model", "Rio")].parent_id == "@0"
+    assert rows[("brand", "KIA")].id == "@000000000" and rows[("model", "Rio")].parent_id == "@000000000"
     assert rows[("trim", "X")].aliases == ["x1"] and rows[("trim", "L")].parent_id == "7"
     assert len({r.id for r in rows.values()}) == len(list(itertools.chain(rows)))

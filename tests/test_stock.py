@@ -92,6 +92,18 @@ def test_listings_quarantine(spark, tmp_path):
     assert bad.count() == 1
 
 
+def test_listings_array_keeps_all_keys(spark, tmp_path):
+    path = tmp_path / "l.json"
+    path.write_text('[\n  {"model_number": "A", "price_aed": 1.5,\n   "body": "SUV", "fields": {"seats": 5}, "extra": {"x": "y"}},\n  {"model_number": "B"},\n  7\n]\n')
+    good, bad = listing_source.read_listings(spark, str(path))
+    rows = {r.model_number: r for r in good.collect()}
+    assert rows["A"].price_aed == 1.5 and rows["A"].extra == {"body": "SUV", "fields": '{"seats":5}', "x": "y"}
+    assert rows["B"].extra is None and [r.record for r in bad.collect()] == ["7"]
+    (tmp_path / "m.json").write_text('[{"model_number": "A"}, {"model')
+    good, bad = listing_source.read_listings(spark, str(tmp_path / "m.json"))
+    assert good.count() == 0 and bad.count() == 1
+
+
 def test_html_export(spark, tmp_path):
     html = "<table><tr><td>x</td></tr></table><TABLE><tr><th>Model Code</th><th>P</th></tr><tr><td>A&nbsp;</td><td><b>1</b></td></tr></TABLE>"
     rows = stock.largest_html_table(spark.createDataFrame([("f", html)], "file string, html string")).orderBy("row_no").collect()
