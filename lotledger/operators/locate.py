@@ -110,6 +110,37 @@ def retrieval_counts(asked: DataFrame, buckets: DataFrame) -> DataFrame:
     return probes(asked).join(sizes, ["bucket", "key"])
 
 
+def _stray_counts(keys: DataFrame, stems: DataFrame) -> DataFrame:
+    """``d_fp, brand_key, raw_fp, n_stray``: folders that hold a sheet named after the whole text
+    or its name, and have neither the name nor the brand.
+
+    Counted per stem from totals (all, less those of the name, less those of the brand, plus
+    those of both), then the folders behind both stems are taken off once. Only the latter looks
+    at folders, those of the text's own stem.
+    """
+    s = stems.select("stem", "path", F.col("d_fp").alias("fd"), F.col("brand_key").alias("fb"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = keys.select("*", F.explode(F.array_distinct(F.array("raw_fp", "d_fp"))).alias("at")).filter("at != ''")
+    for name, own in (("n_all", []), ("n_name", ["fd"]), ("n_brand", ["fb"]), ("n_two", ["fd", "fb"])):
+        held = s.groupBy("stem", *own).agg(F.count("*").alias(name))
+        on = F.col("at") == F.col("stem")
+        for c in own:
+            on = on & (F.col({"fd": "d_fp", "fb": "brand_key"}[c]) == F.col(c))
+        out = out.join(held, on, "left").drop("stem", "fd", "fb")
+    one = out.groupBy("d_fp", "brand_key", "raw_fp").agg(F.sum(n("n_all") - n("n_name") - n("n_brand") + n("n_two")).alias("n_one"))
+    both = (
+        keys.filter("raw_fp != d_fp AND raw_fp != '' AND d_fp != ''")
+        .join(s, F.col("raw_fp") == F.col("stem"))
+        .filter("fd != d_fp AND fb != brand_key")
+        .select("d_fp", "brand_key", "raw_fp", "path")
+        .join(s.select(F.col("stem").alias("d_fp"), "path"), ["d_fp", "path"], "left_semi")
+        .groupBy("d_fp", "brand_key", "raw_fp")
+        .agg(F.count("*").alias("n_twice"))
+    )
+    left = one.join(both, ["d_fp", "brand_key", "raw_fp"], "left")
+    return left.select("d_fp", "brand_key", "raw_fp", (F.col("n_one") - n("n_twice")).alias("n_stray")).filter("n_stray > 0")
+
+
 def _pool_sizes(asked: DataFrame, folders: DataFrame, stems: DataFrame) -> DataFrame:
     """Distinct folders behind all probes, by inclusion and exclusion.
 
@@ -121,17 +152,8 @@ def _pool_sizes(asked: DataFrame, folders: DataFrame, stems: DataFrame) -> DataF
     by_name = by_both.filter("d_fp != ''").groupBy("d_fp").agg(F.sum("n_both").alias("n_d"))
     by_brand = by_both.filter("brand_key != ''").groupBy("brand_key").agg(F.sum("n_both").alias("n_b"))
     overlap = by_both.filter("d_fp != '' AND brand_key != ''")
-    stray = (
-        keys.select("*", F.explode(F.array_distinct(F.array("raw_fp", "d_fp"))).alias("stem"))
-        .filter("stem != ''")
-        .join(stems.select("stem", "path", F.col("d_fp").alias("fd"), F.col("brand_key").alias("fb")), "stem")
-        .filter("fd != d_fp AND fb != brand_key")
-        .select("d_fp", "brand_key", "raw_fp", "path")
-        .distinct()
-        .groupBy("d_fp", "brand_key", "raw_fp")
-        .agg(F.count("*").alias("n_stray"))
-    )
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    stray = _stray_counts(keys, stems)
     return (
         keys.join(by_name, "d_fp", "left")
         .join(by_brand, "brand_key", "left")

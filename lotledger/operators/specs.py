@@ -16,9 +16,10 @@ PARENT_SCORE = 0.6
 def hinted_parent(label: Column) -> Column:
     """Parent by hint: the whole label first, then the first hint it contains."""
     plain = tx.clean(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), "[^a-z ]", " "))
-    whole = [F.when(plain == hint, F.lit(parent)) for hint, parent in SPEC_LABEL_HINTS.items()]
-    inside = [F.when(plain.contains(hint), F.lit(parent)) for hint, parent in SPEC_LABEL_HINTS.items()]
-    return F.coalesce(*whole, *inside)
+    # A constant list that is searched, not a branch for each hint: the plan stays small.
+    hints = F.array(*[F.struct(F.lit(h).alias("hint"), F.lit(p).alias("parent")) for h, p in SPEC_LABEL_HINTS.items()])
+    first = lambda test: F.get(F.filter(hints, test), F.lit(0))["parent"]
+    return tx.bound(plain, lambda p: F.coalesce(first(lambda h: p == h["hint"]), first(lambda h: F.contains(p, h["hint"]))))
 
 
 def label_parents(labels: DataFrame, parents: DataFrame) -> DataFrame:

@@ -68,6 +68,12 @@ SELECT concat('P', CAST(p_partkey AS STRING)) AS model_number, p_partkey AS ord,
        p_retailprice AS price_aed, p_name AS product_description, 0 AS updated_at
 FROM {part}
 """
+DERIVED["stored_listings"] = """
+SELECT CASE WHEN p_partkey % 10 = 0 THEN substring(body, 1, CAST(20 + p_partkey % 20 AS INT)) ELSE body END AS record
+FROM (SELECT p_partkey, replace(replace(concat('<"model_number": "P', CAST(p_partkey AS STRING), '", ',
+    CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('"body": "', p_type, '", ') END, '"status": "', CASE WHEN p_size % 3 = 0 THEN 'hidden' ELSE 'active' END,
+    '", "size": ', CAST(p_size AS STRING), ', "price_aed": ', CAST(p_size AS STRING), '.5>'), '<', chr(123)), '>', chr(125)) AS body FROM {part}) x
+"""
 DERIVED["price_items"] = """
 SELECT concat('P', CAST(l_partkey AS STRING)) AS model_number, l_quantity AS new_price_aed,
        ((l_orderkey * 1000000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS ord

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lotledger.functions import text as tx
 from lotledger.operators import changes, diff, pending
 from lotledger.plans.derive import table, with_clause
+from lotledger.sources import listings as listing_source
 from lotledger.sources.stock import stock_rows
 
 
@@ -14,6 +15,16 @@ def _stock(spark, sf):
     return stock_rows(table(spark, sf, "stock_file"), "ord")
 
 
+def listings_read(spark, sf):
+    """Stored listings, one JSON text a part, with keys the schema doesn't know and broken records."""
+    good, bad = listing_source.parse_listings(table(spark, sf, "stored_listings"))
+    extra = lambda k: F.element_at("extra", k)
+    rows = good.select(
+        F.lit("listing").alias("kind"), "model_number", "status", "price_aed", extra("body").alias("body"), extra("size").alias("size")
+    )
+    return rows.unionByName(bad.select(F.lit("broken").alias("kind"), F.col("record").alias("model_number")), allowMissingColumns=True)
+
+
 def stock_collapse(spark, sf):
     rows = _stock(spark, sf)
     aliases = diff.stock_aliases(rows).groupBy("model_code").agg(
@@ -120,7 +131,7 @@ def publish_new(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        stock_collapse, stock_diff, stock_diff_counts, pending_reconcile, pending_remove, pending_lookup,
+        listings_read, stock_collapse, stock_diff, stock_diff_counts, pending_reconcile, pending_remove, pending_lookup,
         listing_entry, apply_hidden, apply_price_updates, update_listings, publish_new,
     )
 }
@@ -190,6 +201,14 @@ new_keys AS (SELECT row_id, mk AS k FROM p WHERE bucket = 'new' AND mk <> ''
 _COLS = "row_id, bucket, model_number, product_description, price_aed"
 
 ORACLES = {
+    "listings_read": f"""WITH {with_clause('stored_listings')}
+      SELECT CASE WHEN json_valid(record) THEN 'listing' ELSE 'broken' END AS kind,
+        CASE WHEN json_valid(record) THEN record ->> '$.model_number' ELSE record END AS model_number,
+        CASE WHEN json_valid(record) THEN record ->> '$.status' END AS status,
+        CASE WHEN json_valid(record) THEN CAST(record ->> '$.price_aed' AS DOUBLE) END AS price_aed,
+        CASE WHEN json_valid(record) THEN record ->> '$.body' END AS body,
+        CASE WHEN json_valid(record) THEN record ->> '$.size' END AS size
+      FROM stored_listings""",
     "stock_collapse": f"""WITH {_ROWS},
       a AS (SELECT model_code, count(*) AS n_aliases, min(alias) AS first_alias, max(alias) AS last_alias
             FROM alias_ GROUP BY model_code)
