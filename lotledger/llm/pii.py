@@ -187,8 +187,11 @@ def find(docs: DataFrame, text: str = "text", base: str = "base_spans", spans: s
     """Every row, without its text, with its base spans and all its spans: arrays of (start, end,
     turn, kind), in code points, ordered by start and kind. The text is read once."""
     kept = [c for c in docs.columns if c not in (text, base, spans)]
-    scanned = settle(_scan(docs, text).select(*(F.col(f"`{c}`") for c in kept), "_k1", "_k2", "_base", "_more"))
-    return _spans(scanned, scanned, base, spans).select(*(F.col(f"`{c}`") for c in kept), base, spans)
+    # The caller's columns travel in one struct, so that no name meets one of the scan.
+    row = F.struct(F.lit(0).alias(unused(docs, "row")), *(F.col(f"`{c}`") for c in kept))
+    scanned = settle(_scan(docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_text")), "_text").select("_row", "_k1", "_k2", "_base", "_more"))
+    found = _spans(scanned, scanned, "_b", "_s")
+    return found.select(*(F.col(f"_row.`{c}`").alias(c) for c in kept), F.col("_b").alias(base), F.col("_s").alias(spans))
 
 
 def joined(spans: Column) -> Column:

@@ -156,6 +156,6 @@ def test_mask_replaces_spans(documents):
 def test_repeated_rows_empty_table_and_clashing_columns(documents):
     assert pii.find(documents([])).collect() == []
     assert pii.mask(documents([])).collect() == []
-    df = documents([(1, "a@b.cc"), (1, "a@b.cc"), (None, "a@b.cc")]).withColumn("start", F.lit(0)).withColumn("spans", F.lit("x"))
+    df = documents([(1, "a@b.cc"), (1, "a@b.cc"), (None, "a@b.cc")]).withColumn("start", F.lit(0)).withColumn("spans", F.lit("x")).withColumn("_k1", F.lit("k"))
     rows = pii.find(df).collect()
-    assert len(rows) == 3 and all(len(r["spans"]) == 1 and r["start"] == 0 for r in rows)
+    assert len(rows) == 3 and all(len(r["spans"]) == 1 and r["start"] == 0 and r["_k1"] == "k" for r in rows)
