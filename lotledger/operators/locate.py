@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lotledger.functions import carkey
 from lotledger.functions import compare as cp
 from lotledger.functions import text as tx
+from lotledger.functions.trust import remedy_text
 from lotledger.operators.library import Library
 from lotledger.session import settle
 
@@ -489,7 +490,8 @@ def messages(located: Located, number: str) -> DataFrame:
     """One folder path, or one sentence saying why there is none, per target.
 
     An ambiguous sentence gives the number of folders; ``candidates`` has their
-    names, a row each, for every question alike.
+    names, a row each, for every question alike. ``remedy`` is the code with what
+    to do; a message ends in it.
     """
     t = located.targets
     num, car, s = F.col(number), F.col("car"), F.col("stage")
@@ -528,6 +530,20 @@ def messages(located: Located, number: str) -> DataFrame:
             F.col("discriminator"), F.lit("'")))
         .when(F.col("outcome") == "absent", F.concat(F.lit("No folder for "), num, F.lit(": "), reason))
     )
-    return t.withColumn("reason", reason).withColumn("message", message).withColumn(
+    detail = (
+        F.when(F.col("outcome") == "blocked", F.lit("bring the index up to date before any car is looked up"))
+        .when((F.col("outcome") == "ambiguous") & F.col("separable"), F.concat(
+            F.lit("state the "), F.col("discriminator"), F.lit(" of this car, or let a reviewer choose")))
+        .when(F.col("outcome") == "ambiguous", F.lit("a reviewer has to open the folders and choose, one car may be filed twice"))
+        .when(s == "nothing_offered", F.lit("look over the shortlist, then add a folder if the library lacks this car"))
+        .when(s == "nameless", F.lit("give a code or description that names the car"))
+        .when(s == "no_such_name", F.concat(
+            F.lit("add a folder for "), named, F.lit(", or record the spelling under which the library holds it")))
+        .when(s == "spec_differs", F.concat(F.lit("check "), F.col("failed_specs"), F.lit(" on the vehicle")))
+        .when(F.col("outcome") == "absent", F.lit("photograph this colour, or check the colour on the vehicle"))
+    )
+    remedy = remedy_text(F.col("remedy_code"), detail)
+    message = F.concat(message, F.lit(". Remedy: "), remedy)
+    return t.withColumn("reason", reason).withColumn("remedy", remedy).withColumn("message", message).withColumn(
         "located_path", F.when(F.col("outcome") == "matched", F.col("variant_path"))
     )

@@ -214,7 +214,7 @@ ORACLES = {
       SELECT a.desig_fp AS d_fp, b.desig_fp AS folder_fp, n AS n_folders FROM a JOIN b ON b.brand_key = a.brand_key AND a.desig_fp <> b.desig_fp
         AND (starts_with(a.desig_fp, b.desig_fp) OR starts_with(b.desig_fp, a.desig_fp))""",
     "retrieval_blocks": f"WITH {_PLAIN} SELECT car_id, bucket, key, count(*) AS n_folders FROM hits GROUP BY car_id, bucket, key",
-    "locate_messages": f"""WITH {_PLAIN} SELECT l.car_id, variant_path AS located_path, outcome, CASE WHEN outcome = 'ambiguous' THEN concat(c.car_string, ' matches ', n_candidates, ' folders and nothing separates them. The field that would settle it is ''', discriminator, '''') WHEN outcome = 'absent' THEN concat('No folder for ', c.car_string, ': ',
+    "locate_messages": f"""WITH {_PLAIN} SELECT l.car_id, variant_path AS located_path, outcome, CASE WHEN outcome <> 'matched' THEN concat(CASE WHEN outcome = 'ambiguous' THEN concat(c.car_string, ' matches ', n_candidates, ' folders and nothing separates them. The field that would settle it is ''', discriminator, '''') WHEN outcome = 'absent' THEN concat('No folder for ', c.car_string, ': ',
         CASE stage WHEN 'nothing_offered' THEN 'no model folder was offered for comparison'
           WHEN 'nameless' THEN concat({_Q("coalesce(nullif(tc.raw, ''), '(empty)')")}, ' states no name to match on, so every one of the ', n_pool, ' folders considered failed the designation gate')
           WHEN 'no_such_name' THEN concat('no folder is named for ', {_Q('tc.designation')}, '; ', n_pool, ' considered, ', tally)
@@ -222,6 +222,13 @@ ORACLES = {
           WHEN 'no_folder_in_colour' THEN concat(n_surv, ' folders match this specification but none holds a variant in ', {_COLOUR('exterior')})
           WHEN 'no_variants' THEN concat({_Q(_NAME)}, ' holds no variant folders, so there is no colour to resolve')
           ELSE concat({_Q(_NAME)}, ' is the right model, but none of its ', n_variants, ' variants is ',
-            CASE WHEN failed_colour = 'interior' THEN {_COLOUR('interior')} ELSE {_COLOUR('exterior')} END) END) END AS message
+            CASE WHEN failed_colour = 'interior' THEN {_COLOUR('interior')} ELSE {_COLOUR('exterior')} END) END) END, '. Remedy: ', remedy_code, ': ',
+        CASE WHEN outcome = 'ambiguous' AND separable THEN concat('state the ', discriminator, ' of this car, or let a reviewer choose')
+          WHEN outcome = 'ambiguous' THEN 'a reviewer has to open the folders and choose, one car may be filed twice'
+          WHEN stage = 'nothing_offered' THEN 'look over the shortlist, then add a folder if the library lacks this car'
+          WHEN stage = 'nameless' THEN 'give a code or description that names the car'
+          WHEN stage = 'no_such_name' THEN concat('add a folder for ', {_Q('tc.designation')}, ', or record the spelling under which the library holds it')
+          WHEN stage = 'spec_differs' THEN concat('check ', failed_specs, ' on the vehicle')
+          ELSE 'photograph this colour, or check the colour on the vehicle' END) END AS message
       FROM located l JOIN car_strings c ON c.car_id = l.car_id JOIN tc ON tc.car_id = l.car_id""",
 }

@@ -102,14 +102,26 @@ def document_keys(spark, sf):
     )
 
 
+def unit_conversions(spark, sf):
+    """Engine sizes and powers converted, option lists cleaned."""
+    p = table(spark, sf, "part")
+    listed = F.array(F.col("p_brand"), F.concat(F.lit(" "), F.col("p_type")), F.lit("  "), F.col("p_brand"), F.col("p_name"))
+    return p.select(
+        "p_partkey", tx.litres_from_cc(F.col("p_size") * 37).alias("litres"), tx.horsepower_from_kw(F.col("p_size")).alias("horsepower"),
+        F.array_join(tx.distinct_options(listed), "|").alias("options"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (parse_car_string, parse_folder_name, parse_model_code, parse_description, leaf_colours, document_keys)
+    for f in (parse_car_string, parse_folder_name, parse_model_code, parse_description, leaf_colours, document_keys, unit_conversions)
 }
 
 _CARS = f"WITH {with_clause('car_strings')}"
 
 ORACLES = {
+    "unit_conversions": """SELECT p_partkey, round(p_size * 37 / 1000.0::DOUBLE, 1) AS litres, CAST(round(p_size * 1.341::DOUBLE, 0) AS INT) AS horsepower,
+      CASE WHEN trim(p_type) IN (p_brand, p_name) OR p_brand = p_name THEN NULL ELSE concat(p_brand, '|', trim(p_type), '|', p_name) END AS options FROM part""",
     "parse_car_string": f"""{_CARS}, {ps.car_ctes('car_strings', 'car_id', 'car_string', 'cars')}
       SELECT * REPLACE (CAST(engine_l AS DOUBLE) AS engine_l) FROM cars""",
     "parse_folder_name": f"""{_CARS}, {ps.car_ctes('car_strings', 'car_id', 'car_string', 'cars')}

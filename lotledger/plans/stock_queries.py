@@ -15,6 +15,20 @@ def _stock(spark, sf):
     return stock_rows(table(spark, sf, "stock_file"), "ord")
 
 
+def stock_headers(spark, sf):
+    """An export with its own headers: blanks and capitals, aliases, one alias whose target is taken."""
+    e = table(spark, sf, "events")
+    export = e.select(
+        F.col("event_id").alias("Ord"), F.concat(F.lit(" E"), F.col("event_id").cast("string"), F.lit(" ")).alias("  Model Code "),
+        F.col("value").cast("int").cast("string").alias("List Price"), F.col("event_type").alias("Description"),
+        F.lit("taken").alias("Color"), F.col("props").alias("Exterior Color"), F.col("user_id").cast("string").alias("Int Color"),
+        F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("Vehicle Card:_Vehicle Card Name"),
+    )
+    return stock_rows(export, "ord").select(
+        "ord", "model_code", "price", "product_description", "exterior_color", "color", "interior_color", "stock_id", "available"
+    )
+
+
 def listings_read(spark, sf):
     """Stored listings, one JSON text a part, with keys the schema doesn't know and broken records."""
     good, bad = listing_source.parse_listings(table(spark, sf, "stored_listings"))
@@ -131,7 +145,7 @@ def publish_new(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        listings_read, stock_collapse, stock_diff, stock_diff_counts, pending_reconcile, pending_remove, pending_lookup,
+        stock_headers, listings_read, stock_collapse, stock_diff, stock_diff_counts, pending_reconcile, pending_remove, pending_lookup,
         listing_entry, apply_hidden, apply_price_updates, update_listings, publish_new,
     )
 }
@@ -201,6 +215,9 @@ new_keys AS (SELECT row_id, mk AS k FROM p WHERE bucket = 'new' AND mk <> ''
 _COLS = "row_id, bucket, model_number, product_description, price_aed"
 
 ORACLES = {
+    "stock_headers": """SELECT event_id AS ord, concat('E', CAST(event_id AS STRING)) AS model_code, CAST(CAST(trunc(value) AS INT) AS DOUBLE) AS price,
+      event_type AS product_description, props AS exterior_color, 'taken' AS color, CAST(user_id AS STRING) AS interior_color,
+      concat('S', CAST(user_id AS STRING)) AS stock_id, CAST(NULL AS STRING) AS available FROM events""",
     "listings_read": f"""WITH {with_clause('stored_listings')}
       SELECT CASE WHEN json_valid(record) THEN 'listing' ELSE 'broken' END AS kind,
         CASE WHEN json_valid(record) THEN record ->> '$.model_number' ELSE record END AS model_number,
