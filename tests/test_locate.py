@@ -112,7 +112,7 @@ def test_messages(located):
     got = {r.number: r for r in loc.messages(located, "number").collect()}
     assert got["TOYOTA-COROLLA-GLI-PV-2.0-AT-WHITE-BLACK-26"].located_path.endswith("WHITE INSIDE BLACK 26")
     text = got["KIA-RIO-LX-PV-1.4-AT-26"].message
-    assert "matches 2 folders" in text and text.endswith("The field that would settle it is 'model_year'")
+    assert "matches 2 folders" in text and text.endswith("'model_year'. Remedy: pick_one_of: state the model_year of this car, or let a reviewer choose")
 
 
 def test_blocked(spark, lib):
