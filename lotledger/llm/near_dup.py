@@ -25,7 +25,7 @@ multisets, sum of minima over sum of maxima of the counts; texts are linked from
       counts of shingles in ``CLASSES`` hash classes, whose sum of minima is an
       upper bound of the overlap. Pairs of two components whose bound reaches the
       threshold are compared exactly; first the best of each node and foreign
-      component, then, with the components that gives, all that are left.
+      component, then, where a node had more and is still apart, all the others.
    A pair is passed over only if it lies within one component or its bound is too
    low, so no link between two components is lost.
 
@@ -58,6 +58,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 CLASSES = 512
 BLOCK = 2048
+BEST = 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -233,62 +234,88 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return near.join(by, F.col("key") == F.col("k")).select("key", "node", "label", (F.col("label") != F.col("largest")).alias("head"))
 
 
-def _near_pairs(opened: DataFrame, sketches: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of two components in a bucket whose bound reaches the threshold."""
+def _near_pairs(opened: DataFrame, sketches: DataFrame, threshold: float, best: int | None) -> DataFrame:
+    """Pairs (a, b, more) of two components in a bucket whose bound reaches the threshold. With
+    ``best``, only so many for each node and foreign component, the highest bounds; ``more`` marks
+    pairs of nodes that have others."""
     rows = opened.join(sketches.select(F.col("node").alias("m"), "size", "sketch"), F.col("node") == F.col("m")).drop("m")
     # A bucket's members in blocks; its heads in blocks as well, each sent to all blocks of members.
-    n = rows.groupBy("key").agg(F.count("*").alias("all"), F.count(F.when(F.col("head"), 1)).alias("heads"))
+    n = opened.groupBy("key").agg(F.count("*").alias("all"), F.count(F.when(F.col("head"), 1)).alias("heads"))
     n = n.select(F.col("key").alias("k"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("heads") / BLOCK).cast("int").alias("cuts"))
     rows = rows.join(n, F.col("key") == F.col("k")).drop("k")
+    # Buckets of one block are dealt by many in a cell; a larger one has cells of its own.
+    cells = max(1, opened.count() // BLOCK)
+    alone = (F.col("blocks") > 1) | (F.col("cuts") > 1)
+    rows = rows.withColumn("cell", F.when(alone, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(cells))))
     deal = F.xxhash64("node")
     one = lambda c: F.pmod(deal, F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     heads = rows.filter("head").withColumn("cut", one("cuts")).withColumn("block", every("blocks"))
     tails = rows.withColumn("block", one("blocks")).withColumn("cut", every("cuts"))
-    names = ["key", "cut", "block", "node", "label", "size", "sketch"]
-    heads, tails = (x.select(*(F.col(c).alias(c) for c in names)).groupBy("key", "cut", "block") for x in (heads, tails))
+    names = ["cell", "cut", "block", "key", "node", "label", "size", "sketch"]
+    heads, tails = (x.select(*(F.col(c).alias(c) for c in names)).groupBy("cell", "cut", "block") for x in (heads, tails))
     kind = opened.schema["node"].dataType.simpleString()
 
+    def columns(t: pa.Table) -> list[np.ndarray]:
+        key, label = t.column("key").to_numpy(), t.column("label").to_numpy()
+        order = np.lexsort((label, key))
+        sketch = np.frombuffer(b"".join(t.column("sketch").take(pa.array(order)).to_pylist()), np.uint16).reshape(-1, CLASSES)
+        return [key[order], label[order], t.column("node").to_numpy()[order], t.column("size").to_numpy()[order], sketch]
+
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [], []
+        a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         if left.num_rows and right.num_rows:
-            x, y = ([np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, CLASSES), t.column("size").to_numpy(),
-                     t.column("node").to_numpy(), t.column("label").to_numpy()] for t in (left, right))
-            order = np.argsort(y[3], kind="stable")
-            y = [v[order] for v in y]
-            group = np.flatnonzero(np.append(True, y[3][1:] != y[3][:-1]))
-            for at in range(0, len(x[0]), 256):
-                bound = bounds(x[0][at : at + 256], x[1][at : at + 256], y[0], y[1])
-                bound[x[3][at : at + 256, None] == y[3][None, :]] = 0
-                if best_only:
-                    top = np.repeat(np.maximum.reduceat(bound, group, axis=1), np.diff(group, append=bound.shape[1]), axis=1)
-                    bound[bound < top] = 0
-                i, j = np.nonzero(bound >= threshold)
-                a.append(x[2][at + i])
-                b.append(y[2][j])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    return heads.cogroup(tails).applyInArrow(meet, f"a {kind}, b {kind}").distinct()
+            left, right = columns(left), columns(right)
+            keys, begins = np.unique(left[0], return_index=True)
+            for key, lo, hi in zip(keys, begins, np.append(begins[1:], len(left[0])), strict=True):
+                start, stop = np.searchsorted(right[0], key), np.searchsorted(right[0], key, "right")
+                y = [c[start:stop] for c in right]
+                for at in range(lo, hi, 256):
+                    x = [c[at : min(at + 256, hi)] for c in left]
+                    bound = bounds(x[4], x[3], y[4], y[3])
+                    bound[x[1][:, None] == y[1][None, :]] = 0
+                    i, j = np.nonzero(bound >= threshold)
+                    rest = np.zeros(len(i), bool)
+                    if best is not None and len(i):
+                        order = np.lexsort((-bound[i, j], y[1][j], i))
+                        i, j = i[order], j[order]
+                        first = np.flatnonzero(np.append(True, (np.diff(i) != 0) | (np.diff(y[1][j]) != 0)))
+                        lengths = np.diff(first, append=len(i))
+                        keep = np.arange(len(i)) - np.repeat(first, lengths) < best
+                        rest = np.repeat(lengths > best, lengths)[keep]
+                        i, j = i[keep], j[keep]
+                    a.append(x[2][i])
+                    b.append(y[2][j])
+                    more.append(rest)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "more": pa.array(np.concatenate(more))})
+
+    met = heads.cogroup(tails).applyInArrow(meet, f"a {kind}, b {kind}, more boolean")
+    return met.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _links(docs: DataFrame, id_col: str, text: str, members: DataFrame, size: int, threshold: float) -> DataFrame:
     """(node, label) from the buckets (key, node, n)."""
     bags = settle(_bags(docs, id_col, text, members.select("node").distinct(), size))
-    tested = settle(_central(members))
-    links = settle(_verified(tested, bags, threshold))
+    links = settle(_verified(settle(_central(members)), bags, threshold))
     labels = settle(components(links))
-    for best_only in (True, False):
+    for best in (BEST, None):
         opened = settle(_open(members, labels))
         if opened.isEmpty():
             break
         sketches = _sketches(bags, opened.select("node").distinct())
-        pairs = settle(_near_pairs(opened, sketches, threshold, best_only).join(tested, ["a", "b"], "left_anti"))
-        found = settle(_verified(pairs, bags, threshold))
+        pairs = settle(_near_pairs(opened, sketches, threshold, best))
+        found = settle(_verified(pairs.select("a", "b"), bags, threshold))
         if not found.isEmpty():
             links = links.union(found)
             labels = settle(components(links))
-        tested = tested.union(pairs)
+        # The second turn is for nodes that had further pairs and are still in another component.
+        apart = pairs.filter("more")
+        for side in ("a", "b"):
+            of = labels.select(F.col("node").alias(f"n{side}"), F.col("label").alias(f"l{side}"))
+            apart = apart.join(of, F.col(side) == F.col(f"n{side}"), "left")
+        if apart.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).isEmpty():
+            break
     return labels
 
 

@@ -103,6 +103,7 @@ def test_star_of_edited_copies_is_one_class(documents):
 
 def test_blocks_do_not_change_classes(documents, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 3)
+    monkeypatch.setattr(nd, "BEST", 1)
     rows = corpus()
     assert got(documents(rows)) == brute(rows)
 
