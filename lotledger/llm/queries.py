@@ -111,4 +111,72 @@ WITH rows AS (
   SELECT *, (floor(i * rate + u) - floor((i - 1) * rate + u))::BIGINT AS copies FROM placed
 )
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted""",
+    "op4_preference_pairs": """
+WITH last AS (
+  SELECT conv_id, max((turn, text)) AS m FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), ends AS (
+  SELECT a.conv_id, a.m[1] AS last_turn, b.m[2] AS other FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1)
+), sides AS (
+  SELECT c.conv_id, 'chosen' AS side, turn, role, text FROM conversations c JOIN ends e ON e.conv_id = c.conv_id WHERE turn <= last_turn
+  UNION ALL
+  SELECT c.conv_id, 'rejected', turn, role, CASE WHEN turn = last_turn AND role = 'assistant' THEN other ELSE text END
+  FROM conversations c JOIN ends e ON e.conv_id = c.conv_id WHERE turn <= last_turn
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS place,
+    concat('<|im_start|>', coalesce(role, ''), chr(10), coalesce(text, ''), '<|im_end|>', chr(10)) AS piece FROM sides
+), spots AS (
+  SELECT conv_id, place, count(*) AS n, count(DISTINCT (coalesce(role, chr(0)), text IS NULL, coalesce(text, ''))) AS kinds FROM placed GROUP BY ALL
+), prefix AS (
+  SELECT conv_id, coalesce(min(place) FILTER (WHERE n < 2 OR kinds > 1), max(place) + 1) - 1 AS n_prompt_turns FROM spots GROUP BY conv_id
+), rest AS (
+  SELECT p.*, n_prompt_turns, sum(CASE WHEN place > n_prompt_turns THEN length(piece) ELSE 0 END) OVER (PARTITION BY p.conv_id, side ORDER BY place) AS upto
+  FROM placed p JOIN prefix x ON x.conv_id = p.conv_id
+), done AS (
+  SELECT conv_id, side, max(n_prompt_turns) AS n_prompt_turns,
+    coalesce(string_agg(piece, '' ORDER BY place) FILTER (WHERE place <= n_prompt_turns), '') AS prompt,
+    coalesce(string_agg(piece, '' ORDER BY place) FILTER (WHERE place > n_prompt_turns), '') AS completion,
+    coalesce(string_agg(concat(upto - length(piece) + 13 + length(role), ':', upto), ',' ORDER BY place) FILTER (WHERE place > n_prompt_turns AND role = 'assistant'), '') AS mask
+  FROM rest GROUP BY conv_id, side
+)
+SELECT c.conv_id, c.n_prompt_turns, c.prompt, c.completion AS chosen, c.mask AS chosen_mask, r.completion AS rejected, r.mask AS rejected_mask
+FROM done c JOIN done r ON r.conv_id = c.conv_id WHERE c.side = 'chosen' AND r.side = 'rejected'""",
+    "op8_repeated_passages": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), starts AS (
+  SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13
+), windows AS (
+  SELECT r, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM starts
+), firsts AS (
+  SELECT k, min(doc_id) AS earliest FROM windows GROUP BY k
+), covered AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM (SELECT r, i FROM windows w JOIN firsts f ON f.k = w.k WHERE earliest < doc_id)
+), spread AS (
+  SELECT r, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM d
+), kept AS (
+  SELECT s.r, string_agg(word, ' ' ORDER BY s.p) AS t, count(*) AS n FROM spread s ANTI JOIN covered c ON c.r = s.r AND c.p = s.p GROUP BY s.r
+)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.r = d.r""",
+    "op10_quality_rules": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), grams AS (
+  SELECT r, i, array_to_string(ws[i:i + 2], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)
+), twice AS (
+  SELECT r, k FROM grams GROUP BY r, k HAVING count(*) > 1
+), hit AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT g.r, unnest([i, i + 1, i + 2]) AS p FROM grams g JOIN twice t ON t.r = g.r AND t.k = g.k) GROUP BY r
+), counts AS (
+  SELECT d.r, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(list_filter(ws, lambda x: regexp_matches(x, '(?s)^[A-Za-z\x{80}-\x{10FFFF}](.*[A-Za-z\x{80}-\x{10FFFF}])?[.,;:]?$'))) AS n_alpha_words,
+    len(string_split(text, chr(10))) AS n_lines
+  FROM d LEFT JOIN hit ON hit.r = d.r
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 5 * n_symbols > n_words OR 100 * n_alpha_words < 60 * n_words
+    OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)) AS kept FROM judged""",
 }

@@ -48,13 +48,14 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from lotledger.llm import words as W
+from lotledger.llm.columns import STEP_ROWS
 from lotledger.session import settle
 
 WINDOW = 13
 PHRASE = 5
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 3 << 19
 BLOCKS_A_PARTITION = 4
-SHARD_WINDOWS = 25_000
+SHARD_WINDOWS = 16_000
 
 #: Signs that stand for words in an automaton: two for each word, of ranges that don't meet.
 _HIGH, _LOW, _OTHER = 0x100, 0x4000, "\x01\x02"
@@ -111,9 +112,11 @@ def _texts(docs: DataFrame, blocks: int) -> DataFrame:
             a, b = k1[order], k2[order]
             first = np.ones(len(order), bool)
             first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            one = batch.take(pa.array(order[first]))
-            block = pa.array((one.column("k1").to_numpy().view(np.uint64) % np.uint64(blocks)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("k1", "k2")), block, one.column("id"), one.column("text")], names=["k1", "k2", "block", "id", "text"])
+            chosen = order[first]
+            for at in range(0, len(chosen), STEP_ROWS):
+                one = batch.take(pa.array(chosen[at : at + STEP_ROWS]))
+                block = pa.array((one.column("k1").to_numpy().view(np.uint64) % np.uint64(blocks)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("k1", "k2")), block, one.column("id"), one.column("text")], names=["k1", "k2", "block", "id", "text"])
 
     return base.mapInArrow(run, "k1 long, k2 long, block int, id long, text string")
 
