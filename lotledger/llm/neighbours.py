@@ -4,20 +4,20 @@
    result can need), so a vector held by a third of all rows is searched once.
 2. The tree is fitted on at most ``SAMPLE`` entries: each node is split by k-means
    into ``BRANCH`` children until it holds ``LEAF`` of them or fewer. Every entry of
-   the table is then sent down to its leaf, and leaves are cut into blocks of
-   about ``BLOCK`` entries.
+   the table is then sent down to its leaf, and leaves are packed into cells of
+   about ``BLOCK`` entries, a larger leaf into several cells of its own.
 3. A query goes through the tree best bin first: a priority queue holds nodes by
    the inner product of query and centroid, the best is taken, children go in, and
    a leaf is a visit. The number of visits is calibrated: ``CALIBRATION`` queries are
    compared with all entries, and visits are widened until their true neighbours
    lie in visited leaves at ``RECALL``. A query visits on until its leaves hold
    enough rows.
-4. Queries and entries meet by block; the best of each block are scored exactly
-   (double precision, summed in order of components), and the best of all blocks
-   are the result.
+4. Queries and entries meet by cell, where a query looks at the leaves it visits;
+   the best of each cell are scored exactly (double precision, summed in order of
+   components), and the best of all cells are the result.
 
 The tree, the leaf counts, the sample and the calibration queries are bounded by
-parameters; everything else is dealt by leaf and block.
+parameters; everything else is dealt by cell.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, neither do those whose length isn't the most frequent one
@@ -46,9 +46,9 @@ K = 20
 SAMPLE = 20_000
 BRANCH = 12
 LEAF = 48
-BLOCK = 4096
+BLOCK = 8192
 CALIBRATION = 256
-RECALL = 0.97
+RECALL = 0.95
 ROUNDS = 12
 
 
@@ -144,14 +144,19 @@ def _exact(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_of(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(queries: np.ndarray, points: np.ndarray, k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, point, score) of the k best points of each query, a little wider on the fast
-    product so that rounding can't hide one."""
+    product so that rounding can't hide one. ``seen`` (queries x points) leaves out what a query
+    doesn't look at."""
     wide = min(len(points), k + 8)
     product = queries @ points.T
+    if seen is not None:
+        product[~seen] = -np.inf
     at = np.argpartition(-product, wide - 1, axis=1)[:, :wide] if wide < len(points) else np.broadcast_to(np.arange(len(points)), product.shape)
     q = np.repeat(np.arange(len(queries)), at.shape[1])
     p = at.ravel()
+    if seen is not None:
+        q, p = q[seen[q, p]], p[seen[q, p]]
     score = _exact(queries[q], points[p])
     order = np.lexsort((-score, q))
     q, p, score = q[order], p[order], score[order]
@@ -232,56 +237,67 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
     asking = settle(asking.join(entries.select(F.col("v").alias("ev"), "vid"), F.col("v") == F.col("ev")).select("id", "v", "vid"))
     asked = settle(asking.select("v", "vid").distinct())
     sizes = {r["leaf"]: (r["n"], r["ids"]) for r in index.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()}
-    blocks = {leaf: -(-n // BLOCK) for leaf, (n, _) in sizes.items()}
+    # Leaves in their order in the tree, so that neighbours share a cell: (first cell, cells) of each.
+    cells, cell, filled = {}, 0, 0
+    for leaf, (n, _) in sorted(sizes.items()):
+        if filled and filled + n > BLOCK:
+            cell, filled = cell + 1, 0
+        cells[leaf] = (cell, max(1, -(-n // BLOCK)))
+        cell, filled = cell + cells[leaf][1] - 1, filled + n
     held = {leaf: ids for leaf, (_, ids) in sizes.items()}
     if visits is None:
         visits = _calibrated(index, asked, tree, k, recall, CALIBRATION)
-    plan = session.sparkContext.broadcast((blocks, held))
+    plan = session.sparkContext.broadcast((cells, held))
     kind = entries.schema["v"].dataType.simpleString()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, held = plan.value
+        cells, held = plan.value
         for batch in steps(batches):
-            row, leaf, block = [], [], []
+            row, cell, leaves = [], [], []
             for i, q in enumerate(matrix(batch.column("v"))):
-                seen, rows_ = 0, 0
+                seen, rows_, by = 0, 0, {}
                 for at in tree.value.visits(q):
                     if seen >= visits and rows_ > k:
                         break
                     seen, rows_ = seen + 1, rows_ + held.get(at, 0)
-                    n = blocks.get(at, 0)
-                    row += [i] * n
-                    leaf += [at] * n
-                    block += range(n)
+                    first, n = cells.get(at, (0, 0))
+                    for c in range(first, first + n):
+                        by.setdefault(c, []).append(at)
+                row += [i] * len(by)
+                cell += by.keys()
+                leaves += by.values()
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf, pa.int64()), pa.array(block, pa.int64()), batch.column("vid").take(take), batch.column("v").take(take)],
-                names=["leaf", "block", "qid", "q"],
+                [pa.array(cell, pa.int64()), batch.column("vid").take(take), batch.column("v").take(take), pa.array(leaves, pa.list_(pa.int64()))],
+                names=["cell", "qid", "q", "leaves"],
             )
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, _ = plan.value
+        cells, _ = plan.value
         for batch in batches:
-            leaf, vid = batch.column("leaf").to_numpy(), batch.column("vid").to_numpy()
-            block = (vid * 0x9E3779B1 >> 7) % np.array([blocks[x] for x in leaf.tolist()], np.int64) if len(leaf) else vid
-            yield pa.RecordBatch.from_arrays([batch.column("leaf"), pa.array(block, pa.int64()), *(batch.column(c) for c in ("vid", "v", "ids"))], names=["leaf", "block", "vid", "v", "ids"])
+            vid = batch.column("vid").to_numpy()
+            first, n = np.array([cells[x] for x in batch.column("leaf").to_pylist()], np.int64).reshape(-1, 2).T
+            cell = first + (vid * 0x9E3779B1 >> 7) % n
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *(batch.column(c) for c in ("leaf", "vid", "v", "ids"))], names=["cell", "leaf", "vid", "v", "ids"])
 
     def meet(queries: pa.Table, points: pa.Table) -> pa.Table:
         names, kinds = ["qid", "score", "ids"], [pa.int64(), pa.float64(), pa.list_(pa.int64())]
         if not queries.num_rows or not points.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         there = matrix(points.column("v").combine_chunks())
+        here, column = np.unique(points.column("leaf").to_numpy(), return_inverse=True)
         parts = []
-        for at in range(0, queries.num_rows, 512):
-            some = queries.slice(at, 512)
-            q, p, score = best_of(matrix(some.column("q").combine_chunks()), there, k + 1)
+        for at in range(0, queries.num_rows, 256):
+            some = queries.slice(at, 256)
+            visited = np.stack([np.isin(here, x) for x in some.column("leaves").to_pylist()])
+            q, p, score = best_of(matrix(some.column("q").combine_chunks()), there, k + 1, visited[:, column])
             parts.append(pa.table([some.column("qid").take(pa.array(q)), pa.array(score), points.column("ids").take(pa.array(p))], names=names))
         return pa.concat_tables(parts)
 
-    routed = asked.mapInArrow(route, f"leaf long, block long, qid long, q {kind}").groupBy("leaf", "block")
-    dealt = index.mapInArrow(split, f"leaf long, block long, vid long, v {kind}, ids array<long>").groupBy("leaf", "block")
+    routed = asked.mapInArrow(route, f"cell long, qid long, q {kind}, leaves array<long>").groupBy("cell")
+    dealt = index.mapInArrow(split, f"cell long, leaf long, vid long, v {kind}, ids array<long>").groupBy("cell")
     found = routed.cogroup(dealt).applyInArrow(meet, "qid long, score double, ids array<long>")
-    # Of all blocks, the k + 1 best rows of each distinct query vector: a bounded list.
+    # Of all cells, the k + 1 best rows of each distinct query vector: a bounded list.
     found = found.select("qid", "score", F.explode("ids").alias("found"))
     found = found.withColumn("r", F.row_number().over(Win.partitionBy("qid").orderBy(F.desc("score"), "found"))).filter(F.col("r") <= k + 1)
     best = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("r", "found", "score"))).alias("best"))

@@ -33,12 +33,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotledger.functions.text import bound, sealed
 from lotledger.llm.columns import unused
 from lotledger.session import settle
 
 ROUNDS = 3
 MIN_SUPPORT = 3
 MIN_LENGTH = 6
+CHUNK = 128
 PATTERN_TRUST = 0.8
 INSTANCE_TRUST = 0.9
 
@@ -89,14 +91,15 @@ def _gate(kind: str, text: Column) -> Column:
 def _found(text: Column, pattern: str, kind: str | None) -> Column:
     """Matches with their places and neighbouring words. The parts between matches and the matches
     themselves, laid end to end, are the text: a running sum of lengths places them."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
     spaced = lambda g: F.translate(g, "\t\n\x0b\f\r", "     ")
-    rows = F.zip_with(
-        F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap")), F.slice(gaps, 2, F.size(hits)),
-        lambda a, after: F.struct(a["hit"].alias("hit"), a["gap"].alias("gap"), after.alias("after")),
-    )
+
+    def rows(p: Column) -> Column:
+        around = lambda h, i: F.struct(h.alias("hit"), F.get(p["gaps"], i).alias("gap"), F.get(p["gaps"], i + 1).alias("after"))
+        return F.transform(p["hits"], around)
+
     turn = KINDS.index(kind) if kind else len(KINDS)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast(_SPAN)
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["gap"])
@@ -108,7 +111,20 @@ def _found(text: Column, pattern: str, kind: str | None) -> Column:
         )
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    def placed(r: Column) -> Column:
+        """In chunks: a sum that appends copies what it has, so it must not run over all matches of a long text."""
+        chunk = lambda c: F.slice(r, c * CHUNK + 1, F.lit(CHUNK))
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int")), chunk)
+        width = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["hit"]))
+        before = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        more = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        begins = lambda cs: F.aggregate(F.transform(cs, width), before, more, lambda a: a["out"])
+        begin = lambda at: F.struct(at.alias("at"), none.alias("out"))
+        spans = lambda cs, at: F.transform(cs, lambda c, i: F.aggregate(c, begin(F.get(at, i)), step, lambda a: a["out"]))
+        all_of = lambda cs: bound(begins(cs), lambda at: F.flatten(spans(cs, at)))
+        return F.when(F.size(r) > 0, bound(chunks, all_of)).otherwise(none)
+
+    return bound(parts, lambda p: bound(rows(p), placed))
 
 
 def _base(text: Column) -> Column:
@@ -125,10 +141,17 @@ def _scan(docs: DataFrame, text: str) -> DataFrame:
     """(_k1, _k2, _base, _more) beside the columns: the text's key, base spans, and the
     identifier-like words outside them."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    out = docs.withColumns({"_k1": F.xxhash64(t), "_k2": F.xxhash64(F.lit(1), t), "_base": _base(t)})
     words = F.when(t.rlike("[0-9]"), _found(t, _WORD_WITH_DIGIT, None)).otherwise(F.array().cast(_SPAN))
-    free = F.filter(words, lambda w: (w["end"] - w["start"] >= MIN_LENGTH) & ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
-    return out.withColumn("_more", free)
+
+    def split(x: Column) -> Column:
+        free = lambda w: ~F.exists(x["base"], lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"]))
+        long = lambda w: w["end"] - w["start"] >= MIN_LENGTH
+        return F.struct(x["base"].alias("base"), F.filter(x["words"], lambda w: long(w) & free(w)).alias("more"))
+
+    # Sealed: were the spans' expression merged into the steps above it, it would run for each word.
+    found = sealed(bound(F.struct(_base(t).alias("base"), words.alias("words")), split))
+    out = docs.select("*", F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"), found.alias("_found"))
+    return out.withColumns({"_base": F.col("_found.base"), "_more": F.col("_found.more")}).drop("_found")
 
 
 def _edges(scanned: DataFrame) -> DataFrame:
