@@ -57,6 +57,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 CLASSES = 512
+CELLS = 1 << 20
 BLOCK = 2048
 BEST = 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -144,8 +145,14 @@ def _signed(docs: DataFrame, id_col: str, text: str, size: int, bands: int, rows
 
 
 def _bags(docs: DataFrame, id_col: str, text: str, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, bag): the sorted shingle hashes, repeats included, of the nodes' texts."""
-    wanted = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("t")).join(nodes, F.col("id") == F.col("node"), "left_semi")
+    """(node, bag): the sorted shingle hashes, repeats included, of the nodes' texts.
+
+    Before the texts are dealt by id, a table of the nodes' hash cells, of at most ``CELLS`` numbers
+    whatever the corpus, is broadcast and takes out most texts that aren't wanted."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
+    cells = nodes.select(cell("node").alias("cell")).distinct()
+    wanted = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("t"))
+    wanted = wanted.join(F.broadcast(cells), cell("id") == F.col("cell"), "left_semi").join(nodes, F.col("id") == F.col("node"), "left_semi")
     kind = wanted.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,9 +332,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: i
     signed = settle(_signed(docs, id_col, text, size, bands, rows))
     texts = signed.filter("keys IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.any_value("keys").alias("keys"))
     texts = settle(texts)
-    spread = texts.filter("node IS NOT NULL").select("node", F.explode("keys").alias("key")).distinct()
+    spread = texts.filter("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
     full = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k"), "n")
-    members = settle(spread.join(full, F.col("key") == F.col("k")).select("key", "node", "n"))
+    members = settle(spread.join(full, F.col("key") == F.col("k")).select("key", "node", "n").distinct())
     labels = _links(docs, id_col, text, members, size, threshold)
     node = texts.join(labels.select(F.col("node").alias("n"), "label"), F.col("node") == F.col("n"), "left")
     node = node.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.coalesce("label", "node").alias("class"))
