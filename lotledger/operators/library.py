@@ -27,7 +27,7 @@ LITTER_SUFFIXES = (".ini", ".db", ".tmp", ".lnk", ".url")
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".heic", ".bmp")
 BODY_TYPES = ("SEDAN", "SUV", "PICKUP", "BUS", "MPV", "CARGO VAN", "COUPE", "HATCHBACK")
 
-
+# Fixed value: the note on a folder that states no colours.
 NO_COLOURS = (
     "the folder name states no '<EXTERIOR> INSIDE <INTERIOR>' pair, so which colour is outside and "
     "which is inside is not recoverable from it; the variant is indexed and its photographs are usable, "

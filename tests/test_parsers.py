@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lotledger.functions import carkey, leaf, modelcode
 from lotledger.functions import text as tx
 
+# Sample strings of public stock data with hand-derived readings, then strings of our own.
 CARS = {
     "TOYOTA-CROWN-HEV-HEV-2.5-AT-PRECIOUS WHITE PEARL-BLACK-26": dict(
         brand="TOYOTA", model_head="CROWN", trim="HEV", fuel="HEV", engine_l=Decimal("2.5"), model_year=2026,
@@ -29,6 +30,7 @@ CARS = {
     "": dict(brand="silent", fuel="silent"),
 }
 
+# The same samples under the other grammar.
 CODES = {
     "TOYOTA-CROWN-HEV-HEV-2.5-AT-PRECIOUS WHITE PEARL-BLACK-26": None,
     "HIPHI-X-FLAGSHIP-EV-0-AT-DARK GREY-WHITE-2022": dict(brand="Hiphi", model="X", trim="Flagship", engine_size="0", fuel_type="Electric"),
