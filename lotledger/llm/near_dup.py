@@ -144,15 +144,19 @@ def _signed(docs: DataFrame, id_col: str, text: str, size: int, bands: int, rows
     return base.mapInArrow(run, f"id {kind.simpleString()}, k1 long, k2 long, keys array<long>")
 
 
-def _bags(docs: DataFrame, id_col: str, text: str, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, bag): the sorted shingle hashes, repeats included, of the nodes' texts.
-
-    Before the texts are dealt by id, a table of the nodes' hash cells, of at most ``CELLS`` numbers
-    whatever the corpus, is broadcast and takes out most texts that aren't wanted."""
+def _of(df: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
+    """The rows of df that may belong to the nodes. A table of the nodes' hash cells, of at most
+    ``CELLS`` numbers whatever the corpus, is broadcast and takes out most of the others before
+    what is left is dealt by node."""
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
-    cells = nodes.select(cell("node").alias("cell")).distinct()
+    cells = nodes.select(cell(nodes.columns[0]).alias("cell")).distinct()
+    return df.join(F.broadcast(cells), cell(column) == F.col("cell"), "left_semi")
+
+
+def _bags(docs: DataFrame, id_col: str, text: str, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, bag): the sorted shingle hashes, repeats included, of the nodes' texts."""
     wanted = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    wanted = wanted.join(F.broadcast(cells), cell("id") == F.col("cell"), "left_semi").join(nodes, F.col("id") == F.col("node"), "left_semi")
+    wanted = _of(wanted, "id", nodes).join(nodes, F.col("id") == F.col("node"), "left_semi")
     kind = wanted.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +168,7 @@ def _bags(docs: DataFrame, id_col: str, text: str, nodes: DataFrame, size: int)
                 bags += [flat[upto[d] : upto[d + 1]].tobytes() for d in range(len(part))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bags, pa.binary())], names=["node", "bag"])
 
-    return wanted.mapInArrow(run, f"node {kind}, bag binary").filter("length(bag) > 0").distinct()
+    return wanted.mapInArrow(run, f"node {kind}, bag binary").filter("length(bag) > 0")
 
 
 def _sketches(bags: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -181,7 +185,7 @@ def _sketches(bags: DataFrame, nodes: DataFrame) -> DataFrame:
                 out.append(np.minimum(classes, 65535).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["node", "size", "sketch"])
 
-    return bags.join(nodes.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi").mapInArrow(run, f"node {kind}, size long, sketch binary")
+    return _of(bags, "node", nodes).join(nodes.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi").mapInArrow(run, f"node {kind}, size long, sketch binary")
 
 
 def bounds(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -205,8 +209,8 @@ def overlap(a: bytes, b: bytes) -> float:
 
 def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough. The bag of a travels to b."""
-    left = pairs.join(bags.select(F.col("node").alias("na"), F.col("bag").alias("bag_a")), F.col("a") == F.col("na")).select("a", "b", "bag_a")
-    both = left.join(bags.select(F.col("node").alias("nb"), F.col("bag").alias("bag_b")), F.col("b") == F.col("nb")).select("a", "b", "bag_a", "bag_b")
+    left = pairs.join(_of(bags, "node", pairs.select("a")).select(F.col("node").alias("na"), F.col("bag").alias("bag_a")), F.col("a") == F.col("na")).select("a", "b", "bag_a")
+    both = left.join(_of(bags, "node", pairs.select("b")).select(F.col("node").alias("nb"), F.col("bag").alias("bag_b")), F.col("b") == F.col("nb")).select("a", "b", "bag_a", "bag_b")
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
