@@ -87,17 +87,24 @@ def _mask(rest: Column) -> Column:
     return F.aggregate(rest, start, step, lambda acc: F.array_join(acc["spans"], ","))
 
 
-def reply_swaps(conversations: DataFrame) -> DataFrame:
+def reply_swaps(conversations: DataFrame, whole: bool = False) -> DataFrame:
     """Pairs from plain conversations: chosen is the conversation as it stands; in rejected its
     last assistant turn holds the last reply of the neighbouring conversation (conv_id 2k and
     2k + 1). Conversations without an assistant turn, or without such a neighbour, give none.
-    Turns after the last reply are left out on both sides."""
+    Turns after the last reply are left out on both sides.
+
+    With ``whole`` every conversation (a null conv_id is one of them) gives its chosen side, and
+    turns after the last reply stay on both sides. Where there is nothing to swap, as above, the
+    rejected side is missing, so that ``format_pairs`` has its completion null."""
     c = conversations.select("conv_id", "turn", "role", "text")
     last = c.filter("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m"))
     last = last.select("conv_id", F.col("m.turn").alias("last_turn"), F.col("m.text").alias("reply"))
     other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("reply").alias("other"))
     ends = last.select("conv_id", "last_turn").join(other, "conv_id")
-    t = c.join(ends, "conv_id").filter("turn <= last_turn")
-    chosen = t.select("conv_id", F.lit("chosen").alias("side"), "turn", "role", "text")
-    swapped = F.when((F.col("turn") == F.col("last_turn")) & (F.col("role") == "assistant"), F.col("other")).otherwise(F.col("text"))
+    t = c.join(ends, "conv_id")
+    if not whole:
+        t = t.filter("turn <= last_turn")
+    chosen = (c if whole else t).select("conv_id", F.lit("chosen").alias("side"), "turn", "role", "text")
+    at_last = F.col("turn").eqNullSafe(F.col("last_turn")) & (F.col("role") == "assistant")
+    swapped = F.when(at_last, F.col("other")).otherwise(F.col("text"))
     return chosen.unionByName(t.select("conv_id", F.lit("rejected").alias("side"), "turn", "role", swapped.alias("text")))

@@ -32,7 +32,7 @@ def op3_bpe(spark, sf):
 
 
 def op4_preference_pairs(spark, sf):
-    turns = preference.reply_swaps(table(spark, sf, "conversations"))
+    turns = preference.reply_swaps(table(spark, sf, "conversations"), whole=True)
     return preference.format_pairs(turns, pair="conv_id")
 
 

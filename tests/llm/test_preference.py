@@ -1,9 +1,14 @@
 """Preference formatting against loops."""
 
+import os
 import random
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from lotledger.llm import preference as pref
+from lotledger.llm import queries
 
 SCHEMA = "pair_id long, side string, turn long, role string, text string, extra int"
 
@@ -82,5 +87,34 @@ def test_reply_swaps(spark):
     assert got[0]["chosen"] == text_of("assistant", "a0") and got[0]["rejected"] == text_of("assistant", "a1")
 
 
+def test_whole_swaps_keep_every_conversation_and_turn(spark):
+    rows = [
+        (0, 0, "user", "q0"), (0, 1, "assistant", "a0"), (0, 2, "user", "bye"), (1, 0, "user", "q1"), (1, 1, "assistant", "a1"),
+        (2, 0, "user", "alone"), (3, 0, "user", "z"), (3, 1, "assistant", "zz"), (6, 0, "assistant", "gap"), (None, 0, "assistant", "no id"),
+        (8, None, "assistant", "a8"), (9, 0, "assistant", None),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: tuple(r[1:]) for r in pref.format_pairs(pref.reply_swaps(df, whole=True), pair="conv_id").collect()}
+    last = {0: ("a0", "a1"), 1: ("a1", "a0"), 8: ("a8", None), 9: (None, "a8")}
+    sides = [(c, "chosen", *t) for c, *t in rows]
+    sides += [(c, "rejected", n, role, last[c][1] if role == "assistant" else text) for c, n, role, text in rows if c in last]
+    assert set(got) == {0, 1, 2, 3, 6, 8, 9, None}
+    assert got == expected(sides)
+    assert got[0][2] == text_of("assistant", "a0") + text_of("user", "bye") and got[0][4] == text_of("assistant", "a1") + text_of("user", "bye")
+    assert all(got[c][4:] == (None, None) for c in (2, 3, 6, None))
+
+
+def test_query_has_a_row_for_every_conversation(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables are not mounted")
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = queries.op4_preference_pairs(spark, sf)
+    assert sorted(r[0] for r in got.select("conv_id").collect()) == sorted(r[0] for r in table.select("conv_id").distinct().collect())
+    # Every turn is rendered on the chosen side.
+    n = lambda c: F.sum(F.size(F.split(c, F.lit("<\\|im_start\\|>"))) - 1)
+    assert got.select(n(F.col("prompt")) + n(F.col("chosen"))).first()[0] == table.count()
+
+
 def test_empty_table(spark):
     assert collected(spark, []) == {}
