@@ -62,6 +62,10 @@ SELECT event_id AS row_id,
        CAST(floor(value) AS DOUBLE) AS price_aed
 FROM {events} WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'
 """
+# The same rows over the whole event stream, for queries that need no earlier snapshot.
+_LATER_HALF = "WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'"
+DERIVED["stock_all"] = DERIVED["stock_file"].replace(_LATER_HALF, "")
+DERIVED["pending_all"] = DERIVED["pending_rows"].replace(_LATER_HALF, "")
 DERIVED["part_listings"] = """
 SELECT concat('P', CAST(p_partkey AS STRING)) AS model_number, p_partkey AS ord,
        CASE WHEN p_size % 3 = 0 THEN 'hidden' ELSE 'active' END AS status,

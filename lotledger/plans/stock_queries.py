@@ -11,8 +11,8 @@ from lotledger.sources import listings as listing_source
 from lotledger.sources.stock import stock_rows
 
 
-def _stock(spark, sf):
-    return stock_rows(table(spark, sf, "stock_file"), "ord")
+def _stock(spark, sf, source="stock_file"):
+    return stock_rows(table(spark, sf, source), "ord")
 
 
 def stock_headers(spark, sf):
@@ -40,7 +40,7 @@ def listings_read(spark, sf):
 
 
 def stock_collapse(spark, sf):
-    rows = _stock(spark, sf)
+    rows = _stock(spark, sf, "stock_all")
     aliases = diff.stock_aliases(rows).groupBy("model_code").agg(
         F.count("*").alias("n_aliases"), F.min("alias").alias("first_alias"), F.max("alias").alias("last_alias")
     )
@@ -89,7 +89,7 @@ def pending_lookup(spark, sf):
 def listing_entry(spark, sf):
     """Caller values over staged values, one row per model number."""
     staged = (
-        table(spark, sf, "pending_rows")
+        table(spark, sf, "pending_all")
         .filter("bucket = 'new'")
         .groupBy("model_number")
         .agg(F.min_by(F.struct("product_description", "price_aed"), "row_id").alias("e"))
@@ -99,7 +99,7 @@ def listing_entry(spark, sf):
         )
     )
     caller = (
-        diff.collapse_stock(_stock(spark, sf))
+        diff.collapse_stock(_stock(spark, sf, "stock_all"))
         .withColumnRenamed("model_code", "model_number")
         .select("model_number", "product_description", F.col("price").alias("price_aed"), "exterior_color", "interior_color")
     )
@@ -133,7 +133,7 @@ def update_listings(spark, sf):
 
 
 def publish_new(spark, sf):
-    listings = table(spark, sf, "part_listings").filter("status = 'hidden'")
+    listings = table(spark, sf, "part_listings")
     reviewed = table(spark, sf, "listing_changes").select("model_number", "status", "price_aed", "ord")
     added, conflicts = changes.publish_new(listings, reviewed, F.lit(1))
     pick = lambda df, tag: df.select(
