@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from lotledger.functions import replies as rp
 from lotledger.operators import attempts, library, scoring
+from lotledger.operators import locate as loc
 from lotledger.plans import parse_sql as ps
 from lotledger.plans.derive import table, with_clause
-from lotledger.plans.library_queries import CRAWL, entries, index
+from lotledger.plans.library_queries import CRAWL, entries
+from lotledger.plans.locate_queries import _located
+from lotledger.session import settle
 from lotledger.sources import catalogs, uploads
 
 
@@ -24,9 +27,16 @@ def reply_recovery(spark, sf):
 
 
 def reply_shape(spark, sf):
+    """Shape issues of every reply; one that holds no JSON object has that as its issue."""
     r = table(spark, sf, "sheet_replies").withColumn("json", rp.json_text(F.col("content")))
-    good = r.filter(F.try_parse_json("json").isNotNull())
-    return good.select("event_id", F.array_join(rp.shape_issues(F.col("json")), "; ").alias("issues"))
+    issues = (
+        F.when(F.coalesce(F.trim("content"), F.lit("")) == "", F.lit("empty content"))
+        .when(F.try_parse_json("json").isNull() & F.col("finish_reason").isin("length", "max_tokens"), F.lit("invalid JSON, cut off at the token cap"))
+        .when(F.try_parse_json("json").isNull(), F.lit("invalid JSON"))
+        .when(F.json_object_keys("json").isNull(), F.lit("not a JSON object"))
+        .otherwise(F.array_join(rp.shape_issues(F.col("json")), "; "))
+    )
+    return r.select("event_id", issues.alias("issues"))
 
 
 def _report(spark, sf):
@@ -39,17 +49,20 @@ def extraction_report(spark, sf):
     )
 
 
-def car_status(spark, sf):
-    """Status of a batch of cars: folder, sheet, extraction."""
-    folders = index(spark, sf).folders.select(F.col("path").alias("folder_path"))
-    files = library.car_files(entries(spark, sf), folders)
-    cars = table(spark, sf, "customer").select(
-        F.concat(F.lit("car"), F.col("c_custkey").cast("string")).alias("car"), (F.col("c_custkey") % 9 == 0).alias("failed"),
-        F.col("c_nationkey").alias("k"), F.lit("no folder").alias("lookup_error"),
+def located_cars(messages):
+    """What ``car_status`` asks of each located car: its folder, or the sentence why it has none.
+    A lookup that could not be made has failed."""
+    return messages.select(
+        F.concat(F.lit("car"), F.col("car_id").cast("string")).alias("car"), F.col("located_path").alias("folder_path"),
+        F.col("message").alias("lookup_error"), (F.col("outcome") == "blocked").alias("failed"),
     )
-    # One folder per nation key, some keys without any.
-    one = folders.groupBy((F.length("folder_path") % 23).alias("k")).agg(F.min("folder_path").alias("folder_path"))
-    out = attempts.car_status(cars.join(one, "k", "left"), files, _report(spark, sf), photos_ok=F.col("n_photos") > 3)
+
+
+def car_status(spark, sf):
+    """Status of every car: located folder, sheet, extraction."""
+    cars = settle(located_cars(loc.messages(_located(spark, sf), "car_string")))
+    files = library.car_files(entries(spark, sf), cars.select("folder_path").filter("folder_path IS NOT NULL"))
+    out = attempts.car_status(cars, files, _report(spark, sf), photos_ok=F.col("n_photos") > 3)
     return out.select("car", "status", "folder_path", "n_pdfs", "n_photos", F.col("json").isNotNull().alias("extracted"), "completed")
 
 

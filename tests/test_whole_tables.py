@@ -6,7 +6,9 @@ import duckdb
 import pytest
 from test_queries import SF, TABLES, _rows
 
+from lotledger.operators import library
 from lotledger.plans import registry
+from lotledger.plans.derive import table
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not mounted")
 
@@ -31,3 +33,33 @@ def test_query_reads_whole_tables(spark, name):
     got = registry.QUERIES[name](spark, SF)
     assert sorted(columns) == sorted(got.columns)
     assert _rows(got.columns, got.collect()) == want
+
+
+def test_every_reply_gets_a_row(spark):
+    got = {r["event_id"]: r["issues"] for r in registry.QUERIES["reply_shape"](spark, SF).collect()}
+    replies = {r["event_id"]: r for r in table(spark, SF, "sheet_replies").collect()}
+    assert set(got) == set(replies)
+    columns, _ = want = _expected("reply_shape", registry.ORACLES["reply_shape"])
+    parsed = {i: t for i, t in (eval(r) for r in want[1])}
+    assert columns == ["event_id", "issues"] and 0 < len(parsed) < len(replies)
+    for i, r in replies.items():
+        text = "empty content" if not r["content"].strip() else "invalid JSON"
+        text += ", cut off at the token cap" if text == "invalid JSON" and r["finish_reason"] == "length" else ""
+        assert got[i] == parsed.get(i, text)
+
+
+def test_status_of_every_car_comes_from_its_location(spark):
+    status = {r["car"]: r for r in registry.QUERIES["car_status"](spark, SF).collect()}
+    located = registry.QUERIES["locate"](spark, SF).collect()
+    assert set(status) == {f"car{r['car_id']}" for r in located} and len(status) == len(located)
+    files = [(r["path"], r["name"].lower()) for r in table(spark, SF, "library_entries").collect()]
+    photo = tuple(library.IMAGE_SUFFIXES)
+    n_matched = 0
+    for r in located:
+        s = status[f"car{r['car_id']}"]
+        assert s["folder_path"] == (r["variant_path"] if r["outcome"] == "matched" else None)
+        below = [n for p, n in files if s["folder_path"] and p.startswith(s["folder_path"] + "/")]
+        assert s["n_pdfs"] == sum(n.endswith(".pdf") for n in below) and s["n_photos"] == sum(n.endswith(photo) for n in below)
+        assert s["status"] == ("needs_review" if r["outcome"] == "blocked" else "ok" if s["n_pdfs"] else "needs_folder_link")
+        n_matched += s["folder_path"] is not None
+    assert 0 < n_matched < len(located)
