@@ -4,8 +4,11 @@ Base spans come from four fixed patterns (email, ip, card, phone), each leftmost
 and non-overlapping in its kind; a match that fails its check is dropped without
 a retry. They are also the seeds of the bootstrapping:
 
-* a mention is a base span, or an identifier-like word (six or more code points
-  with a digit among them) that overlaps no base span; its instance is its value;
+* a mention is a base span, or an identifier-like word (``MIN_LENGTH`` or more code
+  points with a digit among them) or run of digit groups joined by single spaces
+  (as long) that overlaps no base span; its instance is its value. The floor is
+  there because an accepted instance is taken wherever it stands, and a shorter
+  number stands in many places that have nothing to do with it;
 * its lexical patterns are the word before it, the word after it, and both;
 * the graph of patterns and instances is scored in rounds. A pattern's confidence
   for a kind is the share of its distinct instances that are known to be of that
@@ -13,11 +16,12 @@ a retry. They are also the seeds of the bootstrapping:
   A new instance's score is 1 - the product of (1 - confidence) over its trusted
   patterns, and it is accepted from ``INSTANCE_TRUST`` on, so that one pattern
   alone does not do unless it is nearly certain. Accepted instances are known in
-  the next round.
+  the next round, with the kind they were accepted for, and rounds go on until one
+  accepts no new instance.
 
 Mentions of accepted instances are added to the spans. All of it is DataFrame
 work: positions come from the lengths of the parts that a pattern splits a text
-into, and the graph is two equality joins and two aggregates a round over edges
+into, and the graph is a few equality joins and two aggregates a round over edges
 that are distinct beforehand. A context or a copied text that holds a third of
 all mentions is reduced to its distinct edges before any shuffle by it.
 
@@ -37,6 +41,7 @@ from lotledger.functions.text import bound, sealed
 from lotledger.llm.columns import unused
 from lotledger.session import settle
 
+#: Rounds of the loops in the tests; ``discover`` goes on until nothing new is accepted.
 ROUNDS = 3
 MIN_SUPPORT = 3
 MIN_LENGTH = 6
@@ -60,6 +65,10 @@ _PATTERNS = {
 #: What a text must hold for the pattern to be tried at all.
 _GATES = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}"}
 _WORD_WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+_GROUP = r"\x20[().+/-]*+[0-9][0-9().+/-]*+"
+_END = r"(?![^\x20\x09-\x0D])"
+#: Two or more words of digits and marks, one space between them; marks that end a clause only after the last.
+_GROUPS = rf"(?<![^\x20\x09-\x0D]){_GROUP[4:]}{_END}(?:(?:{_GROUP}{_END})++(?:{_GROUP}[,;:!?]++{_END})?+|{_GROUP}[,;:!?]++{_END})"
 
 _SPAN = "array<struct<start:int,end:int,turn:int,kind:string,value:string,left:string,right:string>>"
 
@@ -139,9 +148,10 @@ def _base(text: Column) -> Column:
 
 def _scan(docs: DataFrame, text: str) -> DataFrame:
     """(_k1, _k2, _base, _more) beside the columns: the text's key, base spans, and the
-    identifier-like words outside them."""
+    identifier-like words and runs of digit groups outside them."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    words = F.when(t.rlike("[0-9]"), _found(t, _WORD_WITH_DIGIT, None)).otherwise(F.array().cast(_SPAN))
+    of = lambda gate, pattern: F.when(t.rlike(gate), _found(t, pattern, None)).otherwise(F.array().cast(_SPAN))
+    words = F.concat(of("[0-9]", _WORD_WITH_DIGIT), of(_GROUPS, _GROUPS))
 
     def split(x: Column) -> Column:
         free = lambda w: ~F.exists(x["base"], lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"]))
@@ -164,12 +174,12 @@ def _edges(scanned: DataFrame) -> DataFrame:
     return e.filter("pattern IS NOT NULL").distinct()
 
 
-def discover(scanned: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, pattern_trust: float = PATTERN_TRUST,
+def discover(scanned: DataFrame, min_support: int = MIN_SUPPORT, pattern_trust: float = PATTERN_TRUST,
              instance_trust: float = INSTANCE_TRUST) -> DataFrame:
-    """(instance, kind, score): the identifier-like words that trusted patterns vouch for."""
+    """(instance, kind, score): the identifier-like words and runs that trusted patterns vouch for."""
     edges = settle(_edges(scanned))
     known = None
-    for _ in range(rounds):
+    while True:
         e = edges
         if known is not None:
             learnt = known.select(F.col("instance").alias("i"), F.col("kind").alias("learnt"))
@@ -188,8 +198,11 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SU
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
         s = hits.groupBy("instance", "p_kind").agg((1 - F.exp(doubt)).alias("score"))
         s = s.groupBy("instance").agg(F.max_by(F.struct("p_kind", "score"), F.struct("score", "p_kind")).alias("b"))
-        known = settle(s.select("instance", F.col("b.p_kind").alias("kind"), F.col("b.score").alias("score")).filter(F.col("score") >= instance_trust))
-    return known
+        accepted = s.select("instance", F.col("b.p_kind").alias("kind"), F.col("b.score").alias("score")).filter(F.col("score") >= instance_trust)
+        fresh = settle(accepted if known is None else accepted.join(known, "instance", "left_anti"))
+        if fresh.isEmpty():
+            return fresh if known is None else known
+        known = fresh if known is None else settle(known.unionByName(fresh))
 
 
 def _spans(df: DataFrame, scanned: DataFrame, base: str, spans: str) -> DataFrame:

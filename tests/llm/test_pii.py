@@ -159,3 +159,23 @@ def test_repeated_rows_empty_table_and_clashing_columns(documents):
     df = documents([(1, "a@b.cc"), (1, "a@b.cc"), (None, "a@b.cc")]).withColumn("start", F.lit(0)).withColumn("spans", F.lit("x")).withColumn("_k1", F.lit("k"))
     rows = pii.find(df).collect()
     assert len(rows) == 3 and all(len(r["spans"]) == 1 and r["start"] == 0 and r["_k1"] == "k" for r in rows)
+
+
+def test_runs_of_digit_groups_are_found(documents):
+    texts = [f"call me on +1 555 01{i:02d} 2{i:02d}9 today" for i in range(60)] + [
+        "call me on 555 014 0199 today", "call me on (030) 12 34567 today", "ring 555 014 0199", "1 2 3 4 5 6 7 8",
+    ]
+    rows = got(documents(list(enumerate(texts))))
+    added = {(i, texts[i][s["start"] : s["end"]], s["kind"]) for i, r in rows.items() for s in r["spans"] if s not in r["base_spans"]}
+    assert added == {(60, "555 014 0199", "phone"), (61, "(030) 12 34567", "phone"), (62, "555 014 0199", "phone")}
+
+
+def test_rounds_go_on_until_nothing_is_new(documents):
+    near = "abcdefg"
+    texts = [f"prea mail{j}@a.bc posta" for j in range(9)] + ["prea word1n0 posta", "prea word1n1 posta"]
+    for k in range(1, 7):
+        texts += [f"pre{near[k]} mail{k}x{j}@a.bc post{near[k]}" for j in range(7)]
+        texts += [f"pre{near[k]} word{n}n{j} post{near[k]}" for n in (k, k + 1) for j in range(2)]
+    rows = got(documents(list(enumerate(texts))))
+    added = {texts[i][s["start"] : s["end"]] for i, r in rows.items() for s in r["spans"] if s not in r["base_spans"]}
+    assert added == {f"word{k}n{j}" for k in range(1, 8) for j in range(2)}
