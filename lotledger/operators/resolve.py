@@ -109,8 +109,10 @@ def with_best_options(
 ) -> DataFrame:
     """Add ``top``: the best ``keep`` options for the text ``ask`` of each row, as an
     array of ``score, ord, id, name``, best first, scores above zero only. Rows
-    with a null ``ask`` get an empty array. Rows of ``df`` must be distinct."""
+    with a null ``ask`` get an empty array. Rows of ``df`` must be distinct; a
+    repeated option counts once."""
     by = list(by)
+    options = options.select(*by, "ord", "id", "name").distinct()
     df = df.select("*", tx.sealed(ask).alias("__ask"))
     if _is_short(options, by, tokenise, hot_df):
         posts = options.select(

@@ -56,6 +56,17 @@ def test_token_search_equals_brute_force(spark, hot_df):
         assert [(t.id, round(t.score, 9)) for t in r.top] == _brute(options, r.value), r.value
 
 
+@pytest.mark.parametrize("hot_df", [0, 10_000])
+def test_repeated_options_count_once(spark, hot_df):
+    from lotledger.functions import text as tx
+
+    rows = [(0, "1", "red fox turbo", 0), (0, "2", "red cat", 1)]
+    df = spark.createDataFrame([(0, "red fox")], "s int, value string")
+    opts = spark.createDataFrame(rows[:1] * 3 + rows[1:] * 2, "s int, id string, name string, ord bigint")
+    out = resolve.with_best_options(df, F.col("value"), opts, ["s"], tx.token_set, hot_df=hot_df).first()
+    assert [(t.id, round(t.score, 9)) for t in out.top] == _brute([(i, n, None) for _, i, n, _ in rows], "red fox")
+
+
 SPECS = [
     ("Color", "13", "White", "white"), ("Color", "14", "Black", "black"), ("Interior Color", "36", "Ivory", "ivory"),
     ("Interior Color", "37", "Green", "charcoal"), ("Seats", "61", "5-Seater", "5-seater"), ("Seats", "68", "13-Seater", "15-seater"),
