@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotledger.llm import bpe, grades, language, mixing, near_dup, neighbours, pii, preference, quality_rules, repeats
+from lotledger.llm import alignment, bpe, grades, language, mixing, near_dup, neighbours, pii, preference, quality_rules, repeats, token_counts
 from lotledger.llm.columns import table
 
 
@@ -69,6 +69,23 @@ def op10_quality_rules(spark, sf):
     return quality_rules.report(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op11_token_counts(spark, sf):
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    counted = token_counts.prefix_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    counts = F.col("prefix_tokens")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return counted.select("doc_id", n_bytes.alias("n_bytes"), token_counts.total(counts).alias("n_tokens"), token_counts.over(counts, F.lit(512)).alias("over_limit"))
+
+
+def op12_alignment(spark, sf):
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_bag_min_hash": op1_bag_min_hash,
     "op2_ordinal_quality": op2_ordinal_quality,
@@ -80,6 +97,8 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_counts": op11_token_counts,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES = {
