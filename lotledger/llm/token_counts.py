@@ -199,7 +199,8 @@ class PrefixCounter:
         return np.array([self._row[p] for p in pieces], np.int64)
 
     def n_tokens(self, piece: str) -> int:
-        return int(self._flat[self._end[self.rows([piece])[0]] - 1])
+        row = self.rows([piece])[0]  # may replace the tables
+        return int(self._flat[self._end[row] - 1])
 
     def texts(self, texts: list[str]) -> pa.ListArray:
         """The prefix counts of each text, from the empty prefix on."""
