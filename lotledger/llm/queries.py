@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotledger.llm import alignment, bpe, grades, language, mixing, near_dup, neighbours, pii, preference, quality_rules, repeats, token_counts
+from lotledger.llm import alignment, bpe, grades, language, mixing, near_dup, neighbours, pii, preference, prefix_trie, quality_rules, repeats, token_counts
 from lotledger.llm.columns import table
 
 
@@ -86,6 +86,10 @@ def op12_alignment(spark, sf):
     return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_prefix_trie(spark, sf):
+    return prefix_trie.trie(*prefix_trie.rebuild(table(spark, sf, "conversations")))
+
+
 QUERIES = {
     "op1_bag_min_hash": op1_bag_min_hash,
     "op2_ordinal_quality": op2_ordinal_quality,
@@ -99,6 +103,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_token_counts": op11_token_counts,
     "op12_alignment": op12_alignment,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -198,4 +203,40 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 5 * n_symbols > n_words OR 100 * n_alpha_words < 60 * n_words
     OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)) AS kept FROM judged""",
+    "op13_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT DISTINCT c FROM turns
+), crc AS (
+  SELECT c, c - c % 100 AS opener, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+    lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) % 6 AS h
+  FROM ids
+), rebuilt AS (
+  SELECT r.c, 0 AS part, t.p, t.role, t.text FROM crc r JOIN turns t ON t.c = r.opener AND t.p <= r.h
+  UNION ALL
+  SELECT r.c, 1, t.p, t.role, t.text FROM crc r JOIN turns t ON t.c = r.c AND t.p > r.h
+), paths AS (
+  SELECT c, list((role, text) ORDER BY part, p) AS l FROM rebuilt GROUP BY c
+), convs AS (
+  SELECT i.c, coalesce(l, []) AS l FROM ids i LEFT JOIN paths q ON q.c = i.c
+), steps AS (
+  SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM convs
+), nodes AS (
+  SELECT l[1:d] AS path, d, min(c) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN len(l) = d THEN c::VARCHAR END, ',' ORDER BY c) AS ends
+  FROM steps GROUP BY l[1:d], d
+), kids AS (
+  SELECT path[1:d - 1] AS up, d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), valued AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children, CASE WHEN n.d > 0 THEN (n_convs - 1) * length(path[n.d][2]) ELSE 0 END AS own
+  FROM nodes n LEFT JOIN kids k ON k.up = n.path AND k.d = n.d + 1
+), spread AS (
+  SELECT path, n_children, own, unnest(range(0, d + 1)) AS a FROM valued
+), sums AS (
+  SELECT path[1:a] AS top, a, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM spread GROUP BY ALL
+)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN sums s ON s.top = v.path AND s.a = v.d LEFT JOIN nodes u ON v.d > 0 AND u.d = v.d - 1 AND u.path = v.path[1:v.d - 1]""",
 }
