@@ -39,6 +39,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field as dataclass_field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,10 @@ class Tokenizers:
         self.a_bytes = [of_a.get(i, b"") for i in range(max(of_a, default=0) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.bytes = [pa.array(x, pa.large_binary()) for x in (self.a_bytes, self.b_bytes)]
+        # A token's id with what may follow it in the written groups: its own side, or the end of it.
+        signs = [(",", "|"), (",", ";")]
+        self.written = pa.array([f"{i}{sign}" for x, both in zip((self.a_bytes, self.b_bytes), signs) for i in range(len(x)) for sign in both], pa.large_string())
         self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
         self.cuttable = not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
@@ -117,17 +122,18 @@ class Tokenizers:
         while len(self._good) < at + len(new) + 1:
             self._good = np.concatenate([self._good, np.zeros_like(self._good)])
             self._end = [np.concatenate([e, np.zeros_like(e)]) for e in self._end]
+        want = pa.array([" " + u for u in new], pa.large_string()).cast(pa.large_binary())
+        good = np.ones(len(new), bool)
         for side, lists in enumerate((of_a, of_b)):
-            upto = self._end[side][at] + np.cumsum([len(x) for x in lists])
+            ids = np.array(list(chain.from_iterable(lists)), np.int32)
+            n = np.cumsum([len(x) for x in lists])
+            upto = self._end[side][at] + n
             while len(self._ids[side]) < upto[-1]:
                 self._ids[side] = np.concatenate([self._ids[side], np.zeros_like(self._ids[side])])
-            self._ids[side][self._end[side][at] : upto[-1]] = np.concatenate([np.asarray(x, np.int32) for x in lists])
+            self._ids[side][self._end[side][at] : upto[-1]] = ids
             self._end[side][at + 1 : at + len(new) + 1] = upto
-        a, b = self.a_bytes, self.b_bytes
-        self._good[at : at + len(new)] = [
-            (want := (" " + u).encode()) == b"".join([b[i] for i in y]) and want == b"".join([a[i] for i in x])
-            for u, x, y in zip(new, of_a, of_b, strict=True)
-        ]
+            good &= _spelled(self.bytes[side].take(pa.array(ids)), n, want)
+        self._good[at : at + len(new)] = good
         self._row.update(zip(new, range(at, at + len(new)), strict=True))
 
     def encode(self, all_units: list[str], begins: list[int]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -154,6 +160,18 @@ class Tokenizers:
         return ids, ends, np.diff(wrong) == 0
 
 
+def _spelled(tokens: pa.LargeBinaryArray, upto: np.ndarray, want: pa.LargeBinaryArray) -> np.ndarray:
+    """Which texts their tokens spell; text i has the tokens up to ``upto[i]``."""
+    _, at, data = tokens.buffers()
+    at = np.frombuffer(at, np.int64)[np.append(0, upto)]
+    _, place, text = want.buffers()
+    place = np.frombuffer(place, np.int64)[: len(want) + 1]
+    data, text = memoryview(data)[: at[-1]], memoryview(text)[: place[-1]]
+    if np.array_equal(at, place) and data == text:
+        return np.ones(len(want), bool)
+    return np.array([data[a:b] == text[c:d] for a, b, c, d in zip(at[:-1], at[1:], place[:-1], place[1:])], bool)
+
+
 @lru_cache(maxsize=2)
 def _tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
@@ -162,8 +180,12 @@ def _tokenizers(a_path: str, b_path: str) -> Tokenizers:
 def _closed(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of A and of B there are up to each common end. Ends are in order; tokens
     without bytes share the end of the one before."""
-    common = np.intersect1d(a_ends, b_ends)
-    return np.searchsorted(a_ends, common, "right"), np.searchsorted(b_ends, common, "right")
+    if not len(a_ends) or not len(b_ends):
+        return _NONE, _NONE
+    last = np.append(a_ends[1:] != a_ends[:-1], True)
+    upto = np.searchsorted(b_ends, a_ends, "right")
+    common = np.flatnonzero(last & (b_ends[np.maximum(upto, 1) - 1] == a_ends))
+    return common + 1, upto[common]
 
 
 def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,11 +242,13 @@ class Batch:
     Texts that are one range each are found closed by their common ends alone."""
 
     def __init__(self, t: Tokenizers, a: np.ndarray, b: np.ndarray, a_upto: np.ndarray, b_upto: np.ndarray, closed=None):
-        self.a, self.b, self.a_upto, self.b_upto = a, b, a_upto, b_upto
+        self.t, self.a, self.b, self.a_upto, self.b_upto = t, a, b, a_upto, b_upto
         a_ends, b_ends = np.cumsum(t.a_length[a]), np.cumsum(t.b_length[b])
         self.group_a, self.group_b = closed or _closed(a_ends, b_ends)
         of_a, of_b = links(a_ends, b_ends)
-        self.pairs = a[of_a].astype(np.int64) << 32 | b[of_b]
+        pairs = pa.array(a[of_a].astype(np.int64) << 32 | b[of_b]).dictionary_encode()
+        #: Distinct pairs, and which of them each link is.
+        self.pairs, self.which = pairs.dictionary.to_numpy(), pairs.indices.to_numpy().astype(np.int64)
         self.group_upto = np.searchsorted(self.group_a, a_upto, "right")
         self.link_upto = np.searchsorted(of_a, a_upto, "left")
 
@@ -233,15 +257,24 @@ class Batch:
         """Texts that aren't spelled in full have no tokens."""
         return cls(t, *_encoded(t, texts))
 
-    def groups(self, i: int) -> str:
-        """The groups of text i: its A ids, a bar, its B ids; groups by semicolons."""
-        a0, b0, g0 = (int(x[i - 1]) if i else 0 for x in (self.a_upto, self.b_upto, self.group_upto))
-        a, b = [str(x) for x in self.a[a0 : self.a_upto[i]].tolist()], [str(x) for x in self.b[b0 : self.b_upto[i]].tolist()]
-        out, p, q = [], 0, 0
-        for x, y in zip((self.group_a[g0 : self.group_upto[i]] - a0).tolist(), (self.group_b[g0 : self.group_upto[i]] - b0).tolist()):
-            out.append((a[p] if x == p + 1 else ",".join(a[p:x])) + "|" + (b[q] if y == q + 1 else ",".join(b[q:y])))
-            p, q = x, y
-        return ";".join(out)
+    def documents(self) -> np.ndarray:
+        """In how many texts each distinct pair is linked."""
+        doc = np.repeat(np.arange(len(self.link_upto)), np.diff(np.append(0, self.link_upto)))
+        key = np.sort(doc * max(len(self.pairs), 1) + self.which)
+        return np.bincount(key[np.append(True, key[1:] != key[:-1])[: len(key)]] % max(len(self.pairs), 1), minlength=len(self.pairs))
+
+    def groups(self) -> list[bytes]:
+        """The groups of each text: its A ids, a bar, its B ids; groups by semicolons."""
+        ends_a, ends_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
+        ends_a[self.group_a - 1], ends_b[self.group_b - 1] = 1, 1
+        n_a, n_b = np.diff(np.append(0, self.group_a)), np.diff(np.append(0, self.group_b))
+        code = np.empty(len(self.a) + len(self.b), np.int64)
+        # A token stands behind all tokens of the groups before and of its own side before it.
+        code[np.arange(len(self.a)) + np.repeat(self.group_b - n_b, n_a)] = 2 * self.a.astype(np.int64) + ends_a
+        code[np.arange(len(self.b)) + np.repeat(self.group_a, n_b)] = 2 * (len(self.t.a_bytes) + self.b.astype(np.int64)) + ends_b
+        _, at, data = self.t.written.take(pa.array(code)).buffers()
+        upto = np.frombuffer(at, np.int64)[np.append(0, self.a_upto + self.b_upto)].tolist()
+        return [bytes(memoryview(data)[x : max(x, y - 1)]) for x, y in zip(upto, upto[1:])]
 
 
 def _encoded(t: Tokenizers, texts: list[str]):
@@ -360,13 +393,6 @@ def _row_batches(batch: pa.RecordBatch, t: Tokenizers, fragment: str) -> Iterato
         yield row, Batch(t, a, b, np.array([len(a)]), np.array([len(b)]), (a_upto, b_upto))
 
 
-def _per_document(pairs: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """The pairs of each text without repeats."""
-    distinct, which = np.unique(pairs, return_inverse=True)
-    doc = np.repeat(np.arange(len(upto)), np.diff(np.append(0, upto)))
-    return distinct[np.unique(doc * (len(distinct) + 1) + which) % (len(distinct) + 1)]
-
-
 def _counted(df: DataFrame, aligned, text: str, pair: tuple[str, str]) -> DataFrame:
     """(a, b, n) summed within tasks."""
 
@@ -379,7 +405,7 @@ def _counted(df: DataFrame, aligned, text: str, pair: tuple[str, str]) -> DataFr
 
         for batch in batches:
             for _, x in aligned(batch, t, text):
-                found.append(np.unique(_per_document(x.pairs, x.link_upto), return_counts=True))
+                found.append((x.pairs, x.documents()))
                 held += len(found[-1][0])
                 if held > COUNTED_PAIRS:
                     found = [_summed(found)]
@@ -471,18 +497,18 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", groups:
         return run
 
     def _results(rows: pa.RecordBatch, x: Batch) -> pa.RecordBatch:
-        known, n, best = held.value.find(x.pairs)
+        known, n, best = (v[x.which] for v in held.value.find(x.pairs))
         per = lambda v: np.diff(np.append(0, np.append(0, np.cumsum(v))[x.link_upto]))
         n_a = np.diff(np.append(0, x.a_upto))
-        texts = [x.groups(i) for i in range(rows.num_rows)]
-        sha = [hashlib.sha256(s.encode()).hexdigest() if n else "" for s, n in zip(texts, n_a.tolist())]
+        texts = x.groups()
+        sha = [hashlib.sha256(s).hexdigest() if n else "" for s, n in zip(texts, n_a.tolist())]
         doc = np.repeat(np.arange(rows.num_rows), np.diff(np.append(0, x.link_upto)))[~known]
-        pairs, times = np.unique(np.stack([doc, x.pairs[~known]]), axis=1, return_counts=True) if len(doc) else (np.zeros((2, 0), np.int64), _NONE)
+        pairs, times = np.unique(np.stack([doc, x.pairs[x.which[~known]]]), axis=1, return_counts=True) if len(doc) else (np.zeros((2, 0), np.int64), _NONE)
         tails = pa.StructArray.from_arrays([pa.array((pairs[1] >> 32).astype(np.int32)), pa.array((pairs[1] & 0xFFFFFFFF).astype(np.int32)), pa.array(times.astype(np.int64))], names=["a", "b", "times"])
         upto = pa.array(np.append(0, np.cumsum(np.bincount(pairs[0], minlength=rows.num_rows))), pa.int32())
         values = [n_a, np.diff(np.append(0, x.b_upto)), np.diff(np.append(0, x.group_upto)), np.diff(np.append(0, x.link_upto)), per(best), per(n)]
         return pa.RecordBatch.from_arrays(
-            [*(rows.column(c) for c in names), *(pa.array(v, pa.int64()) for v in values), pa.array(sha, pa.string()), *([pa.array(texts, pa.string())] if groups else []), pa.ListArray.from_arrays(upto, tails)],
+            [*(rows.column(c) for c in names), *(pa.array(v, pa.int64()) for v in values), pa.array(sha, pa.string()), *([pa.array([s.decode() for s in texts], pa.string())] if groups else []), pa.ListArray.from_arrays(upto, tails)],
             names=[f.name for f in schema.fields],
         )
 
