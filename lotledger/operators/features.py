@@ -76,7 +76,7 @@ def match_vocabulary(
     options = vocabulary.select(F.lit(0).alias("__s"), F.col("group").alias("id"), F.col("label").alias("name"), "ord")
     found = with_best_options(
         ruled.withColumn("__s", F.lit(0)), F.when(F.col("rule").isNull(), F.col("item")), options, ["__s"],
-        tx.stemmed_tokens, keep=1,
+        tx.stemmed_tokens, keep=1, floor=threshold,
     )
     top = F.get("top", F.lit(0))
     scored = F.when(top.score >= threshold, F.struct(top.id.alias("group"), top["name"].alias("label")))

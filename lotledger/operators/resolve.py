@@ -4,22 +4,20 @@ One value is matched by exact name or alias, then by normalised form, then by
 token overlap. Work is done per *distinct* value, and each step only sees what
 the cheaper step left over.
 
-Options stand in one total order (``ord``, then id, then name), so the answer is the
-same whichever plan finds it. The token step has two plans. A catalog that is *checked* to be short and to
-have no token held by more than ``hot_df`` options is broadcast: values meet it
-where they lie and only their first de-duplication shuffles. Any other catalog
-goes through keys, so that no value is compared with everything that shares a
-common word:
-
-* a rare token is a key of its own and lists every option holding it;
-* tokens held by more than ``hot_df`` options are combined: each hot token and
-  each pair of hot tokens lists, per option size, only the earliest few
-  options, and each triple of hot tokens lists all of them.
-
-That is exact. With overlap S of hot tokens only, the score depends on |S| and
-the two set sizes alone; if an option is not among the ``keep`` earliest of its
-(S, size) list, those others overlap at least as much, have the same size and
-come earlier, so the option cannot be among the best ``keep``.
+Options stand in one total order (``ord``, then id, then name). The token step is a
+set-similarity join by prefix filter, the same for catalogs of every size:
+
+* A score of ``floor`` or more needs a shared part of the smaller set, so of sets of n
+  and s tokens at least T = ``needed(min(n, s))`` must be shared.
+* Tokens stand from rare to frequent. Two sets that share T tokens meet in the first
+  n - T + 1 and s - T + 1 of them, so each set is listed under these tokens only, with T
+  in the key, and the frequent ones at its end are no key at all. T is two at least here.
+* Sharing a single token is enough only where a set has two tokens or one. The score then
+  depends on the sizes alone, so per token and size the earliest ``keep`` options stand
+  for all others of that size: they share as much and come earlier.
+
+Candidates are verified on their token sets. For values with no option above the floor the
+best score is found in the same way, with the best of the single tokens as the bound.
 """
 
 from __future__ import annotations
@@ -36,8 +34,8 @@ CONFIDENT_THRESHOLD = 0.82
 MIN_MARGIN = 0.10
 CANDIDATE_FLOOR = 0.35
 MAX_CANDIDATES = 5
-HOT_DF = 256
-BROADCAST_OPTIONS = 20_000
+#: Share of containment in the score.
+CONTAINED = 0.85
 
 RESULT_FIELDS = ("status", "id", "name", "confidence", "method", "candidates")
 _RESULT_TYPE = (
@@ -59,179 +57,104 @@ def _result(status: Column, method: Column, **given: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in empty.items()]).cast(_RESULT_TYPE)
 
 
-def _text_key(tokens: Column) -> Column:
-    return F.concat_ws("\u0001", tokens)
-
-
-def _subsets(tokens: Column, size: int) -> Column:
-    """Keys of all subsets of ``size`` (1-3) of a sorted token array."""
-    after = lambda i: F.slice(tokens, i + 2, F.size(tokens))
-    key = lambda *t: F.concat_ws("\u0001", *t)
-    if size == 1:
-        return tokens
-    if size == 2:
-        return F.flatten(F.transform(tokens, lambda x, i: F.transform(after(i), lambda y: key(x, y))))
-    return F.flatten(
-        F.transform(
-            tokens,
-            lambda x, i: F.flatten(
-                F.transform(
-                    after(i),
-                    lambda y, j: F.transform(
-                        F.slice(tokens, i + j + 3, F.size(tokens)), lambda z: key(x, y, z)
-                    ),
-                )
-            ),
-        )
-    )
+def needed(size: Column, score: Column | float) -> Column:
+    """Tokens that sets must share for ``score``, the smaller having ``size``; two at least. (The
+    Jaccard part asks for more wherever it decides.)"""
+    return F.greatest(F.lit(2), F.ceil(size * (F.lit(score) if isinstance(score, float) else score) / CONTAINED - 1e-9)).cast("int")
 
 
-def _is_short(options: DataFrame, by: list[str], tokenise, hot_df: int) -> bool:
-    """Checks in one job that the options fit a broadcast and no token is hot."""
-    row = "\u0000"
-    counts = (
-        options.limit(BROADCAST_OPTIONS + 1)
-        .select(*by, F.explode(F.concat(F.array(F.lit(row)), tokenise(F.col("name")))).alias("tok"))
-        .groupBy(*by, "tok")
-        .count()
-        .agg(
-            F.sum(F.when(F.col("tok") == row, F.col("count"))).alias("rows"),
-            F.max(F.when(F.col("tok") != row, F.col("count"))).alias("df"),
-        )
-        .first()
+def _rare_first(sets: DataFrame, by: list[str], column: str, counts: DataFrame) -> DataFrame:
+    """Adds ``_r``, the tokens of a set from rare to frequent; unknown ones are the rarest."""
+    return (
+        sets.select(*by, column, F.explode(column).alias("_t")).join(counts, [*by, "_t"], "left").groupBy(*by, column)
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("n"), "_t"))), lambda x: x["_t"]).alias("_r"))
     )
-    return (counts["rows"] or 0) <= BROADCAST_OPTIONS and (counts["df"] or 0) <= hot_df
+
+
+def _keys(sets: DataFrame, carry: list[str], need: Column, *more: Column) -> DataFrame:
+    """One row per number of shared tokens in the array ``need`` and token in the prefix it leaves."""
+    n = F.size("_r")
+    listed = sets.select(*carry, *more, "_r", F.explode(F.filter(need, lambda t: t <= n)).alias("_need"))
+    return listed.withColumn("_t", F.explode(F.expr("slice(_r, 1, size(_r) - _need + 1)"))).drop("_r")
+
+
+def _upto(high: Column) -> Column:
+    return F.when(high >= 2, F.sequence(F.lit(2), high)).otherwise(F.array().cast("array<int>"))
 
 
 def with_best_options(
     df: DataFrame, ask: Column, options: DataFrame, by: Sequence[str], tokenise,
-    keep: int = MAX_CANDIDATES, hot_df: int = HOT_DF,
+    keep: int = MAX_CANDIDATES, floor: float = CANDIDATE_FLOOR, below: str | None = None,
 ) -> DataFrame:
     """Add ``top``: the best ``keep`` options for the text ``ask`` of each row, as an
-    array of ``score, ord, id, name``, best first, scores above zero only. Rows
-    with a null ``ask`` get an empty array. Rows of ``df`` must be distinct; a
-    repeated option counts once."""
+    array of ``score, ord, id, name``, best first, scores of ``floor`` or more only. Rows
+    with a null ``ask`` get an empty array. ``below`` names a column for the best score of
+    rows whose array is empty. Rows of ``df`` must be distinct; a repeated option counts once."""
     by = list(by)
-    options = options.select(*by, "ord", "id", "name").distinct()
     df = df.select("*", tx.sealed(ask).alias("__ask"))
-    if _is_short(options, by, tokenise, hot_df):
-        posts = options.select(
-            *by, F.struct("ord", "id", "name").alias("__o"), F.size(tokenise(F.col("name"))).alias("__n"),
-            F.explode(tokenise(F.col("name"))).alias("__tok"),
-        )
-        tokens = F.when(F.col("__ask").isNotNull(), tokenise(F.col("__ask")))
-        score = tx.overlap_score(F.count("__o"), F.first("__size"), F.first("__n"))
-        return (
-            df.withColumn("__toks", tokens)
-            .select(*df.columns, F.size("__toks").alias("__size"), F.explode_outer("__toks").alias("__tok"))
-            .join(F.broadcast(posts), [*by, "__tok"], "left")
-            .groupBy(*df.columns, "__o")
-            .agg(score.alias("__score"))
-            .groupBy(*df.columns)
-            .agg(
-                F.slice(
-                    F.array_sort(
-                        F.collect_list(
-                            F.when(
-                                F.col("__o").isNotNull(),
-                                F.struct((-F.col("__score")).alias("neg"), F.col("__o.ord").alias("ord"),
-                                         F.col("__o.id").alias("id"), F.col("__o.name").alias("name")),
-                            )
-                        )
-                    ),
-                    1, keep,
-                ).alias("top")
-            )
-            .withColumn(
-                "top",
-                F.transform(
-                    "top",
-                    lambda t: F.struct((-t["neg"]).alias("score"), t["ord"].alias("ord"), t["id"].alias("id"), t["name"].alias("name")),
-                ),
-            )
-            .drop("__ask")
-        )
-    asked = df.filter("__ask IS NOT NULL").select(*by, F.col("__ask").alias("value")).distinct()
+    asked = df.filter("__ask IS NOT NULL").select(*by, "__ask").distinct().withColumn("_v", F.array_sort(tokenise(F.col("__ask"))))
+    opts = options.select(*by, "ord", "id", "name").distinct().withColumn("_o", F.array_sort(tokenise(F.col("name")))).filter(F.size("_o") > 0)
+    # Equal token sets score equally: only the earliest few of each can rank.
+    first_few = Window.partitionBy(*by, "_o").orderBy("ord", "id", "name")
+    opts = settle(opts.withColumn("_n", F.row_number().over(first_few)).filter(F.col("_n") <= keep).drop("_n"))
+    o_sets = opts.select(*by, "_o").distinct()
+    counts = o_sets.select(*by, F.explode("_o").alias("_t")).groupBy(*by, "_t").agg(F.count("*").alias("_df"))
+    o_sets = settle(_rare_first(o_sets, by, "_o", counts))
+    v_sets = settle(_rare_first(asked.select(*by, "_v").distinct(), by, "_v", counts))
+    sizes = sorted(r[0] for r in o_sets.select(F.size("_o")).distinct().collect())  # as many as the longest name has tokens, at most
+
+    n, s = F.size("_v"), F.size("_o")
+    most = needed(F.lit(max(sizes, default=1)), floor)
+    # The value is the smaller set, or equal; then the option is.
+    o_large = _keys(o_sets, [*by, "_o"], _upto(needed(s, floor)), F.lit("v").alias("_small"))
+    o_small = _keys(o_sets, [*by, "_o"], F.array(needed(s, floor)), F.lit("o").alias("_small"))
+    v_small = _keys(v_sets, [*by, "_v"], F.array(needed(n, floor)), F.lit("v").alias("_small"))
+    v_large = _keys(v_sets, [*by, "_v"], _upto(F.least(needed(n, floor), most)), F.lit("o").alias("_small"))
+    met = v_small.unionByName(v_large).join(o_small.unionByName(o_large), [*by, "_small", "_need", "_t"]).select(*by, "_v", "_o").distinct()
+
+    early = Window.partitionBy(*by, "_t", s).orderBy("ord", "id", "name")
+    lists = opts.withColumn("_t", F.explode("_o")).withColumn("_n", F.row_number().over(early)).filter(F.col("_n") <= keep).drop("_n")
+    single = v_sets.select(*by, "_v", F.explode("_v").alias("_t")).join(lists, [*by, "_t"]).filter(F.least(n, s) <= 2)
+
+    names = [*by, "_v", "_o", "ord", "id", "name"]
+    found = met.join(opts, [*by, "_o"]).select(names).unionByName(single.select(names)).distinct()
+    found = found.withColumn("score", tx.set_score(F.col("_o"), F.col("_v"))).filter(F.col("score") >= floor)
+    best = Window.partitionBy(*by, "_v").orderBy(F.desc("score"), "ord", "id", "name")
     top = (
-        _keyed_candidates(asked, options, by, tokenise, hot_df, keep)
-        .groupBy(*by, F.col("value").alias("__ask"))
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "score", "ord", "id", "name"))).alias("top"))
+        found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep)
+        .groupBy(*by, "_v").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "ord", "id", "name"))).alias("top"))
     )
+    of_value = asked.join(top, [*by, "_v"], "left")
+    if below:
+        of_value = settle(of_value)
+        low = v_sets.join(of_value.filter("top IS NULL").select(*by, "_v").distinct(), [*by, "_v"], "left_semi")
+        of_value = of_value.join(_best_below(low, o_sets, by, sizes, floor).withColumnRenamed("_best", below), [*by, "_v"], "left")
     none = F.array().cast("array<struct<score:double,ord:bigint,id:string,name:string>>")
-    return df.join(top, [*by, "__ask"], "left").drop("__ask").withColumn(
-        "top",
-        F.coalesce(F.transform("top", lambda t: t.dropFields("rank")), none),
-    )
+    out = df.join(of_value.drop("_v"), [*by, "__ask"], "left").drop("__ask")
+    return out.withColumn("top", F.coalesce(F.transform("top", lambda t: t.dropFields("rank")), none))
 
 
-def _keyed_candidates(
-    values: DataFrame, options: DataFrame, by: list[str], tokenise, hot_df: int, keep: int
-) -> DataFrame:
-    """Best ``keep`` options per distinct value by overlap score, ties by ``ord, id, name``.
-
-    ``values``: ``by..., value``; ``options``: ``by..., id, name, ord``. Returns
-    ``by..., value, rank, id, name, ord, score`` for scores above zero.
-    """
-    opts = options.select(*by, "id", "name", "ord", F.array_sort(tokenise(F.col("name"))).alias("o_tok")).filter(
-        F.size("o_tok") > 0
-    )
-    # Equal token sets score equally: only the earliest few of each can rank.
-    first_few = Window.partitionBy(*by, "o_tok").orderBy("ord", "id", "name")
-    opts = opts.withColumn("n", F.row_number().over(first_few)).filter(F.col("n") <= keep).drop("n")
-    sets = opts.groupBy(*by, "o_tok").agg(F.min(F.struct("ord", "id", "name")).alias("set_ord"))
-
-    df = sets.select(*by, F.explode("o_tok").alias("tok")).groupBy(*by, "tok").agg(
-        (F.count("*") > hot_df).alias("hot")
-    )
-
-    def key_rows(side: DataFrame, tok: str, carry: list[str]) -> DataFrame:
-        """One row per key; tokens foreign to the options' vocabulary drop out."""
-        split = (
-            side.select(*by, *carry, tok, F.explode(tok).alias("tok"))
-            .join(df, [*by, "tok"])
-            .groupBy(*by, *carry, tok)
-            .agg(
-                F.collect_set(F.when(~F.col("hot"), F.col("tok"))).alias("rare"),
-                F.sort_array(F.collect_set(F.when(F.col("hot"), F.col("tok")))).alias("hots"),
-            )
-        )
-        tagged = lambda keys, level: F.transform(
-            keys, lambda k: F.struct(F.lit(level).alias("level"), k.alias("key"))
-        )
-        keys = F.concat(
-            tagged(F.col("rare"), 0), *[tagged(_subsets(F.col("hots"), n), n) for n in (1, 2, 3)]
-        )
-        return split.select(*by, *carry, tok, F.explode(keys).alias("k")).select(*by, *carry, tok, "k.level", "k.key")
-
-    posts = key_rows(sets, "o_tok", ["set_ord"])
-    per_size = Window.partitionBy(*by, "level", "key", F.size("o_tok")).orderBy("set_ord")
-    short = (
-        posts.filter(F.col("level").isin(1, 2))
-        .withColumn("n", F.row_number().over(per_size))
-        .filter(F.col("n") <= keep)
-        .drop("n")
-    )
-    posts = posts.filter(~F.col("level").isin(1, 2)).unionByName(short).drop("set_ord")
-
-    tokened = values.select(*by, "value", F.array_sort(tokenise(F.col("value"))).alias("v_tok"))
-    v_sets = tokened.select(*by, "v_tok").distinct()
-    pairs = (
-        key_rows(v_sets, "v_tok", []).join(posts, [*by, "level", "key"]).select(*by, "v_tok", "o_tok").distinct()
+def _best_below(low: DataFrame, o_sets: DataFrame, by: list[str], sizes: list[int], floor: float) -> DataFrame:
+    """``by..., _v, _best``: the best score of sets that no option meets at the floor."""
+    n, s = F.size("_v"), F.size("_o")
+    held = o_sets.select(*by, F.explode("_o").alias("_t"), s.alias("_size")).distinct()
+    one = low.select(*by, "_v", "_r", F.explode("_v").alias("_t")).join(held, [*by, "_t"]).groupBy(*by, "_v", "_r").agg(
+        F.max(tx.overlap_score(F.lit(1), n, F.col("_size"))).alias("_one")
     )
-    best = Window.partitionBy(*by, "v_tok").orderBy(F.desc("score"), "ord", "id", "name")
-    ranked = (
-        pairs.withColumn("score", tx.set_score(F.col("o_tok"), F.col("v_tok")))
-        .join(opts, [*by, "o_tok"])
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= keep)
-        .select(*by, "v_tok", "rank", "id", "name", "ord", "score")
+    one = settle(one)
+    # More than one shared token: as above, with that score as the bound.
+    small = _keys(one, [*by, "_v"], F.array(needed(n, F.col("_one"))), F.lit(0).alias("_size"))
+    large = one.select("*", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("_size")).filter(F.col("_size") < n)
+    large = _keys(large, [*by, "_v"], F.array(needed(F.col("_size"), F.col("_one"))), F.col("_size"))
+    listed = _keys(o_sets, [*by, "_o"], _upto(needed(s, floor)), s.alias("_own"))
+    met = small.join(listed.drop("_own"), [*by, "_need", "_t"]).select(*by, "_v", "_o").unionByName(
+        large.join(listed.withColumnRenamed("_own", "_size"), [*by, "_size", "_need", "_t"]).select(*by, "_v", "_o")
     )
-    return tokened.join(ranked, [*by, "v_tok"]).drop("v_tok")
+    more = met.distinct().groupBy(*by, "_v").agg(F.max(tx.set_score(F.col("_o"), F.col("_v"))).alias("_more"))
+    return one.select(*by, "_v", "_one").join(more, [*by, "_v"], "left").select(*by, "_v", F.greatest("_one", "_more").alias("_best"))
 
 
-def resolve_values(
-    values: DataFrame, options: DataFrame, by: Sequence[str] = (), hot_df: int = HOT_DF
-) -> DataFrame:
+def resolve_values(values: DataFrame, options: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Resolution of every distinct ``(by..., value)``.
 
     ``values``: ``by..., value`` (repeats allowed). ``options``: ``by..., id,
@@ -265,10 +188,10 @@ def resolve_values(
     else:
         named = named.join(options.select(*by).distinct().withColumn("offered", F.lit(True)), by, "left")
     ask = F.when((F.col("value") != "") & F.col("offered").isNotNull() & F.col("hit").isNull(), F.col("value"))
-    joined = with_best_options(named, ask, options.select(*by, "id", "name", "ord"), by, tx.token_set, hot_df=hot_df)
+    joined = with_best_options(named, ask, options.select(*by, "id", "name", "ord"), by, tx.token_set, below="__below")
     score = lambda i: F.coalesce(F.get("top", F.lit(i)).score, F.lit(0.0))
     candidates = F.transform(
-        F.filter("top", lambda t: t.score >= CANDIDATE_FLOOR),
+        "top",
         lambda t: F.struct(t.id.alias("id"), t["name"].alias("name"), F.bround(t.score, 3).alias("score")),
     )
     sure = (score(0) >= CONFIDENT_THRESHOLD) & (score(0) - score(1) >= MIN_MARGIN)
@@ -282,21 +205,21 @@ def resolve_values(
         .when(F.col("hit.loose"), _result(F.lit("matched"), F.lit("normalized"), confidence=F.lit(0.98), **named_hit))
         .when(sure, _result(F.lit("matched"), token, id=best.id, name=best["name"], confidence=score(0)))
         .when(F.size(candidates) > 0, _result(F.lit("ambiguous"), token, confidence=score(0), candidates=candidates))
-        .otherwise(_result(F.lit("missing"), token, confidence=score(0)))
+        .otherwise(_result(F.lit("missing"), token, confidence=F.coalesce("__below", F.lit(0.0))))
     )
     out = joined.select(*by, "value", res.alias("res"))
     return out.drop("__all") if scoped else out
 
 
 def resolve_column(
-    df: DataFrame, value: str, options: DataFrame, by: Sequence[str] = (), into: str = "res", hot_df: int = HOT_DF
+    df: DataFrame, value: str, options: DataFrame, by: Sequence[str] = (), into: str = "res"
 ) -> DataFrame:
     """``resolve_values`` joined back onto every row of ``df``. A null scope
     offers no options."""
     asked = df.select(*by, F.col(value).alias("value"))
     for b in by:
         asked = asked.filter(F.col(b).isNotNull())
-    right = settle(resolve_values(asked, options, by, hot_df)).select(
+    right = settle(resolve_values(asked, options, by)).select(
         *[F.col(b).alias(f"__r_{b}") for b in by], F.col("value").alias("__r_value"), F.col("res").alias(into)
     )
     on = tx.strip(F.col(value)) == F.col("__r_value")

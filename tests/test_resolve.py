@@ -40,31 +40,59 @@ def _brute(options, value):
     return [(i, round(s, 9)) for s, _, i in ranked[:5] if s > 0]
 
 
-@pytest.mark.parametrize("hot_df", [2, 5, 10_000])
-def test_token_search_equals_brute_force(spark, hot_df):
-    rng = random.Random(7)
-    words = ["a", "b", "c", "d", "e", "f", "g", "h"]
-    pick = lambda: " ".join(rng.sample(words[: rng.choice([3, 8])], rng.choice([1, 2, 3])) + [f"u{rng.randrange(30)}"] * rng.choice([0, 0, 1]))
-    options = [(str(k), pick(), None) for k in range(150)]
-    values = sorted({pick() + rng.choice(["", " zz"]) for _ in range(60)})
-    df = spark.createDataFrame([(0, v) for v in values], "s int, value string")
-    opts = spark.createDataFrame([(0, i, n, k) for k, (i, n, _) in enumerate(options)], "s int, id string, name string, ord bigint")
+def _best(spark, values, options, **kw):
     from lotledger.functions import text as tx
 
-    out = resolve.with_best_options(df, F.col("value"), opts, ["s"], tx.token_set, hot_df=hot_df)
-    for r in out.collect():
-        assert [(t.id, round(t.score, 9)) for t in r.top] == _brute(options, r.value), r.value
+    df = spark.createDataFrame([(0, v) for v in values], "s int, value string").distinct()
+    opts = spark.createDataFrame([(0, i, n, k) for k, (i, n, _) in enumerate(options)], "s int, id string, name string, ord bigint")
+    return resolve.with_best_options(df, F.col("value"), opts, ["s"], tx.token_set, below="below", **kw).collect()
 
 
-@pytest.mark.parametrize("hot_df", [0, 10_000])
-def test_repeated_options_count_once(spark, hot_df):
-    from lotledger.functions import text as tx
+def _check(rows, options, floor=0.35):
+    for r in rows:
+        want = _brute(options, r.value)
+        assert [(t.id, round(t.score, 9)) for t in r.top] == [w for w in want if w[1] >= floor], r.value
+        if not r.top:
+            assert round(r.below or 0, 9) == (want[0][1] if want else 0), r.value
+
+
+@pytest.mark.parametrize(("seed", "most"), [(7, 3), (8, 9), (9, 20)])
+def test_token_search_equals_brute_force(spark, seed, most):
+    rng = random.Random(seed)
+    words = ["a", "b", "c", "d", "e", "f", "g", "h"] + [f"w{i}" for i in range(3 * most)]
+    pick = lambda: " ".join(dict.fromkeys(rng.sample(words[: rng.choice([3, 8, len(words)])], rng.randint(1, 3)) + rng.choices(words, k=rng.randrange(most)) + [f"u{rng.randrange(30)}"] * rng.choice([0, 0, 1])))
+    options = [(str(k), pick(), None) for k in range(150)]
+    _check(_best(spark, [pick() + rng.choice(["", " zz", " zz yy xx vv"]) for _ in range(80)], options), options)
 
-    rows = [(0, "1", "red fox turbo", 0), (0, "2", "red cat", 1)]
+
+def test_token_in_every_option_and_very_long_texts(spark):
+    rng = random.Random(4)
+    rare = [f"r{i}" for i in range(400)]
+    options = [(str(k), " ".join(["car", *dict.fromkeys(rng.choices(rare[:40], k=rng.randint(0, 5)))]), None) for k in range(300)]
+    options += [(str(k), " ".join(["car", *rng.sample(rare, 199)]), None) for k in range(300, 312)]
+    values = ["car", "car car2", "car r1 r2", "zz car", "a b c d e f g car", "none of these"]
+    values += [" ".join(["car", *rng.sample(rare, 199)]) for _ in range(5)] + [" ".join([*rng.sample(rare, 12), *(f"x{i}" for i in range(188))]) for _ in range(5)]
+    _check(_best(spark, values, options), options)
+
+
+def test_frequent_tokens_are_no_keys(spark):
+    """Of three tokens or more, a set's most frequent one lists nothing."""
+    sets = spark.createDataFrame([(0, ["a", "b", "c"], ["c", "b", "a"]), (0, ["a", "d"], ["d", "a"]), (0, ["a"], ["a"])], "s int, _o array<string>, _r array<string>")
+    listed = resolve._keys(sets, ["s", "_o"], resolve._upto(resolve.needed(F.size("_o"), 0.35))).collect()
+    assert sorted((len(r["_o"]), r["_need"], r["_t"]) for r in listed) == [(2, 2, "d"), (3, 2, "b"), (3, 2, "c")]
+
+
+def test_repeated_options_count_once_and_empty_sides(spark):
+    rows = [("1", "red fox turbo", None), ("2", "red cat", None)]
     df = spark.createDataFrame([(0, "red fox")], "s int, value string")
-    opts = spark.createDataFrame(rows[:1] * 3 + rows[1:] * 2, "s int, id string, name string, ord bigint")
-    out = resolve.with_best_options(df, F.col("value"), opts, ["s"], tx.token_set, hot_df=hot_df).first()
-    assert [(t.id, round(t.score, 9)) for t in out.top] == _brute([(i, n, None) for _, i, n, _ in rows], "red fox")
+    from lotledger.functions import text as tx
+
+    opts = spark.createDataFrame([(0, "1", "red fox turbo", 0)] * 3 + [(0, "2", "red cat", 1)] * 2, "s int, id string, name string, ord bigint")
+    out = resolve.with_best_options(df, F.col("value"), opts, ["s"], tx.token_set).first()
+    assert [(t.id, round(t.score, 9)) for t in out.top] == _brute(rows, "red fox")
+    empty = resolve.with_best_options(df, F.col("value"), opts.filter("false"), ["s"], tx.token_set, below="b").first()
+    assert empty.top == [] and empty.b is None
+    assert resolve.with_best_options(df, F.lit(None).cast("string"), opts, ["s"], tx.token_set).first().top == []
 
 
 SPECS = [
