@@ -127,9 +127,11 @@ ORACLES = {
       SELECT e.user_id, e.event_id, e.event_type FROM events e LEFT JOIN s ON s.user_id = e.user_id WHERE s.stop IS NULL OR (e.ts, e.event_id) <= s.stop""",
     "reply_shape": f"""WITH {with_clause('sheet_replies')}, j AS (SELECT event_id, trim(regexp_replace(regexp_replace(content, '^\\s*```(json)?\\s*', ''), '\\s*```\\s*$', '')) AS json FROM sheet_replies),
       k AS (SELECT event_id, json, json_keys(json) AS ks, json_type(json, '$.raw_specifications') AS ts, json_type(json, '$.raw_features') AS tf FROM j WHERE trim(json) <> '' AND json_valid(json))
-      SELECT event_id, concat_ws('; ', {", ".join(f"CASE WHEN NOT list_contains(ks, '{k}') THEN 'missing top-level key ''{k}''' END" for k in rp.REQUIRED_KEYS)},
+      SELECT r.event_id, CASE WHEN trim(content) = '' THEN 'empty content' WHEN k.event_id IS NULL AND finish_reason IN ('length', 'max_tokens') THEN 'invalid JSON, cut off at the token cap'
+        WHEN k.event_id IS NULL THEN 'invalid JSON' ELSE concat_ws('; ', {", ".join(f"CASE WHEN NOT list_contains(ks, '{k}') THEN 'missing top-level key ''{k}''' END" for k in rp.REQUIRED_KEYS)},
         CASE WHEN ts <> 'ARRAY' THEN '''raw_specifications'' should be an array, got str' END, CASE WHEN tf <> 'ARRAY' THEN '''raw_features'' should be an array, got dict' END,
-        CASE WHEN ts = 'ARRAY' AND json_array_length(json, '$.raw_specifications') = 0 THEN '''raw_specifications'' is empty — the model returned a skeleton, not an extraction' END) AS issues FROM k""",
+        CASE WHEN ts = 'ARRAY' AND json_array_length(json, '$.raw_specifications') = 0 THEN '''raw_specifications'' is empty — the model returned a skeleton, not an extraction' END) END AS issues
+      FROM sheet_replies r LEFT JOIN k ON k.event_id = r.event_id""",
     "page_boundary": """WITH p AS (SELECT conv_id AS doc, turn AS page, length(text) % 100 < 50 AND length(text) % 7 >= 3 AS photo FROM conversations),
       n AS (SELECT doc, page, photo AND lead(photo) OVER (PARTITION BY doc ORDER BY page) AS pair FROM p)
       SELECT doc, count(*) AS n_pages, coalesce(min(page) FILTER (WHERE pair AND page >= 1), count(*)) AS boundary FROM n GROUP BY doc""",

@@ -134,7 +134,7 @@ def update_listings(spark, sf):
 
 def publish_new(spark, sf):
     listings = table(spark, sf, "part_listings")
-    reviewed = table(spark, sf, "listing_changes").select("model_number", "status", "price_aed", "ord")
+    reviewed = table(spark, sf, "reviewed_cars").select("model_number", "status", "price_aed", "ord")
     added, conflicts = changes.publish_new(listings, reviewed, F.lit(1))
     pick = lambda df, tag: df.select(
         F.lit(tag).alias("result"), "model_number", "status", "price_aed", F.col("ord").alias("review_ord")
@@ -156,11 +156,12 @@ def _key(c: str) -> str:
     return f"CASE WHEN {up} = 'NAN' THEN '' ELSE {up} END"
 
 
-_ROWS = f"""{with_clause('stock_file', 'live_listings', 'pending_rows')},
+def _rows(stock: str, staged: str) -> str:
+    return f"""{with_clause(stock, 'live_listings', staged)},
 rows_ AS (
   SELECT *, TRY_CAST(replace(trim(aed_price), ',', '') AS DOUBLE) AS price,
          {_key('product_description')} AS dk, {_key('stock_id')} AS sk, {_key('model_code')} AS ck
-  FROM stock_file WHERE trim(model_code) <> '' AND lower(trim(model_code)) <> 'nan'),
+  FROM {stock} WHERE trim(model_code) <> '' AND lower(trim(model_code)) <> 'nan'),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY model_code ORDER BY (price IS NULL), ord) AS rn,
          count(*) OVER (PARTITION BY model_code) AS n_rows,
@@ -207,6 +208,9 @@ report AS (
   SELECT 'hidden', model_number, '', NULL, NULL, NULL, NULL, price_aed, NULL, NULL, NULL, NULL, NULL
   FROM listed WHERE status = 'active' AND lk NOT IN (SELECT key FROM keys_))"""
 
+
+_ROWS, _ALL_ROWS = _rows("stock_file", "pending_rows"), _rows("stock_all", "pending_all")
+
 _PENDING = f"""{with_clause('pending_rows', 'live_listings')},
 p AS (SELECT *, {_key('model_number')} AS mk, {_key('product_description')} AS dk FROM pending_rows),
 l AS (SELECT *, {_key('model_number')} AS lk FROM live_listings),
@@ -226,7 +230,7 @@ ORACLES = {
         CASE WHEN json_valid(record) THEN record ->> '$.body' END AS body,
         CASE WHEN json_valid(record) THEN record ->> '$.size' END AS size
       FROM stored_listings""",
-    "stock_collapse": f"""WITH {_ROWS},
+    "stock_collapse": f"""WITH {_ALL_ROWS},
       a AS (SELECT model_code, count(*) AS n_aliases, min(alias) AS first_alias, max(alias) AS last_alias
             FROM alias_ GROUP BY model_code)
       SELECT p.model_code, n_rows, price, product_description, stock_id, available, n_aliases, first_alias, last_alias
@@ -246,9 +250,9 @@ ORACLES = {
                            FROM p WHERE bucket = 'new') WHERE rn = 1)
       SELECT w.model_number, f.row_id, nullif(f.product_description, '') AS product_description
       FROM (SELECT DISTINCT model_number FROM l) w LEFT JOIN f ON f.model_number = w.model_number""",
-    "listing_entry": f"""WITH {_ROWS},
+    "listing_entry": f"""WITH {_ALL_ROWS},
       s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_number ORDER BY row_id) AS rn
-                           FROM pending_rows WHERE bucket = 'new') WHERE rn = 1)
+                           FROM pending_all WHERE bucket = 'new') WHERE rn = 1)
       SELECT coalesce(s.model_number, c.model_code) AS model_number,
              coalesce(nullif(c.product_description, ''), s.product_description) AS product_description,
              coalesce(c.price, s.price_aed) AS price_aed,
@@ -271,10 +275,10 @@ ORACLES = {
       SELECT l.model_number, coalesce(c.s, l.status) AS status, coalesce(c.p, l.price_aed) AS price_aed,
              CASE WHEN c.model_number IS NULL THEN 0 ELSE 1 END AS updated_at, c.model_number IS NOT NULL AS applied
       FROM part_listings l LEFT JOIN c ON c.model_number = l.model_number""",
-    "publish_new": f"""WITH {with_clause('part_listings', 'listing_changes')},
+    "publish_new": f"""WITH {with_clause('part_listings', 'reviewed_cars')},
       r AS (SELECT *, ord = min(ord) OVER (PARTITION BY model_number)
-                   AND model_number NOT IN (SELECT model_number FROM part_listings WHERE status = 'hidden') AS fresh
-            FROM listing_changes)
+                   AND model_number NOT IN (SELECT model_number FROM part_listings) AS fresh
+            FROM reviewed_cars)
       SELECT CASE WHEN fresh THEN 'added' ELSE 'conflict' END AS result, model_number,
              CASE WHEN fresh THEN coalesce(status, 'active') ELSE status END AS status, price_aed, ord AS review_ord FROM r""",
 }

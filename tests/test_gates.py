@@ -40,6 +40,11 @@ def test_repair_cases():
     assert rp.repair_json('{"a": 1, "b":') == ('{"a": 1}', 6)
     assert rp.repair_json("no json") == (None, 7)
     assert rp.repair_json("[1, 2") == (None, 5)
+    # All brackets closed, or a fault that isn't the end: nothing is cut away without notice.
+    for text in ('{"brand":"x","model":"y"}\n\nHope this helps!', '{"a":1,"b":2}}', '{"a":1,"b":tru, "c":', '{"a":1}{"b":2,"c"', "{}", '{"a": [1, x], "b": [2'):
+        assert rp.repair_json(text) == (None, len(text)), text
+    assert rp.repair_json('{"a": [1, x], "b": 2, "c": [3, 4') == (None, 32)
+    assert rp.repair_json('{"a": 1, "b": [2, {"c": tru, "d"') == ('{"a": 1, "b": [2]}', 16)
 
 
 def test_repair_keeps_the_longest_valid_prefix():
