@@ -141,12 +141,12 @@ WITH last AS (
 ), ends AS (
   SELECT a.conv_id, a.m[1] AS last_turn, b.m[2] AS other FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1)
 ), sides AS (
-  SELECT c.conv_id, 'chosen' AS side, turn, role, text FROM conversations c JOIN ends e ON e.conv_id = c.conv_id WHERE turn <= last_turn
+  SELECT conv_id, 'chosen' AS side, turn, role, text FROM conversations
   UNION ALL
   SELECT c.conv_id, 'rejected', turn, role, CASE WHEN turn = last_turn AND role = 'assistant' THEN other ELSE text END
-  FROM conversations c JOIN ends e ON e.conv_id = c.conv_id WHERE turn <= last_turn
+  FROM conversations c JOIN ends e ON e.conv_id = c.conv_id
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS place,
+  SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
     concat('<|im_start|>', coalesce(role, ''), chr(10), coalesce(text, ''), '<|im_end|>', chr(10)) AS piece FROM sides
 ), spots AS (
   SELECT conv_id, place, count(*) AS n, count(DISTINCT (coalesce(role, chr(0)), text IS NULL, coalesce(text, ''))) AS kinds FROM placed GROUP BY ALL
@@ -163,7 +163,7 @@ WITH last AS (
   FROM rest GROUP BY conv_id, side
 )
 SELECT c.conv_id, c.n_prompt_turns, c.prompt, c.completion AS chosen, c.mask AS chosen_mask, r.completion AS rejected, r.mask AS rejected_mask
-FROM done c JOIN done r ON r.conv_id = c.conv_id WHERE c.side = 'chosen' AND r.side = 'rejected'""",
+FROM done c LEFT JOIN done r ON r.conv_id = c.conv_id AND r.side = 'rejected' WHERE c.side = 'chosen'""",
     "op8_repeated_passages": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
