@@ -1,5 +1,7 @@
 """Snapshot reading, diff buckets and their properties."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,7 +103,42 @@ def test_listings_array_keeps_all_keys(spark, tmp_path):
     assert rows["B"].extra is None and [r.record for r in bad.collect()] == ["7"]
     (tmp_path / "m.json").write_text('[{"model_number": "A"}, {"model')
     good, bad = listing_source.read_listings(spark, str(tmp_path / "m.json"))
-    assert good.count() == 0 and bad.count() == 1
+    assert [r.model_number for r in good.collect()] == ["A"] and [r.record for r in bad.collect()] == ['{"model']
+
+
+def test_broken_record_in_an_array_costs_itself_only(spark, tmp_path):
+    records = ['{"model_number": "A"}', '{"model_number": "B", "price_aed": tru}', '{"model_number": "C", "photos": {"exterior": ["}", "{\\"}"]}}', "null", '"x, }"', '{"model_number": "D\\\\"}', '{"model_number": "E", }']
+    for i, text in enumerate(("[" + ",".join(records) + "]", "[\n  " + ",\n  ".join(records) + "\n]\n", "[" + ", ".join(records))):
+        (tmp_path / f"{i}.json").write_text(text)
+        good, bad = listing_source.read_listings(spark, str(tmp_path / f"{i}.json"))
+        assert sorted(r.model_number for r in good.collect()) == ["A", "C", "D\\"], text
+        assert sorted(r.record.rstrip("}, ") for r in bad.collect()) == sorted(x.rstrip("}, ") for x in (records[1], "null", '"x, }"', records[6])), text
+    good, bad = listing_source.read_listings(spark, str(tmp_path))
+    assert good.count() == 9 and bad.count() == 12
+
+
+def test_repeated_keys_are_quarantined_or_the_outer_one_wins(spark, tmp_path):
+    rows = ['{"model_number": "A", "x": 1, "x": 2}', '{"model_number": "B", "extra": {"y": 1, "y": 2}}', '{"model_number": "C", "x": "own", "extra": {"x": "inner", "z": "z"}}', '{"model_number": "D", "model_number": "E"}']
+    (tmp_path / "l.json").write_text("\n".join(rows))
+    good, bad = listing_source.read_listings(spark, str(tmp_path / "l.json"))
+    assert [(r.model_number, r.extra) for r in good.collect()] == [("C", {"x": "own", "z": "z"})]
+    assert sorted(r.record for r in bad.collect()) == sorted([rows[0], rows[1], rows[3]])
+
+
+def test_array_of_many_splits(spark, tmp_path):
+    """A file over many splits: strings and records that begin in one and end in another."""
+    records = [{"model_number": f"M{i}", "product_description": "a } \" { ] " * (i % 7), "status": "active"} for i in range(3000)]
+    (tmp_path / "l.json").write_text(json.dumps(records, indent=1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        good, bad = listing_source.read_listings(spark, str(tmp_path / "l.json"))
+        assert {(r.model_number, r.product_description) for r in good.collect()} == {(r["model_number"], r["product_description"]) for r in records}
+        assert bad.count() == 0 and listing_source._pieces(spark, str(tmp_path / "l.json"), "}").select("block").distinct().count() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_html_export(spark, tmp_path):
