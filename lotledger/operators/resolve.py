@@ -63,25 +63,21 @@ def needed(size: Column, score: Column | float) -> Column:
     return F.greatest(F.lit(2), F.ceil(size * (F.lit(score) if isinstance(score, float) else score) / CONTAINED - 1e-9)).cast("int")
 
 
-def _rare_first(sets: DataFrame, by: list[str], column: str, counts: DataFrame) -> DataFrame:
+def _rare_first(sets: DataFrame, by: list[str], column: str, counts: DataFrame, *carry: str) -> DataFrame:
     """Adds ``_r``, the tokens of a set from rare to frequent; unknown ones are the rarest."""
     return (
-        sets.select(*by, column, F.explode(column).alias("_t")).join(counts, [*by, "_t"], "left").groupBy(*by, column)
+        sets.select(*by, column, *carry, F.explode(column).alias("_t")).join(counts, [*by, "_t"], "left").groupBy(*by, column, *carry)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("n"), "_t"))), lambda x: x["_t"]).alias("_r"))
     )
 
 
-def _keys(sets: DataFrame, carry: list[str], need: Column, *more: Column) -> DataFrame:
-    """One row per number of shared tokens in the array ``need`` and token in the prefix it leaves."""
-    n = F.size("_r")
-    listed = sets.select(*carry, *more, "_r", F.explode(F.filter(need, lambda t: t <= n)).alias("_need"))
+def _keys(sets: DataFrame, carry: list[str], low: Column, high: Column, *more: Column) -> DataFrame:
+    """One row per number of shared tokens from ``low`` to ``high`` and token in the prefix it leaves."""
+    upto = F.least(high, F.size("_r"))
+    listed = sets.select(*carry, *more, "_r", F.explode(F.when(upto >= low, F.sequence(low, upto))).alias("_need"))
     return listed.withColumn("_t", F.explode(F.expr("slice(_r, 1, size(_r) - _need + 1)"))).drop("_r")
 
 
-def _upto(high: Column) -> Column:
-    return F.when(high >= 2, F.sequence(F.lit(2), high)).otherwise(F.array().cast("array<int>"))
-
-
 def with_best_options(
     df: DataFrame, ask: Column, options: DataFrame, by: Sequence[str], tokenise,
     keep: int = MAX_CANDIDATES, floor: float = CANDIDATE_FLOOR, below: str | None = None,
@@ -96,20 +92,23 @@ def with_best_options(
     opts = options.select(*by, "ord", "id", "name").distinct().withColumn("_o", F.array_sort(tokenise(F.col("name")))).filter(F.size("_o") > 0)
     # Equal token sets score equally: only the earliest few of each can rank.
     first_few = Window.partitionBy(*by, "_o").orderBy("ord", "id", "name")
-    opts = settle(opts.withColumn("_n", F.row_number().over(first_few)).filter(F.col("_n") <= keep).drop("_n"))
-    o_sets = opts.select(*by, "_o").distinct()
+    sets = opts.withColumn("_n", F.row_number().over(first_few)).filter(F.col("_n") <= keep).groupBy(*by, "_o").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "id", "name"))).alias("_few")
+    )
+    counts = sets.select(*by, F.explode("_o").alias("_t")).groupBy(*by, "_t").agg(F.count("*").alias("_df"))
+    o_sets = settle(_rare_first(sets, by, "_o", counts, "_few"))
+    # Counts again, now from the written sets.
     counts = o_sets.select(*by, F.explode("_o").alias("_t")).groupBy(*by, "_t").agg(F.count("*").alias("_df"))
-    o_sets = settle(_rare_first(o_sets, by, "_o", counts))
     v_sets = settle(_rare_first(asked.select(*by, "_v").distinct(), by, "_v", counts))
-    sizes = sorted(r[0] for r in o_sets.select(F.size("_o")).distinct().collect())  # as many as the longest name has tokens, at most
+    opts = o_sets.select(*by, "_o", F.explode("_few").alias("_e")).select(*by, "_o", "_e.*")
 
-    n, s = F.size("_v"), F.size("_o")
-    most = needed(F.lit(max(sizes, default=1)), floor)
+    n, s, two = F.size("_v"), F.size("_o"), F.lit(2)
+    most = needed(o_sets.agg(F.max(F.size("_o"))).scalar(), floor)
     # The value is the smaller set, or equal; then the option is.
-    o_large = _keys(o_sets, [*by, "_o"], _upto(needed(s, floor)), F.lit("v").alias("_small"))
-    o_small = _keys(o_sets, [*by, "_o"], F.array(needed(s, floor)), F.lit("o").alias("_small"))
-    v_small = _keys(v_sets, [*by, "_v"], F.array(needed(n, floor)), F.lit("v").alias("_small"))
-    v_large = _keys(v_sets, [*by, "_v"], _upto(F.least(needed(n, floor), most)), F.lit("o").alias("_small"))
+    o_large = _keys(o_sets, [*by, "_o"], two, needed(s, floor), F.lit("v").alias("_small"))
+    o_small = _keys(o_sets, [*by, "_o"], needed(s, floor), needed(s, floor), F.lit("o").alias("_small"))
+    v_small = _keys(v_sets, [*by, "_v"], needed(n, floor), needed(n, floor), F.lit("v").alias("_small"))
+    v_large = _keys(v_sets, [*by, "_v"], two, F.least(needed(n, floor), most), F.lit("o").alias("_small"))
     met = v_small.unionByName(v_large).join(o_small.unionByName(o_large), [*by, "_small", "_need", "_t"]).select(*by, "_v", "_o").distinct()
 
     early = Window.partitionBy(*by, "_t", s).orderBy("ord", "id", "name")
@@ -128,13 +127,13 @@ def with_best_options(
     if below:
         of_value = settle(of_value)
         low = v_sets.join(of_value.filter("top IS NULL").select(*by, "_v").distinct(), [*by, "_v"], "left_semi")
-        of_value = of_value.join(_best_below(low, o_sets, by, sizes, floor).withColumnRenamed("_best", below), [*by, "_v"], "left")
+        of_value = of_value.join(_best_below(low, o_sets, by, floor).withColumnRenamed("_best", below), [*by, "_v"], "left")
     none = F.array().cast("array<struct<score:double,ord:bigint,id:string,name:string>>")
     out = df.join(of_value.drop("_v"), [*by, "__ask"], "left").drop("__ask")
     return out.withColumn("top", F.coalesce(F.transform("top", lambda t: t.dropFields("rank")), none))
 
 
-def _best_below(low: DataFrame, o_sets: DataFrame, by: list[str], sizes: list[int], floor: float) -> DataFrame:
+def _best_below(low: DataFrame, o_sets: DataFrame, by: list[str], floor: float) -> DataFrame:
     """``by..., _v, _best``: the best score of sets that no option meets at the floor."""
     n, s = F.size("_v"), F.size("_o")
     held = o_sets.select(*by, F.explode("_o").alias("_t"), s.alias("_size")).distinct()
@@ -142,11 +141,14 @@ def _best_below(low: DataFrame, o_sets: DataFrame, by: list[str], sizes: list[in
         F.max(tx.overlap_score(F.lit(1), n, F.col("_size"))).alias("_one")
     )
     one = settle(one)
+    # As many sizes as the longest name has tokens, at most.
+    sizes = F.coalesce(o_sets.agg(F.collect_set(F.size("_o"))).scalar(), F.array().cast("array<int>"))
     # More than one shared token: as above, with that score as the bound.
-    small = _keys(one, [*by, "_v"], F.array(needed(n, F.col("_one"))), F.lit(0).alias("_size"))
-    large = one.select("*", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("_size")).filter(F.col("_size") < n)
-    large = _keys(large, [*by, "_v"], F.array(needed(F.col("_size"), F.col("_one"))), F.col("_size"))
-    listed = _keys(o_sets, [*by, "_o"], _upto(needed(s, floor)), s.alias("_own"))
+    small = _keys(one, [*by, "_v"], needed(n, F.col("_one")), needed(n, F.col("_one")), F.lit(0).alias("_size"))
+    large = one.select("*", F.explode(sizes).alias("_size")).filter(F.col("_size") < n)
+    need = needed(F.col("_size"), F.col("_one"))
+    large = _keys(large, [*by, "_v"], need, need, F.col("_size"))
+    listed = _keys(o_sets, [*by, "_o"], F.lit(2), needed(s, floor), s.alias("_own"))
     met = small.join(listed.drop("_own"), [*by, "_need", "_t"]).select(*by, "_v", "_o").unionByName(
         large.join(listed.withColumnRenamed("_own", "_size"), [*by, "_size", "_need", "_t"]).select(*by, "_v", "_o")
     )
