@@ -56,6 +56,10 @@ def body_type_hint(segments: Column) -> Column:
     return F.get(F.filter(upper, lambda s: s.isin(*BODY_TYPES)), F.lit(0))
 
 
+#: Rounds of pointer jumping in one job; each round reads the one before twice.
+JUMPS_AT_ONCE = 3
+
+
 @dataclass(frozen=True)
 class Library:
     """Flat index tables.
@@ -73,8 +77,8 @@ class Library:
 
 
 def classify_directories(entries: DataFrame, fold: bool = True, parser=carkey.parse_model_folders) -> DataFrame:
-    """Directories with ``parent, name, car, leaf, is_folder, inside``; ``inside``
-    marks directories at or below a model folder."""
+    """Directories with ``parent, name, car, leaf, folder_path, is_folder, inside``; ``inside``
+    marks directories at or below a model folder, the one that ``folder_path`` names."""
     dirs = directories(entries).withColumn("name", tx.path_name(F.col("path"))).withColumn(
         "parent", tx.path_parent(F.col("path"))
     )
@@ -92,28 +96,32 @@ def classify_directories(entries: DataFrame, fold: bool = True, parser=carkey.pa
         .select(F.col("parent").alias("path"))
         .distinct()
     )
-    candidates = dirs.filter(is_car).join(shelves, "path", "left_anti").select("path")
-    nested = (
-        candidates.select("path", F.explode(ancestors(F.col("path"))).alias("above"))
-        .join(candidates.select(F.col("path").alias("above")), "above", "left_semi")
-        .select("path")
-        .distinct()
-    )
-    folders = settle(candidates.join(nested, "path", "left_anti"))
-    inside = (
-        dirs.select("path", F.explode(ancestors(F.col("path"), own=True)).alias("above"))
-        .join(folders.select(F.col("path").alias("above")), "above", "left_semi")
-        .select("path")
-        .distinct()
-        .withColumn("inside", F.lit(True))
+    marked = dirs.join(shelves.withColumn("__shelf", F.lit(True)), "path", "left").select(
+        "path", F.nullif("parent", F.lit("")).alias("up"), F.when(is_car & F.col("__shelf").isNull(), F.col("path")).alias("top")
     )
-    return (
-        dirs.join(folders.withColumn("is_folder", F.lit(True)), "path", "left")
-        .join(inside, "path", "left")
-        .withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_folder", "inside")})
+    tops = topmost(marked).withColumnRenamed("top", "folder_path")
+    return dirs.join(tops, "path").withColumns(
+        {"is_folder": F.coalesce(F.col("folder_path") == F.col("path"), F.lit(False)), "inside": F.col("folder_path").isNotNull()}
     )
 
 
+def topmost(tree: DataFrame) -> DataFrame:
+    """``(path, top)``: the highest of the marks on the way from each node to its root.
+
+    ``tree``: ``path, up`` (null at the top) and ``top``, the node's own mark or null. Pointers
+    jump: a round joins each node with the one its pointer has reached, takes over that one's mark
+    and its pointer, and so doubles the way it has seen. A tree of depth n takes log n rounds, however
+    many nodes hang on one parent.
+    """
+    depth = tree.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
+    for n in range((depth - 1).bit_length()):
+        if n and n % JUMPS_AT_ONCE == 0:
+            tree = settle(tree)
+        reached = tree.select(F.col("path").alias("up"), F.col("up").alias("__up"), F.col("top").alias("__top"))
+        tree = tree.join(reached, "up", "left").select("path", F.col("__up").alias("up"), F.coalesce("__top", "top").alias("top"))
+    return tree.select("path", "top")
+
+
 def crawl(entries: DataFrame, fold: bool = True, parser=carkey.parse_model_folders) -> Library:
     """Classify directories as model folders or shelves; index variants and sheets;
     report drift."""
@@ -128,10 +136,8 @@ def crawl(entries: DataFrame, fold: bool = True, parser=carkey.parse_model_folde
     folders = dirs.filter("is_folder").select(
         "path", "name", "car", F.slice(segments, F.lit(1), F.size(segments) - 1).alias("path_segments")
     ).withColumn("body_type_hint", body_type_hint(F.col("path_segments")))
-    leaves = dirs.join(
-        folders.select(F.col("path").alias("parent")), "parent", "left_semi"
-    ).select(
-        "path", F.col("parent").alias("folder_path"), "name",
+    leaves = dirs.filter(F.col("parent") == F.col("folder_path")).select(
+        "path", "folder_path", "name",
         F.col("leaf.exterior").alias("exterior_raw"), F.col("leaf.interior").alias("interior_raw"), "leaf.vin_tag",
     )
     owned = files.join(leaves.select(F.col("path").alias("parent"), "folder_path"), "parent")
@@ -160,12 +166,8 @@ def _drift(dirs: DataFrame, folders: DataFrame, leaves: DataFrame, owned: DataFr
     ).distinct()
     with_cars = folders.select(F.explode(ancestors(path, own=True)).alias("path")).distinct()
     dead = shelves.join(with_files, "path", "left_semi").join(with_cars, "path", "left_anti")
-    below_dead = (
-        dead.select("path", F.explode(ancestors(path)).alias("above"))
-        .join(dead.select(path.alias("above")), "above", "left_semi")
-        .select("path")
-        .distinct()
-    )
+    # What lies between a dead branch and a dead one above it is dead as well.
+    shallowest = dead.withColumn("parent", tx.path_parent(path)).join(dead.select(path.alias("parent")), "parent", "left_anti")
     parts = [
         lines(
             folders.select("path", F.explode("car.unresolved").alias("fragment")),
@@ -192,7 +194,7 @@ def _drift(dirs: DataFrame, folders: DataFrame, leaves: DataFrame, owned: DataFr
             F.concat(n_files, F.lit("here but the folder name does not parse as a car, so nothing in it can be matched")),
         ),
         lines(
-            dead.join(below_dead, "path", "left_anti"), "dead-branch", path,
+            shallowest, "dead-branch", path,
             F.lit("holds files but no folder beneath it parses as a car"),
         ),
     ]

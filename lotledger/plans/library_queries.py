@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lotledger.functions import text as tx
 from lotledger.operators import freshness, library
 from lotledger.plans import parse_sql as ps
 from lotledger.plans.derive import table, with_clause
-from lotledger.session import settle
+from lotledger.session import settle, shared_dir
+from lotledger.sources import index_store
 
 
 _SAVED: dict[tuple, object] = {}
@@ -60,6 +63,13 @@ def library_sheets(spark, sf):
     return index(spark, sf).sheets
 
 
+def library_reloaded(spark, sf):
+    """The variants of the index after it was saved and loaded again."""
+    path = f"{shared_dir(spark)}/index/{uuid.uuid4().hex}"
+    index_store.save_index(index(spark, sf), path, "library", "none", F.lit("2026-01-01"))
+    return index_store.load_index(spark, path)[0].variants
+
+
 def library_drift(spark, sf):
     d = index(spark, sf).drift
     return d.select("kind", "subject", F.md5(library.drift_line(F.col("kind"), F.col("subject"), F.col("note"))).alias("line_md5"))
@@ -115,7 +125,7 @@ def colour_siblings(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        library_folders, library_variants, library_sheets, library_drift, library_counts, folder_index,
+        library_folders, library_variants, library_reloaded, library_sheets, library_drift, library_counts, folder_index,
         tree_fingerprint, library_freshness, car_files, colour_siblings,
     )
 }
@@ -169,6 +179,7 @@ ORACLES = {
       coalesce(nv, 0) AS n_variants, coalesce(np, 0) AS n_photos, coalesce(ns, 0) AS n_sheets FROM folders f LEFT JOIN
       (SELECT folder_path, count(*) AS nv, sum(photo_count) AS np, sum(n_sheets) AS ns FROM variants GROUP BY folder_path) v ON v.folder_path = f.path""",
     "library_variants": f"WITH {CRAWL} SELECT * FROM variants",
+    "library_reloaded": f"WITH {CRAWL} SELECT * FROM variants",
     "library_sheets": f"WITH {CRAWL} SELECT * FROM sheets",
     "library_drift": f"WITH {CRAWL} SELECT DISTINCT kind, subject, md5(line) AS line_md5 FROM ({_DRIFT})",
     "library_counts": f"""WITH {CRAWL} SELECT (SELECT count(*) FROM folders) AS folders, count(*) AS variants, sum(n_sheets) AS sheets, sum(photo_count) AS photos FROM variants""",

@@ -1,5 +1,7 @@
 """Crawl and location on a small library; every role fact is a row here."""
 
+from unittest import mock
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,14 +153,39 @@ def test_index_round_trip(spark, lib, entries, tmp_path):
     assert loaded.folders.count() == 8 and meta.first().fingerprint == fp
     with pytest.raises(index_store.EmptyIndexRefused):
         index_store.save_index(library.Library(lib.folders.limit(0), lib.variants, lib.sheets, lib.drift), path, "/lib", fp, F.lit("2026-01-01"))
-    loaded.folders.limit(3).write.mode("overwrite").parquet(str(tmp_path / "cut"))
-    spark.read.parquet(str(tmp_path / "cut")).write.mode("overwrite").parquet(path + "/folders")
+    # A writer that stops at any table leaves the index before; a later one replaces it.
+    class Stopped(Exception):
+        pass
+
+    for at in index_store.TABLES:
+        broken = mock.Mock()
+        broken.write.parquet.side_effect = Stopped
+        tables = {n: broken if n == at else getattr(lib, n) for n in index_store.TABLES}
+        with pytest.raises(Stopped):
+            index_store.save_index(library.Library(**tables) if at != "folders" else library.Library(mock.Mock(isEmpty=lambda: False, write=broken.write), lib.variants, lib.sheets, lib.drift), path, "/lib", "other", F.lit("2026-01-02"))
+        assert index_store.load_index(spark, path)[1].first().fingerprint == fp
+    index_store.save_index(lib, path, "/lib", "later", F.lit("2026-01-03"))
+    loaded, meta = index_store.load_index(spark, path)
+    assert meta.first().fingerprint == "later" and meta.count() == 1
+    lib.folders.limit(3).write.mode("overwrite").parquet(f"{path}/versions/{meta.first().version}/folders")
     with pytest.raises(index_store.IndexCorrupt):
         index_store.load_index(spark, path)
     with pytest.raises(index_store.IndexCorrupt):
         index_store.load_index(spark, str(tmp_path / "nowhere"))
 
 
+def test_topmost_mark_on_a_deep_way(spark):
+    """A chain of 60 directories, and many that hang on one."""
+    chain = ["/".join(f"d{i}" for i in range(n)) for n in range(1, 61)]
+    wide = [f"{chain[20]}/w{i}" for i in range(300)]
+    marks = {chain[5], chain[30], chain[59], wide[7]} - {chain[5]}
+    rows = [(p, p.rpartition("/")[0] or None, p if p in marks else None) for p in chain + wide]
+    got = {r.path: r.top for r in library.topmost(spark.createDataFrame(rows, "path string, up string, top string")).collect()}
+    for p, *_ in rows:
+        above = ["/".join(p.split("/")[:n]) for n in range(1, p.count("/") + 2)]
+        assert got[p] == next((a for a in above if a in marks), None), p
+
+
 def test_read_entries(spark, tmp_path):
     for p in FILES[:4]:
         f = tmp_path / p
