@@ -12,7 +12,8 @@
    compared with all entries, and visits are widened until their true neighbours
    lie in visited leaves at ``RECALL``. A query visits on until its leaves hold
    enough rows.
-4. Queries and entries meet by cell, where a query looks at the leaves it visits;
+4. Queries and entries meet by cell and block of at most about ``ASKED`` queries, where a
+   query looks at the leaves it visits;
    the best of each cell are scored exactly (double precision, summed in order of
    components), and the best of all cells are the result.
 
@@ -47,6 +48,7 @@ SAMPLE = 20_000
 BRANCH = 12
 LEAF = 48
 BLOCK = 8192
+ASKED = 16_384
 CALIBRATION = 256
 RECALL = 0.95
 ROUNDS = 12
@@ -144,21 +146,22 @@ def _exact(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_of(queries: np.ndarray, points: np.ndarray, k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, score) of the k best points of each query, a little wider on the fast
-    product so that rounding can't hide one. ``seen`` (queries x points) leaves out what a query
-    doesn't look at."""
-    wide = min(len(points), k + 8)
+def best_of(queries: np.ndarray, points: np.ndarray, vids: np.ndarray, k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, score) of the k best points of each query, ties to the smaller of ``vids``.
+    What the fast product puts within rounding of the k-th place, all its ties too, is scored
+    exactly before the cut. ``seen`` (queries x points) leaves out what a query doesn't look at."""
     product = queries @ points.T
     if seen is not None:
         product[~seen] = -np.inf
-    at = np.argpartition(-product, wide - 1, axis=1)[:, :wide] if wide < len(points) else np.broadcast_to(np.arange(len(points)), product.shape)
-    q = np.repeat(np.arange(len(queries)), at.shape[1])
-    p = at.ravel()
-    if seen is not None:
-        q, p = q[seen[q, p]], p[seen[q, p]]
+    near = np.ones(product.shape, bool) if seen is None else seen
+    if k < len(points):
+        last = np.partition(product, len(points) - k, axis=1)[:, len(points) - k]
+        lengths = np.linalg.norm(queries, axis=1) * np.linalg.norm(points, axis=1).max()
+        rounding = 4 * (queries.shape[1] + 1) * np.finfo(np.float64).eps * lengths
+        near = near & (product >= (last - rounding)[:, None])
+    q, p = np.nonzero(near)
     score = _exact(queries[q], points[p])
-    order = np.lexsort((-score, q))
+    order = np.lexsort((vids[p], -score, q))
     q, p, score = q[order], p[order], score[order]
     first = np.searchsorted(q, np.arange(len(queries)))
     take = np.arange(len(q)) - first[q] < k
@@ -208,13 +211,14 @@ def _calibrated(index: DataFrame, asked: DataFrame, tree, k: int, recall: float,
         points, own = shared.value
         for batch in batches:
             if batch.num_rows:
-                q, p, score = best_of(points, matrix(batch.column("v")), k + 1)
-                leaf, vid = batch.column("leaf").to_numpy()[p], batch.column("vid").to_numpy()[p]
+                vids = batch.column("vid").to_numpy()
+                q, p, score = best_of(points, matrix(batch.column("v")), vids, k + 1)
+                leaf, vid = batch.column("leaf").to_numpy()[p], vids[p]
                 other = vid != own[q]
-                yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (q, score, leaf)], names=["q", "score", "leaf"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (q, score, vid, leaf)], names=["q", "score", "vid", "leaf"])
 
-    near = index.mapInArrow(run, "q long, score double, leaf long")
-    near = near.withColumn("r", F.row_number().over(Win.partitionBy("q").orderBy(F.desc("score"), "leaf"))).filter(F.col("r") <= k)
+    near = index.mapInArrow(run, "q long, score double, vid long, leaf long")
+    near = near.withColumn("r", F.row_number().over(Win.partitionBy("q").orderBy(F.desc("score"), "vid"))).filter(F.col("r") <= k)
     true = near.groupBy("q", "leaf").agg(F.count("*").alias("n")).collect()
     place = [{leaf: i for i, leaf in enumerate(tree.value.visits(p))} for p in points]
     needed = np.sort(np.repeat([place[r["q"]][r["leaf"]] for r in true], [r["n"] for r in true]))
@@ -285,17 +289,22 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
         if not queries.num_rows or not points.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         there = matrix(points.column("v").combine_chunks())
+        vids = points.column("vid").to_numpy()
         here, column = np.unique(points.column("leaf").to_numpy(), return_inverse=True)
         parts = []
         for at in range(0, queries.num_rows, 256):
             some = queries.slice(at, 256)
             visited = np.stack([np.isin(here, x) for x in some.column("leaves").to_pylist()])
-            q, p, score = best_of(matrix(some.column("q").combine_chunks()), there, k + 1, visited[:, column])
+            q, p, score = best_of(matrix(some.column("q").combine_chunks()), there, vids, k + 1, visited[:, column])
             parts.append(pa.table([some.column("qid").take(pa.array(q)), pa.array(score), points.column("ids").take(pa.array(p))], names=names))
         return pa.concat_tables(parts)
 
-    routed = asked.mapInArrow(route, f"cell long, qid long, q {kind}, leaves array<long>").groupBy("cell")
-    dealt = index.mapInArrow(split, f"cell long, leaf long, vid long, v {kind}, ids array<long>").groupBy("cell")
+    # The queries of a cell are dealt out as blocks of about ASKED, each with the entries of the cell.
+    routed = settle(asked.mapInArrow(route, f"cell long, qid long, q {kind}, leaves array<long>"))
+    blocks = settle(routed.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("blocks")))
+    routed = routed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("qid"), "blocks").cast("int")).drop("blocks").groupBy("cell", "block")
+    dealt = index.mapInArrow(split, f"cell long, leaf long, vid long, v {kind}, ids array<long>").join(blocks, "cell")
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").groupBy("cell", "block")
     found = routed.cogroup(dealt).applyInArrow(meet, "qid long, score double, ids array<long>")
     # Of all cells, the k + 1 best rows of each distinct query vector: a bounded list.
     found = found.select("qid", "score", F.explode("ids").alias("found"))

@@ -66,9 +66,25 @@ def test_calibrated_recall(spark):
     assert hits >= 0.9
 
 
+def test_ties_go_to_smaller_ids(spark):
+    """120 distinct vectors have one product with each query, in any order of rows."""
+    r = np.random.default_rng(1)
+    data = [(0, [1.0, 0.0, 0.0, 0.0])] + [(i, [1.0, *r.normal(size=3).astype(np.float32).tolist()]) for i in r.permutation(np.arange(1, 121)).tolist()]
+    found = got(frame(spark, data), visits=10**6)
+    assert [j for j, _ in found[0]] == list(range(1, 21))
+    assert found == brute(data)
+
+
+def test_ties_of_sparse_vectors(spark):
+    r = np.random.default_rng(2)
+    data = [(i, np.eye(6)[r.integers(6)].tolist()) for i in range(300)] + [(i, r.integers(0, 2, 6).astype(float).tolist()) for i in range(300, 600)]
+    assert got(frame(spark, data), visits=10**6) == brute(data)
+
+
 def test_blocks_do_not_change_results(spark, monkeypatch):
     data = rows(300)
     monkeypatch.setattr(nb, "BLOCK", 16)
+    monkeypatch.setattr(nb, "ASKED", 2)
     assert got(frame(spark, data), visits=10**6) == brute(data)
 
 
