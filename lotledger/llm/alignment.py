@@ -20,6 +20,8 @@ anywhere and put together in any tree (``Fragment``, ``compose``).
   its space mark behind another sign (checked for the model; if one does, a long text is
   encoded in one task and only its fragments are dealt out), and A begins a piece there.
 
+Each text is encoded once, its ids are written, and both later steps read them.
+
 Counts of id pairs (in how many documents a pair is linked) are summed within tasks
 first. The pairs of highest counts, up to ``HEAD_PAIRS``, go to all tasks; links of other
 pairs, which no document shares with many, are joined by pair. So no hot pair is ever
@@ -55,6 +57,7 @@ RANGE_BYTES = 1 << 16
 FAN = 8
 HEAD_PAIRS = 1 << 20
 SLICE_CHARS = 1 << 20
+SLICE_TOKENS = 1 << 18
 #: Entries of a worker's memories before they are emptied; speed and memory only.
 KNOWN_UNITS = 400_000
 COUNTED_PAIRS = 1 << 20
@@ -252,11 +255,6 @@ class Batch:
         self.group_upto = np.searchsorted(self.group_a, a_upto, "right")
         self.link_upto = np.searchsorted(of_a, a_upto, "left")
 
-    @classmethod
-    def of_texts(cls, t: Tokenizers, texts: list[str]) -> Batch:
-        """Texts that aren't spelled in full have no tokens."""
-        return cls(t, *_encoded(t, texts))
-
     def documents(self) -> np.ndarray:
         """In how many texts each distinct pair is linked."""
         doc = np.repeat(np.arange(len(self.link_upto)), np.diff(np.append(0, self.link_upto)))
@@ -379,9 +377,14 @@ def long_fragments(docs: DataFrame, key: str, text: str, pair: tuple[str, str],
     return parts.select(key, F.struct("good", "a", "b", "a_upto", "b_upto").alias(fragment))
 
 
-def _text_batches(batch: pa.RecordBatch, t: Tokenizers, text: str) -> Iterator[tuple[pa.RecordBatch, Batch]]:
-    for at, some in _slices(batch.column(text)):
-        yield batch.slice(at, len(some)), Batch.of_texts(t, some)
+def _id_batches(batch: pa.RecordBatch, t: Tokenizers, ids: tuple[str, str]) -> Iterator[tuple[pa.RecordBatch, Batch]]:
+    """Rows of written ids, some ``SLICE_TOKENS`` of A at a time."""
+    part = np.cumsum(batch.column(ids[0]).value_lengths().to_numpy()) // SLICE_TOKENS
+    begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    for i, k in zip(begins.tolist(), np.append(begins[1:], len(part)).tolist()):
+        rows = batch.slice(i, k - i)
+        a, b = (rows.column(c) for c in ids)
+        yield rows, Batch(t, *(x.flatten().to_numpy() for x in (a, b)), *(np.cumsum(x.value_lengths().to_numpy().astype(np.int64)) for x in (a, b)))
 
 
 def _row_batches(batch: pa.RecordBatch, t: Tokenizers, fragment: str) -> Iterator[tuple[pa.RecordBatch, Batch]]:
@@ -393,7 +396,22 @@ def _row_batches(batch: pa.RecordBatch, t: Tokenizers, fragment: str) -> Iterato
         yield row, Batch(t, a, b, np.array([len(a)]), np.array([len(b)]), (a_upto, b_upto))
 
 
-def _counted(df: DataFrame, aligned, text: str, pair: tuple[str, str]) -> DataFrame:
+def _encode(names: list[str], text: str, ids: tuple[str, str], pair: tuple[str, str]):
+    """Rows with the ids of their texts in place of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _tokenizers(*pair)
+        for batch in batches:
+            for at, some in _slices(batch.column(text)):
+                a, b, a_upto, b_upto = _encoded(t, some)
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, upto), pa.int32()), pa.array(x, pa.int32())) for x, upto in ((a, a_upto), (b, b_upto))]
+                rows = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *lists], names=[*names, *ids])
+
+    return run
+
+
+def _counted(df: DataFrame, aligned, source, pair: tuple[str, str]) -> DataFrame:
     """(a, b, n) summed within tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +422,7 @@ def _counted(df: DataFrame, aligned, text: str, pair: tuple[str, str]) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
 
         for batch in batches:
-            for _, x in aligned(batch, t, text):
+            for _, x in aligned(batch, t, source):
                 found.append((x.pairs, x.documents()))
                 held += len(found[-1][0])
                 if held > COUNTED_PAIRS:
@@ -468,8 +486,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", groups:
     docs = docs.drop(*added)
     long_text = F.coalesce(F.octet_length(text) >= range_bytes, F.lit(False))
     key, fragment = unused(docs, "row"), unused(docs, "fragment")
-    short, long = docs.filter(~long_text), None
-    found = _counted(short.select(text), _text_batches, text, pair)
+    kept = [f for f in docs.schema.fields if f.name != text]
+    names = [f.name for f in kept]
+    ids = unused(docs, "a"), unused(docs, "b")
+    # Ids are written once (some two bytes a token); counts and results are read from them.
+    short, long = settle(docs.filter(~long_text).mapInArrow(_encode(names, text, ids, pair), T.StructType([*kept, *(field(c, "array<int>") for c in ids)]))), None
+    found = _counted(short.select(*ids), _id_batches, ids, pair)
     # Rows of long texts get a number in a written table, which no lost executor changes.
     numbered = settle(docs.filter(long_text).withColumn(key, F.monotonically_increasing_id()))
     if not numbered.isEmpty():
@@ -482,11 +504,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", groups:
     held = docs.sparkSession.sparkContext.broadcast(head)
 
     tail = unused(docs, "tail")
-    kept = [f for f in docs.schema.fields if f.name != text]
-    names = [f.name for f in kept]
     schema = T.StructType([*kept, *(field(k, v) for k, v in added.items()), field(tail, "array<struct<a:int,b:int,times:long>>")])
 
-    def results(aligned, source: str):
+    def results(aligned, source):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = _tokenizers(*pair)
             for batch in batches:
@@ -512,7 +532,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", groups:
             names=[f.name for f in schema.fields],
         )
 
-    out = short.mapInArrow(results(_text_batches, text), schema)
+    out = short.mapInArrow(results(_id_batches, ids), schema)
     if long is not None:
         out = out.unionByName(long.mapInArrow(results(_row_batches, fragment), schema))
     if rest:
