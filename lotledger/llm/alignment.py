@@ -45,6 +45,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +58,7 @@ RANGE_BYTES = 1 << 16
 FAN = 8
 HEAD_PAIRS = 1 << 20
 SLICE_CHARS = 1 << 20
-SLICE_TOKENS = 1 << 18
+SLICE_BYTES = 1 << 19
 #: Entries of a worker's memories before they are emptied; speed and memory only.
 KNOWN_UNITS = 400_000
 COUNTED_PAIRS = 1 << 20
@@ -106,6 +107,7 @@ class Tokenizers:
         self.written = pa.array([f"{i}{sign}" for x, both in zip((self.a_bytes, self.b_bytes), signs) for i in range(len(x)) for sign in both], pa.large_string())
         self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.stored = np.min_scalar_type(max(len(self.a_bytes), len(self.b_bytes)))
         self.cuttable = not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
         self._forget()
 
@@ -378,13 +380,14 @@ def long_fragments(docs: DataFrame, key: str, text: str, pair: tuple[str, str],
 
 
 def _id_batches(batch: pa.RecordBatch, t: Tokenizers, ids: tuple[str, str]) -> Iterator[tuple[pa.RecordBatch, Batch]]:
-    """Rows of written ids, some ``SLICE_TOKENS`` of A at a time."""
-    part = np.cumsum(batch.column(ids[0]).value_lengths().to_numpy()) // SLICE_TOKENS
+    """Rows of written ids, some ``SLICE_BYTES`` of A at a time."""
+    part = np.cumsum(pc.binary_length(batch.column(ids[0])).to_numpy().astype(np.int64)) // SLICE_BYTES
     begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
     for i, k in zip(begins.tolist(), np.append(begins[1:], len(part)).tolist()):
         rows = batch.slice(i, k - i)
-        a, b = (rows.column(c) for c in ids)
-        yield rows, Batch(t, *(x.flatten().to_numpy() for x in (a, b)), *(np.cumsum(x.value_lengths().to_numpy().astype(np.int64)) for x in (a, b)))
+        written = [rows.column(c).to_pylist() for c in ids]
+        of_a, of_b = (np.frombuffer(b"".join(w), t.stored).astype(np.int32) for w in written)
+        yield rows, Batch(t, of_a, of_b, *(np.cumsum([len(x) // t.stored.itemsize for x in w]) for w in written))
 
 
 def _row_batches(batch: pa.RecordBatch, t: Tokenizers, fragment: str) -> Iterator[tuple[pa.RecordBatch, Batch]]:
@@ -404,7 +407,10 @@ def _encode(names: list[str], text: str, ids: tuple[str, str], pair: tuple[str,
         for batch in batches:
             for at, some in _slices(batch.column(text)):
                 a, b, a_upto, b_upto = _encoded(t, some)
-                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, upto), pa.int32()), pa.array(x, pa.int32())) for x, upto in ((a, a_upto), (b, b_upto))]
+                lists = []
+                for x, upto in ((a, a_upto), (b, b_upto)):
+                    data, at_byte = memoryview(x.astype(t.stored)).cast("B"), (np.append(0, upto) * t.stored.itemsize).tolist()
+                    lists.append(pa.array([bytes(data[i:k]) for i, k in zip(at_byte, at_byte[1:])], pa.binary()))
                 rows = batch.slice(at, len(some))
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *lists], names=[*names, *ids])
 
@@ -489,8 +495,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", groups:
     kept = [f for f in docs.schema.fields if f.name != text]
     names = [f.name for f in kept]
     ids = unused(docs, "a"), unused(docs, "b")
-    # Ids are written once (some two bytes a token); counts and results are read from them.
-    short, long = settle(docs.filter(~long_text).mapInArrow(_encode(names, text, ids, pair), T.StructType([*kept, *(field(c, "array<int>") for c in ids)]))), None
+    # Ids are written once (two bytes a token where both vocabularies allow it); counts and results are read from them.
+    short, long = settle(docs.filter(~long_text).mapInArrow(_encode(names, text, ids, pair), T.StructType([*kept, *(field(c, "binary") for c in ids)]))), None
     found = _counted(short.select(*ids), _id_batches, ids, pair)
     # Rows of long texts get a number in a written table, which no lost executor changes.
     numbered = settle(docs.filter(long_text).withColumn(key, F.monotonically_increasing_id()))
