@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lotledger.functions import modelcode
@@ -12,7 +14,8 @@ from lotledger.plans import parse_sql as ps
 from lotledger.plans import resolve_sql as rs
 from lotledger.plans.catalog_queries import _items, _spec_catalog, _vocabulary
 from lotledger.plans.derive import table, with_clause
-from lotledger.session import settle
+from lotledger.session import settle, shared_dir
+from lotledger.sources import answer_cache
 
 
 def identity_merge(spark, sf):
@@ -91,6 +94,18 @@ def cache_upsert(spark, sf):
     return colours.upsert_cache(rows.filter("resolved_at % 2 = 0"), rows.filter("resolved_at % 2 = 1").drop("raw_key"))
 
 
+def cache_reloaded(spark, sf):
+    """The cache after its answers were appended in three batches, two of them compacted, and loaded again."""
+    rows = table(spark, sf, "answer_cache").drop("raw_key")
+    path = f"{shared_dir(spark)}/answers/{uuid.uuid4().hex}"
+    stamped = rows.withColumn("resolved_at", F.timestamp_seconds("resolved_at"))
+    for turn in range(3):
+        answer_cache.append_answers(stamped.filter(F.unix_seconds("resolved_at") % 3 == turn), path)
+        if turn < 2:
+            answer_cache.compact(spark, path)
+    return answer_cache.load_cache(spark, path).withColumn("resolved_at", F.unix_seconds("resolved_at"))
+
+
 def cache_lookup(spark, sf):
     cars = table(spark, sf, "colour_cars").select("car_no", "pk", "sk", "parent", F.col("colour").alias("value"))
     out = colours.lookup_cache(cars, _cache(spark, sf), _spec_catalog(spark, sf))
@@ -131,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         identity_merge, identity_conflicts, trust, provider_consensus, provider_summary, feature_consensus, combined_match,
-        field_answers_clean, field_precedence, cache_upsert, cache_lookup, colour_resolve, vehicle_fields,
+        field_answers_clean, field_precedence, cache_upsert, cache_reloaded, cache_lookup, colour_resolve, vehicle_fields,
     )
 }
 
@@ -187,6 +202,7 @@ ORACLES = {
       c AS (SELECT DISTINCT car, provider, field, {_CANON} AS value FROM pick a WHERE trim(value) <> '' AND field <> 'bogus')
       SELECT car, field, arg_min(value, provider) AS value, min(provider) AS provider FROM c WHERE value IS NOT NULL GROUP BY car, field""",
     "cache_upsert": f"WITH {_CACHE} SELECT * FROM ca",
+    "cache_reloaded": f"WITH {_CACHE} SELECT * FROM ca",
     "cache_lookup": f"""WITH {_CACHE} SELECT c.parent, c.colour AS value, v.status, v.name, v.method, count(*) AS n_rows FROM colour_cars c
       LEFT JOIN cv v ON v.parent = c.parent AND v.raw_key = upper(trim(c.colour)) GROUP BY ALL""",
     "colour_resolve": f"""WITH {_CACHE}, q AS (SELECT parent, raw, CASE WHEN parent = 'Color' THEN {_BODY} ELSE raw END AS value, n FROM (SELECT parent, colour AS raw, count(*) AS n FROM colour_cars GROUP BY ALL)),

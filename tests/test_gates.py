@@ -186,6 +186,65 @@ def test_answer_cache(spark, tmp_path):
     assert [r.name for r in answer_cache.load_cache(spark, path).collect()] == ["New"]
 
 
+def _answer(spark, value, name, at):
+    row = spark.createDataFrame([("Color", None, value, "matched", name, "1", None, "llm")], answer_cache.SCHEMA)
+    return row.withColumn("resolved_at", F.lit(at).cast("timestamp"))
+
+
+def _names(df):
+    return {r.raw_key: r.name for r in df.collect()}
+
+
+def test_answer_cache_survives_a_stopped_compaction(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cache")
+    answer_cache.append_answers(_answer(spark, "a", "Old", "2026-01-01"), path)
+    answer_cache.compact(spark, path)
+    answer_cache.append_answers(_answer(spark, " A ", "New", "2026-01-02"), path)
+    real = spark.createDataFrame
+
+    def stopped(data, schema=None, **kw):
+        if "batches" in str(schema):
+            raise RuntimeError("stopped before the manifest")
+        return real(data, schema, **kw)
+
+    monkeypatch.setattr(spark, "createDataFrame", stopped)
+    with pytest.raises(RuntimeError):
+        answer_cache.compact(spark, path)
+    monkeypatch.undo()
+    assert _names(answer_cache.load_cache(spark, path)) == {"A": "New"}
+    answer_cache.compact(spark, path)
+    assert _names(answer_cache.load_cache(spark, path)) == {"A": "New"}
+
+
+def test_answer_cache_drops_what_is_folded(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    for i in range(4):
+        answer_cache.append_answers(_answer(spark, f"k{i}", f"N{i}", "2026-01-01"), path)
+        answer_cache.compact(spark, path)
+        assert len(list((tmp_path / "cache" / "snapshots").iterdir())) <= 2
+        assert len(list((tmp_path / "cache" / "appended").iterdir())) == 1
+    answer_cache.append_answers(_answer(spark, "k0", "Older", "2025-01-01"), path)
+    assert _names(answer_cache.load_cache(spark, path)) == {f"K{i}": f"N{i}" for i in range(4)}
+    answer_cache.append_answers(_answer(spark, "none", "x", "2026-01-01").limit(0), path)
+    answer_cache.compact(spark, path)
+    assert _names(answer_cache.load_cache(spark, path)) == {f"K{i}": f"N{i}" for i in range(4)}
+
+
+def test_answer_cache_lookup_reads_its_bucket(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = spark.range(500).select(
+        F.lit("Color").alias("parent"), F.lit(None).cast("string").alias("raw_key"), F.concat(F.lit("v"), "id").alias("raw_value"), F.lit("matched").alias("status"),
+        F.concat(F.lit("n"), "id").alias("name"), F.lit("1").alias("id"), F.lit("2026-01-01").cast("timestamp").alias("resolved_at"), F.lit("llm").alias("method"))
+    answer_cache.append_answers(rows, path)
+    answer_cache.compact(spark, path)
+    keys = spark.createDataFrame([("Color", "V7"), ("Color", "V7"), ("Color", "GONE"), (None, "V8")], "parent string, raw_key string")
+    found = answer_cache.load_cache(spark, path, keys)
+    assert _names(found) == {"V7": "n7"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert answer_cache.load_cache(spark, path, keys.limit(0)).count() == 0
+
+
 def test_stock_feed(spark, tmp_path):
     source, reports = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
