@@ -1,5 +1,6 @@
 """Crawl and location on a small library; every role fact is a row here."""
 
+import os
 from unittest import mock
 
 import pytest
@@ -9,7 +10,7 @@ from lotledger.functions import carkey
 from lotledger.functions import compare as cp
 from lotledger.operators import freshness, library
 from lotledger.operators import locate as loc
-from lotledger.sources import index_store
+from lotledger.sources import index_store, tree
 from lotledger.sources.entries import read_entries
 
 FILES = [
@@ -186,6 +187,57 @@ def test_topmost_mark_on_a_deep_way(spark):
         assert got[p] == next((a for a in above if a in marks), None), p
 
 
+def _tree(tmp_path):
+    for p in FILES[:4]:
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"xy")
+    (tmp_path / "empty" / "inner").mkdir(parents=True)
+    (tmp_path / "loop").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "dead.jpg").symlink_to(tmp_path / "nothing")
+    return sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if not p.is_symlink())
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 64])
+def test_read_tree(spark, tmp_path, partitions):
+    want = _tree(tmp_path)
+    rows = tree.read_tree(spark, str(tmp_path), partitions).collect()
+    assert sorted(r.path for r in rows if r.issue is None) == want
+    assert {r.path: (r.is_dir, r.size) for r in rows if r.issue is None} == {p: ((tmp_path / p).is_dir(), 0 if (tmp_path / p).is_dir() else 2) for p in want}
+    assert {r.path: r.issue for r in rows if r.issue} == {"loop": "link", "dead.jpg": "link"}
+
+
+def test_read_tree_needs_a_folder(spark, tmp_path):
+    with pytest.raises(Exception, match="no folder that can be reached"):
+        tree.read_tree(spark, str(tmp_path / "gone")).collect()
+    assert tree.read_tree(spark, str(tmp_path)).collect() == []
+
+
+def test_tree_partitions_cover_the_tree_once(tmp_path, monkeypatch):
+    """A folder that can't be listed is a row, and costs nothing else."""
+    want = _tree(tmp_path)
+    real = os.scandir
+
+    def scandir(path):
+        if str(path).endswith("/empty"):
+            raise PermissionError(path)
+        return real(path)
+
+    monkeypatch.setattr(os, "scandir", scandir)
+    for wanted in (1, 2, 5, 100):
+        reader = tree.TreeReader(str(tmp_path), wanted)
+        rows = [r for p in reader.partitions() for r in reader.read(p)]
+        assert sorted(r[0] for r in rows if r[5] is None) == [p for p in want if p != "empty/inner"]
+        assert [(r[0], r[2]) for r in rows if r[5] == "folder can't be listed"] == [("empty", True)]
+
+
+def test_tree_names_that_are_not_utf8(tmp_path):
+    with open(os.path.join(os.fsencode(tmp_path), b"b\xff.jpg"), "wb"):
+        pass
+    ((path, name, *_, issue),) = tree.children(str(tmp_path), "")
+    assert (path, name, issue) == ("b\ufffd.jpg", "b\ufffd.jpg", "name isn't UTF-8")
+
+
 def test_read_entries(spark, tmp_path):
     for p in FILES[:4]:
         f = tmp_path / p
