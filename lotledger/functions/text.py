@@ -173,8 +173,9 @@ def set_score(left: Column, right: Column) -> Column:
 
 
 def first_int(c: Column) -> Column:
-    """First run of digits as a number."""
-    return F.nullif(F.regexp_extract(_text(c), r"(\d+)", 1), F.lit("")).try_cast("decimal(38,0)")
+    """First run of digits without leading zeros: equal as text where equal as numbers, of any length."""
+    found = F.nullif(F.regexp_extract(_text(c), r"(\d+)", 1), F.lit(""))
+    return F.regexp_replace(found, "^0+(?=.)", "")
 
 
 def primary_colour(c: Column) -> Column:

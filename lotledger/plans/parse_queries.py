@@ -97,7 +97,7 @@ def document_keys(spark, sf):
         F.md5(tx.fingerprint(t)).alias("fingerprint_md5"),
         F.size(tx.word_tokens(t)).alias("n_word_tokens"),
         F.size(tx.token_set(t)).alias("n_token_set"),
-        tx.first_int(t).cast("string").alias("first_int"),
+        tx.first_int(t).alias("first_int"),
         F.md5(tx.match_key(t)).alias("match_key_md5"),
     )
 
@@ -143,7 +143,7 @@ ORACLES = {
         len(list_distinct(list_filter(regexp_split_to_array(
           regexp_replace(regexp_replace(regexp_replace(lower(text), '([0-9])\\.', '\\1ȹȹ', 'g'), '\\.([0-9])', 'ȹȹ\\1', 'g'),
             '[^\\pL\\pN\\pM_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> ''))) AS n_token_set,
-        CAST(TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS DECIMAL(38,0)) AS STRING) AS first_int,
+        regexp_replace(nullif(regexp_extract(text, '([0-9]+)', 1), ''), '^0+([0-9])', '\\1') AS first_int,
         md5(upper(replace({ps.clean('text')}, 'ß', 'SS'))) AS match_key_md5
       FROM documents""",
 }

@@ -132,3 +132,10 @@ def test_text_helpers(spark):
     assert one(tx.root_key(lit("C:\\Lib\\"))) == "c:/lib"
     assert one(tx.distinct_options(F.array(lit(" a"), lit("a"), lit(""), lit("b")))) == ["a", "b"]
     assert one(tx.litres_from_cc(lit(1498))) == 1.5 and one(tx.horsepower_from_kw(lit(100))) == 134
+
+
+def test_first_int_of_any_length(spark):
+    long = "9" * 45
+    texts = [f"no {long} x", "0" * 50 + "12", "000", "a0b7", "7.50", "none", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.first_int(F.col("t"))).orderBy("i").collect()
+    assert [r[1] for r in got] == [long, "12", "0", "0", "7", None, None, None]
