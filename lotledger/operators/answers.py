@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotledger.functions import text as tx
@@ -89,6 +89,17 @@ def consensus(answers: DataFrame, answered: DataFrame) -> DataFrame:
     )
 
 
+def list_places(features: DataFrame) -> DataFrame:
+    """Adds the places, from 1, of each label in its car's two lists, null where it is in neither:
+    ``matched_place`` by label, ``suggested_place`` with important labels first, then by label."""
+    place = lambda flag, *order: F.when(
+        F.col(flag), F.row_number().over(Window.partitionBy("car", flag).orderBy(*order))
+    )
+    return features.withColumns({
+        "matched_place": place("matched", "label"), "suggested_place": place("suggested", F.desc("important"), "label"),
+    })
+
+
 def _rule_pass(items: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Items with the vocabulary label found without a model, null if none."""
     usable = items.filter(tx.strip(F.col("item")) != "")

@@ -53,11 +53,11 @@ def provider_summary(spark, sf):
 
 
 def feature_consensus(spark, sf):
-    """Rules, then cleaned answers of all providers."""
+    """Rules, then cleaned answers of all providers, in the order in which a car lists them."""
     a = _answers(spark, sf)
-    return answers.match_features(
+    return answers.list_places(answers.match_features(
         _items(spark, sf).select("car", "item"), _vocabulary(spark, sf), a, a.select("car", "provider")
-    )
+    ))
 
 
 def combined_match(spark, sf):
@@ -189,8 +189,10 @@ ORACLES = {
       ag AS (SELECT cl.car, label, bool_or(kind = 'matched') AS matched, count(DISTINCT CASE WHEN kind <> 'matched' THEN provider END) AS n, bool_or(kind = 'important') AS imp, any_value(panel) AS panel
         FROM cl JOIN {_PANEL} p ON p.car = cl.car WHERE label IS NOT NULL GROUP BY cl.car, label),
       un AS (SELECT car, label, matched, n = panel AS suggested, n = panel AND imp AS important FROM ag WHERE matched OR n = panel
-        UNION ALL SELECT DISTINCT car, rule, true, false, false FROM ps_ WHERE rule IS NOT NULL)
-      SELECT car, label, bool_or(matched) AS matched, bool_or(suggested) AS suggested, bool_or(important) AS important FROM un GROUP BY car, label""",
+        UNION ALL SELECT DISTINCT car, rule, true, false, false FROM ps_ WHERE rule IS NOT NULL),
+      ls AS (SELECT car, label, bool_or(matched) AS matched, bool_or(suggested) AS suggested, bool_or(important) AS important FROM un GROUP BY car, label)
+      SELECT *, CASE WHEN matched THEN row_number() OVER (PARTITION BY car, matched ORDER BY encode(label)) END AS matched_place,
+        CASE WHEN suggested THEN row_number() OVER (PARTITION BY car, suggested ORDER BY NOT important, encode(label)) END AS suggested_place FROM ls""",
     "combined_match": f"""WITH {_VOC}, a AS (SELECT * FROM provider_answers WHERE provider = 'A'),
       m AS (SELECT car, 0 AS source, ord, rule AS label FROM ps_ WHERE rule IS NOT NULL UNION ALL SELECT car, 1, ord, label FROM a WHERE kind = 'matched' AND label IN (SELECT label FROM vo))
       SELECT car, 'matched' AS kind, source, ord, label FROM (SELECT *, row_number() OVER (PARTITION BY car, label ORDER BY source, ord) AS rn FROM m) WHERE rn = 1

@@ -160,6 +160,14 @@ def test_consensus(spark):
     assert got == {"x": (True, False, False), "y": (False, True, True)}
 
 
+def test_list_places(spark):
+    rows = [("c", "b", True, False, False), ("c", "a", True, True, False), ("c", "z", False, True, True), ("c", "B", True, False, False), ("d", "q", False, True, False)]
+    df = spark.createDataFrame(rows, "car string, label string, matched boolean, suggested boolean, important boolean")
+    got = {(r.car, r.label): (r.matched_place, r.suggested_place) for r in answers.list_places(df).collect()}
+    assert got == {("c", "B"): (1, None), ("c", "a"): (2, 2), ("c", "b"): (3, None), ("c", "z"): (None, 1), ("d", "q"): (None, 1)}
+    assert answers.list_places(df.limit(0)).collect() == []
+
+
 def test_catalog_payloads(spark):
     spec = '{"parent_specifications":[{"id":1,"name":"Color","mandatory":true}],"values":[{"id":3,"name":"Red","parent":"Color","status":"Draft"},{"id":4,"label":"Blue","parent_specification":"Color"}]}'
     parents, values = catalogs.parse_spec_catalog(spark.createDataFrame([(spec,)], "payload string"))
