@@ -111,6 +111,22 @@ def retrieval_counts(asked: DataFrame, buckets: DataFrame) -> DataFrame:
     return probes(asked).join(sizes, ["bucket", "key"])
 
 
+def retrieved(asked: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``question, path, buckets, keys``: the folders that the probes of each question surface, with
+    the buckets and keys that hit, in the order of probes. A row per question and folder: meant for
+    the questions somebody wants shown; over all of them ``retrieval_counts`` has the sizes."""
+    bucket, key = F.col("bucket"), F.col("key")
+    turn = (
+        F.when(bucket == "designation_fingerprint", 0).when(bucket == "brand_token", 1).when(key == F.col("raw_fp"), 2).otherwise(3)
+    )
+    own = asked.select("question", "raw_fp").distinct()
+    probed = probes(asked).join(own, "question").select("question", "bucket", "key", turn.alias("turn"))
+    hits = probed.join(buckets, ["bucket", "key"]).groupBy("question", "path").agg(
+        F.array_sort(F.collect_set(F.struct("turn", "bucket", "key"))).alias("hits")
+    )
+    return hits.select("question", "path", F.array_distinct("hits.bucket").alias("buckets"), F.array_distinct("hits.key").alias("keys"))
+
+
 def _stray_counts(keys: DataFrame, stems: DataFrame) -> DataFrame:
     """``d_fp, brand_key, raw_fp, n_stray``: folders that hold a sheet named after the whole text
     or its name, and have neither the name nor the brand.

@@ -71,6 +71,31 @@ def located(spark, lib):
     return loc.locate(carkey.parse_car_strings(rows, "number"), lib)
 
 
+def test_retrieved_names_the_buckets_that_hit(lib, located):
+    asked, buckets = loc.questions(located.targets.select("car")), loc.bucket_tables(lib)
+    held = {}
+    for r in buckets.collect():
+        held.setdefault((r.bucket, r.key), set()).add(r.path)
+    want = {}
+    for q in asked.collect():
+        tried = [("designation_fingerprint", q.d_fp), ("brand_token", q.brand_key), ("sheet_filename_stem", q.raw_fp), ("sheet_filename_stem", q.d_fp)]
+        found = {}
+        for bucket, key in tried:
+            for path in held.get((bucket, key), ()) if key else ():
+                hit = found.setdefault(path, ([], []))
+                for seen, x in zip(hit, (bucket, key)):
+                    if x not in seen:
+                        seen.append(x)
+        want[q.question] = found
+    got = {}
+    for r in loc.retrieved(asked, buckets).collect():
+        assert got.setdefault(r.question, {}).setdefault(r.path, (r.buckets, r.keys)) == (r.buckets, r.keys)
+    assert got == {q: f for q, f in want.items() if f}
+    assert any(len(b) > 1 for f in got.values() for b, _ in f.values())
+    pools = {r.question: r.n_pool for r in located.answers.collect()}
+    assert {q: len(f) for q, f in want.items()} == pools
+
+
 def test_crawl(lib):
     folders = {r.path: r for r in lib.folders.collect()}
     assert len(folders) == 8
