@@ -8,6 +8,7 @@ from lotledger.functions import replies as rp
 from lotledger.operators import attempts, library, scoring
 from lotledger.operators import locate as loc
 from lotledger.plans import parse_sql as ps
+from lotledger.plans import reply_sql as rs
 from lotledger.plans.derive import table, with_clause
 from lotledger.plans.library_queries import CRAWL, entries
 from lotledger.plans.locate_queries import _located
@@ -132,6 +133,8 @@ ORACLES = {
         CASE WHEN ts <> 'ARRAY' THEN '''raw_specifications'' should be an array, got str' END, CASE WHEN tf <> 'ARRAY' THEN '''raw_features'' should be an array, got dict' END,
         CASE WHEN ts = 'ARRAY' AND json_array_length(json, '$.raw_specifications') = 0 THEN '''raw_specifications'' is empty — the model returned a skeleton, not an extraction' END) END AS issues
       FROM sheet_replies r LEFT JOIN k ON k.event_id = r.event_id""",
+    "reply_recovery": f"WITH {rs.reply_ctes()} SELECT event_id, json, dropped FROM rec",
+    "extraction_report": f"WITH {rs.REPORT_CTES} {rs.REPORT}",
     "page_boundary": """WITH p AS (SELECT conv_id AS doc, turn AS page, length(text) % 100 < 50 AND length(text) % 7 >= 3 AS photo FROM conversations),
       n AS (SELECT doc, page, photo AND lead(photo) OVER (PARTITION BY doc ORDER BY page) AS pair FROM p)
       SELECT doc, count(*) AS n_pages, coalesce(min(page) FILTER (WHERE pair AND page >= 1), count(*)) AS boundary FROM n GROUP BY doc""",
