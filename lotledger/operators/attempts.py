@@ -138,8 +138,3 @@ def car_status(
         .withColumn("json", F.when(reached & F.lit(enabled), F.col("json")))
         .withColumn("completed", ~(reached & F.lit(enabled) & F.col("json").isNull() & ~photos))
     )
-
-
-def uploaded_sheets(extractions: DataFrame, vehicles: DataFrame) -> DataFrame:
-    """Uploaded-sheet variant: extractions with vehicle fields, no folder, no photos."""
-    return vehicles.join(extractions, "car", "left")

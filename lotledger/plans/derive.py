@@ -371,3 +371,21 @@ FROM (SELECT event_id, user_id, event_type,
       ', "description": "long, <text>", "raw_features": ', CASE WHEN event_id % 13 = 0 THEN '<"a": 1>' ELSE '["ABS", "TPMS"]' END, '>'), '<', chr(123)), '>', chr(125)) AS body
   FROM {events}) x
 """
+# Every third event is an upload of a sheet; its replies are that event's and the next two.
+DERIVED["uploads"] = """
+SELECT CAST(floor(event_id / 3) AS BIGINT) AS upload,
+  concat('mdl-', CAST(user_id AS STRING), 'A', CAST(event_id % 13 AS STRING), '-', CAST(20 + user_id % 7 AS STRING)) AS model_number,
+  CASE WHEN event_id % 2 = 0 THEN car_string WHEN event_id % 5 = 0 THEN '' END AS product_description,
+  CASE WHEN event_id % 4 = 0 THEN CAST(user_id AS DOUBLE) END AS price_aed
+FROM {events} LEFT JOIN {car_strings} ON car_id = CAST(floor(event_id / 3) AS BIGINT) WHERE event_id % 3 = 0
+"""
+# Catalog rows in payloads of at most 200.
+DERIVED["payload_rows"] = """
+SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS payload_id, p_partkey, concat('v', CAST(p_partkey AS STRING)) AS id, p_name AS name,
+  p_brand AS parent, CASE p_size % 4 WHEN 0 THEN 'Draft' WHEN 1 THEN NULL WHEN 2 THEN 'PUBLISHED' ELSE 'published' END AS status
+FROM {part}
+"""
+DERIVED["payload_groups"] = """
+SELECT payload_id, concat('g', CAST(min(p_partkey) AS STRING)) AS id, parent AS name, min(p_partkey) % 2 = 0 AS mandatory
+FROM {payload_rows} GROUP BY payload_id, parent HAVING min(p_partkey) % 7 <> 0
+"""

@@ -13,7 +13,7 @@ from lotledger.plans.derive import table, with_clause
 from lotledger.plans.library_queries import CRAWL, entries
 from lotledger.plans.locate_queries import _located
 from lotledger.session import settle
-from lotledger.sources import catalogs, uploads
+from lotledger.sources import uploads
 
 
 def attempt_stop(spark, sf):
@@ -96,26 +96,11 @@ def upload_guard(spark, sf):
                        uploads.rejection(name, F.col("n_chars"), [".pdf"], 2000).alias("reason"))
 
 
-def taxonomy_payload(spark, sf):
-    """Nested catalog JSON per region flattened to taxonomy rows."""
-    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    supplier = table(spark, sf, "supplier").groupBy("s_nationkey").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("s_suppkey").alias("key"), F.col("s_name").alias("label")))).alias("trims")
-    )
-    models = nation.join(supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_regionkey").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"), "trims"))).alias("models")
-    )
-    payload = region.join(models, F.col("n_regionkey") == F.col("r_regionkey"), "left").select(
-        F.to_json(F.array(F.struct(F.concat(F.lit("R"), "r_regionkey").alias("value"), F.col("r_name").alias("name"), "models"))).alias("payload")
-    )
-    return catalogs.parse_taxonomy(payload).select("level", "id", "name", "parent_id")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         attempt_stop, reply_recovery, reply_shape, extraction_report, car_status, page_boundary, photo_gate, photo_slots,
-        text_layer_gate, upload_guard, taxonomy_payload,
+        text_layer_gate, upload_guard,
     )
 }
 
@@ -146,7 +131,4 @@ ORACLES = {
     "upload_guard": """SELECT doc_id, lang = 'en' AND n_chars BETWEEN 1 AND 2000 AS accepted,
       CASE WHEN lang = 'fr' THEN 'Unsupported file type ''.txt'' — expected one of [''.pdf'']' WHEN lang <> 'en' THEN 'Unsupported file type ''(none)'' — expected one of [''.pdf'']'
         WHEN n_chars = 0 THEN 'Uploaded file is empty' WHEN n_chars > 2000 THEN printf('File too large (%.1fMB) — max 0MB', n_chars / 1024.0 / 1024.0) END AS reason FROM documents""",
-    "taxonomy_payload": """SELECT 'brand' AS level, concat('R', r_regionkey) AS id, r_name AS name, NULL AS parent_id FROM region
-      UNION ALL SELECT 'model', CAST(n_nationkey AS STRING), n_name, concat('R', n_regionkey) FROM nation
-      UNION ALL SELECT 'trim', CAST(s_suppkey AS STRING), s_name, CAST(s_nationkey AS STRING) FROM supplier""",
 }

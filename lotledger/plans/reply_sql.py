@@ -1,7 +1,7 @@
 """Oracle parts over model replies: unwrapping, repair by search, judging, the report of a car.
 
 Repair is stated otherwise than in the operator: of all prefixes that end after a closing bracket or
-before a comma, and all ways to close up to three brackets, the longest that is valid JSON.
+before a comma, and the ways to close them that the replies can need, the longest that is valid JSON.
 """
 
 from __future__ import annotations
@@ -16,17 +16,17 @@ def _strip(c: str) -> str:
     return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 
 
-def reply_ctes(source: str = "sheet_replies", key: str = "event_id") -> str:
+def reply_ctes(source: str = "sheet_replies", key: str = "event_id", closings: tuple[str, ...] = _CLOSINGS) -> str:
     """CTEs ending in ``rec``: every reply with its body, its usable JSON text and the characters lost."""
     text = _strip("content")
     opened = f"CASE WHEN contains({text}, chr(10)) THEN regexp_replace({text}, '^[^\\n]*\\n', '') ELSE substring({text}, 4) END"
     body = f"CASE WHEN starts_with({text}, '```') THEN regexp_replace({opened}, '```\\s*$', '') ELSE {text} END"
-    closings = ", ".join(f"'{c}'" for c in _CLOSINGS)
+    listed = ", ".join(f"'{c}'" for c in closings)
     return f"""{with_clause(source)},
   bd AS (SELECT *, {_strip(body)} AS body FROM {source}),
   wh AS MATERIALIZED (SELECT *, json_valid(body) AS whole FROM bd),
   px AS (SELECT {key}, n, closing, rtrim(rtrim(substring(body, 1, n)), ',') AS kept
-    FROM (SELECT {key}, body, unnest(generate_series(1, length(body))) AS n FROM wh WHERE NOT whole AND starts_with(body, '{{')) p, (SELECT unnest([{closings}]) AS closing) c
+    FROM (SELECT {key}, body, unnest(generate_series(1, length(body))) AS n FROM wh WHERE NOT whole AND starts_with(body, '{{')) p, (SELECT unnest([{listed}]) AS closing) c
     WHERE substring(body, n, 1) IN ('}}', ']') OR substring(body, n + 1, 1) = ','),
   ok AS (SELECT {key}, arg_max(kept || closing, n) AS json, arg_max(length(kept), n) AS kept FROM px WHERE json_valid(kept || closing) GROUP BY {key}),
   rec AS MATERIALIZED (SELECT w.*, CASE WHEN whole THEN body ELSE ok.json END AS json, CASE WHEN whole OR body = '' THEN 0 ELSE length(body) - coalesce(ok.kept, 0) END AS dropped

@@ -25,22 +25,23 @@ def _first(node: str, *keys: str) -> Column:
 
 def _catalog(payloads: DataFrame, column: str, groups: str, rows: tuple[str, ...], parent_key: str):
     fields = ",".join([f"{groups}:array<{_ROW}>"] + [f"{r}:array<{_ROW}>" for r in rows])
-    doc = payloads.select(F.from_json(column, f"struct<{fields}>").alias("d"))
-    parents = doc.select(F.posexplode(f"d.{groups}").alias("ord", "g")).select(
-        _first("g", "name", "label").alias("name"), _first("g", "id").alias("parent_id"),
+    own = ["payload_id"] if "payload_id" in payloads.columns else []
+    doc = payloads.select(*own, F.from_json(column, f"struct<{fields}>").alias("d"))
+    parents = doc.select(*own, F.posexplode(f"d.{groups}").alias("ord", "g")).select(
+        *own, _first("g", "name", "label").alias("name"), _first("g", "id").alias("parent_id"),
         F.coalesce("g.mandatory", F.lit(False)).alias("mandatory"), "ord",
     )
     listed = F.coalesce(*[F.when(F.size(f"d.{r}") > 0, F.col(f"d.{r}")) for r in rows])
-    flat = doc.select(F.posexplode(listed).alias("ord", "v")).select(
-        _first("v", "id").alias("id"), _first("v", "name", "label").alias("name"), _first("v", "slug").alias("slug"),
+    flat = doc.select(*own, F.posexplode(listed).alias("ord", "v")).select(
+        *own, _first("v", "id").alias("id"), _first("v", "name", "label").alias("name"), _first("v", "slug").alias("slug"),
         _first("v", "parent", parent_key).alias("parent"), _first("v", "status").alias("status"), "ord",
     )
-    ids = parents.groupBy(F.col("name").alias("parent")).agg(F.max_by("parent_id", "ord").alias("parent_id"))
-    return parents, flat.join(ids, "parent", "left").fillna("", ["parent_id"])
+    ids = parents.groupBy(*own, F.col("name").alias("parent")).agg(F.max_by("parent_id", "ord").alias("parent_id"))
+    return parents, flat.join(ids, [*own, "parent"], "left").fillna("", ["parent_id"])
 
 
 def parse_feature_catalog(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """``(groups, features)``."""
+    """``(groups, features)``. A ``payload_id`` keeps the groups of several payloads apart."""
     groups, rows = _catalog(payloads, column, "parent_features", ("features",), "parent_feature")
     return groups, rows.drop("status")
 
