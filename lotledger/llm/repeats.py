@@ -9,8 +9,9 @@ judged on the input.
    one, so a text has one anchor for about five windows. Anchors held by two
    documents or more are counted in one aggregate with a partial step.
 2. Confirmation. Texts are dealt into blocks of about ``BLOCK_BYTES`` by hash, so that
-   copies of one text meet and are one text with the smallest of their ids; a batch
-   sends each of its texts once, however many of its rows hold it.
+   copies of one text meet. A batch sends each of its texts once, however many of its
+   rows hold it, and an aggregate behind the exchange makes one text with the smallest
+   id of what the batches sent, so a block's group holds its distinct texts only.
    Each block learns which of its anchors recur, and names each of its distinct
    windows with such an anchor by a 96-bit hash and one place in the block. Over
    all blocks the smallest document of each window is found; a block keeps the
@@ -136,13 +137,15 @@ def _block_anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("text", "block").mapInArrow(run, "anchor long, block int")
 
 
+def _distinct_texts(dealt: DataFrame) -> DataFrame:
+    """One row a text of each block, with its smallest id. The rows are dealt by block already, so
+    this is a streaming aggregate without an exchange of its own."""
+    return dealt.groupBy("block", "k1", "k2").agg(F.min("id").alias("id"), F.max("text").alias("text")).select("k1", "k2", "block", "id", "text")
+
+
 def _ordered(block: pa.Table) -> pa.Table:
-    """The block's distinct texts, in the order of their keys, each with its smallest id."""
-    block = block.sort_by([("k1", "ascending"), ("k2", "ascending"), ("id", "ascending")])
-    a, b = block.column("k1").to_numpy(), block.column("k2").to_numpy()
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return block.filter(pa.array(first))
+    """The block's texts in the order of their keys, the same for both passes."""
+    return block.sort_by([("k1", "ascending"), ("k2", "ascending")])
 
 
 def _windows(size: int):
@@ -250,7 +253,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     texts = _texts(d, blocks)
     recurring = _recurring(d.filter("id IS NOT NULL"), WINDOW)
     known = _block_anchors(texts.filter("id IS NOT NULL"), WINDOW).join(recurring, F.col("anchor") == F.col("recurring"), "left_semi")
-    by_block = texts.repartition(parts, "block")
+    by_block = _distinct_texts(texts.repartition(parts, "block"))
     windows = by_block.groupBy("block").cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(
         _windows(WINDOW), "key long, tag int, block int, place long, first long"
     )

@@ -85,6 +85,24 @@ def test_hot_copies(documents):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
+def test_copies_in_many_batches_are_one_row_of_a_block(spark, documents, monkeypatch):
+    """A third of 200 batches hold one text; a block's group holds it once."""
+    sizes = []
+    monkeypatch.setattr(repeats, "_distinct_texts", lambda dealt, inner=repeats._distinct_texts: sizes.append(inner(dealt)) or inner(dealt))
+    hot = " ".join(f"h{i}" for i in range(40))
+    rows = [(i, hot if i % 3 == 0 else f"only {i} " + " ".join(f"v{(i * j) % 97}" for j in range(20))) for i in range(600)]
+    df = documents(rows).repartition(200, "doc_id")
+    got = repeats.remove_repeats(df).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+    (texts,) = sizes
+    copies = texts.groupBy("k1", "k2").count().filter("count > 1")
+    assert texts.count() == 401 and copies.isEmpty()
+    assert texts.filter(F.col("text") == hot).first().id == 0
+    # Dealt once: the aggregate sits on the exchange by block.
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_empty_table_and_clashing_columns(documents):
     assert repeats.remove_repeats(documents([])).collect() == []
     df = documents([(1, "a b")]).withColumn("block", F.lit(9)).withColumn("id", F.lit("x")).withColumn("n_words", F.lit(0))
