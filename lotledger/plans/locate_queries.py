@@ -100,6 +100,9 @@ QUERIES = {
 }
 
 
+_Q = lambda c: f"concat('''', {c}, '''')"
+
+
 def _code(state: str, value: str, raw: str) -> str:
     return f"CASE {state} WHEN 'silent' THEN '-' WHEN 'unparseable' THEN concat('?', {raw}) ELSE concat('=', {value}) END"
 
@@ -111,7 +114,7 @@ def _code_columns(t: str) -> str:
             f"{_code(f'{t}.{st}', ps.fp(f'{t}.{v}'), ps.fp(f'{t}.raw') if st != 'name_state' else f'{t}.desig_fp')} AS c_{v}"
             for v, st in (("brand", "name_state"), ("model_head", "name_state"), ("trim", "name_state"), ("fuel", "fuel_state"), ("transmission", "transmission_state"))
         )
-        + f", {_code(f'{t}.engine_state', f'CAST({t}.engine_l AS STRING)', ps.fp(f'{t}.raw'))} AS c_engine_l"
+        + f", {_code(f'{t}.engine_state', f'CAST({t}.engine_l AS STRING)', ps.fp(f'{t}.engine_raw'))} AS c_engine_l"
     )
 
 
@@ -192,9 +195,28 @@ located AS (SELECT car_id, CASE WHEN stage = 'matched' THEN 'matched' WHEN start
     n_pool, n_same, n_surv, {tally} AS tally, {failed} AS failed_specs, n_kept, n_variants FROM sg)"""
 
 
+def _compared() -> str:
+    """One car of each (designation, codes) against one folder of each, field by field; folders state no colour."""
+    extra = lambda t, folder: ", ".join(
+        f"'-' AS c_{f}" if folder else _code(f"{t}.{f}_state", ps.fp(f"{t}.{f}"), ps.fp(f"{t}.raw")) + f" AS c_{f}" for f in ("exterior", "interior")
+    ) + f", CASE WHEN {t}.vin_tag IS NULL THEN '-' ELSE concat('=', {ps.fp(f'{t}.vin_tag')}) END AS c_vin_tag"
+    codes = ", ".join(f"c_{f}" for f in cp.CORROBORATORS)
+    verdicts = ", ".join(f"{_verdict(f, False)} AS {f}" for f in cp.COMPARED)
+    killer = " ".join(f"WHEN {_verdict(f, False)} = 'disagree' THEN '{f}'" for f in cp.CORROBORATORS)
+    line = lambda field, raw: (
+        f"CASE {_verdict(field, False)} WHEN 'equal' THEN concat('{field}: ', {_Q('t.' + raw)}) WHEN 'disagree' THEN concat('{field}: ', {_Q('t.' + raw)}, ' vs ', {_Q('f.' + raw)}) "
+        f"WHEN 'one_silent' THEN concat('{field}: only one side states it (', {_Q(f'coalesce(t.{raw}, f.{raw})')}, ')') WHEN 'both_silent' THEN '{field}: neither side states it' ELSE '{field}: could not be read' END"
+    )
+    return f"""ct AS (SELECT car_id, desig_fp, fuel, year_raw, {_code_columns('tc')}, {extra('tc', False)} FROM tc WHERE desig_fp <> ''),
+      cf AS (SELECT path, desig_fp, fuel, year_raw, {_code_columns('folders')}, {extra('folders', True)} FROM folders),
+      t1 AS (SELECT * FROM ct WHERE car_id IN (SELECT min(car_id) FROM ct GROUP BY desig_fp, {codes})),
+      f1 AS (SELECT * FROM cf WHERE path IN (SELECT min(path) FROM cf GROUP BY desig_fp, {codes}))
+      SELECT t.car_id, f.path, 'equal' AS designation, {verdicts}, CASE {killer} END AS killer, {line('fuel', 'fuel')} AS fuel_line, {line('model_year', 'year_raw')} AS year_line
+      FROM t1 t JOIN f1 f ON f.desig_fp = t.desig_fp"""
+
+
 _PLAIN = _sql(False)
 _NAME = "regexp_extract(l.folder_path, '([^/]*)$', 1)"
-_Q = lambda c: f"concat('''', {c}, '''')"
 _COLOUR = lambda f: f"CASE tc.{f}_state WHEN 'stated' THEN {_Q('tc.' + f)} WHEN 'unparseable' THEN 'x' ELSE 'a colour the feed does not state' END"
 _COLS = ", ".join(_OUT)
 
@@ -214,6 +236,7 @@ ORACLES = {
       SELECT a.desig_fp AS d_fp, b.desig_fp AS folder_fp, n AS n_folders FROM a JOIN b ON b.brand_key = a.brand_key AND a.desig_fp <> b.desig_fp
         AND (starts_with(a.desig_fp, b.desig_fp) OR starts_with(b.desig_fp, a.desig_fp))""",
     "retrieval_blocks": f"WITH {_PLAIN} SELECT car_id, bucket, key, count(*) AS n_folders FROM hits GROUP BY car_id, bucket, key",
+    "compare_fields": f"WITH {_PLAIN}, {_compared()}",
     "locate_messages": f"""WITH {_PLAIN} SELECT l.car_id, variant_path AS located_path, outcome, CASE WHEN outcome <> 'matched' THEN concat(CASE WHEN outcome = 'ambiguous' THEN concat(c.car_string, ' matches ', n_candidates, ' folders and nothing separates them. The field that would settle it is ''', discriminator, '''') WHEN outcome = 'absent' THEN concat('No folder for ', c.car_string, ': ',
         CASE stage WHEN 'nothing_offered' THEN 'no model folder was offered for comparison'
           WHEN 'nameless' THEN concat({_Q("coalesce(nullif(tc.raw, ''), '(empty)')")}, ' states no name to match on, so every one of the ', n_pool, ' folders considered failed the designation gate')

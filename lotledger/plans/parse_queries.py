@@ -123,7 +123,7 @@ ORACLES = {
     "unit_conversions": """SELECT p_partkey, round(p_size * 37 / 1000.0::DOUBLE, 1) AS litres, CAST(round(p_size * 1.341::DOUBLE, 0) AS INT) AS horsepower,
       CASE WHEN trim(p_type) IN (p_brand, p_name) OR p_brand = p_name THEN NULL ELSE concat(p_brand, '|', trim(p_type), '|', p_name) END AS options FROM part""",
     "parse_car_string": f"""{_CARS}, {ps.car_ctes('car_strings', 'car_id', 'car_string', 'cars')}
-      SELECT * REPLACE (CAST(engine_l AS DOUBLE) AS engine_l) FROM cars""",
+      SELECT * EXCLUDE (year_raw, engine_raw) REPLACE (CAST(engine_l AS DOUBLE) AS engine_l) FROM cars""",
     "parse_folder_name": f"""{_CARS}, {ps.car_ctes('car_strings', 'car_id', 'car_string', 'cars')}
       SELECT car_id, desig_fp, 'silent' AS exterior_state, 'silent' AS interior_state,
              n_notes + CAST(exterior_state <> 'silent' OR interior_state <> 'silent' AS INT) AS n_notes, ok AS is_car FROM cars""",

@@ -79,7 +79,8 @@ def car_ctes(src: str, key: str, text: str, out: str) -> str:
     CASE WHEN NOT found THEN lost WHEN ne = 0 THEN 'silent' WHEN ne = 1 AND litres BETWEEN 0.5 AND 10.0 THEN 'stated' ELSE 'unparseable' END AS engine_state,
     CASE WHEN found AND ne = 1 AND litres BETWEEN 0.5 AND 10.0 THEN litres END AS engine_l,
     CASE WHEN NOT found THEN lost WHEN trans <> '' THEN 'stated' ELSE 'silent' END AS transmission_state, CASE WHEN found THEN trans END AS transmission,
-    CASE WHEN found THEN yr END AS model_year,
+    CASE WHEN found THEN yr END AS model_year, CASE WHEN found AND yr IS NOT NULL THEN CASE used WHEN 1 THEN y1raw WHEN 2 THEN y2raw ELSE head0 END END AS year_raw,
+    CASE WHEN NOT found THEN raw WHEN ne > 1 THEN array_to_string(eng, '-') ELSE eng[1] END AS engine_raw,
     CASE WHEN NOT found OR len(cols) = 0 THEN 'silent' WHEN len(cols) >= 3 THEN 'unparseable' ELSE 'stated' END AS exterior_state,
     CASE WHEN found AND len(cols) IN (1, 2) THEN cols[1] END AS exterior,
     CASE WHEN NOT found OR len(cols) < 2 THEN 'silent' WHEN len(cols) >= 3 THEN 'unparseable' ELSE 'stated' END AS interior_state,
