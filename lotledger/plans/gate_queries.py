@@ -10,8 +10,8 @@ from lotledger.operators import locate as loc
 from lotledger.plans import parse_sql as ps
 from lotledger.plans import reply_sql as rs
 from lotledger.plans.derive import table, with_clause
-from lotledger.plans.library_queries import CRAWL, entries
-from lotledger.plans.locate_queries import _located
+from lotledger.plans.library_queries import _SUFFIX, entries
+from lotledger.plans.locate_queries import _PLAIN, _located
 from lotledger.session import settle
 from lotledger.sources import uploads
 
@@ -120,6 +120,14 @@ ORACLES = {
       FROM sheet_replies r LEFT JOIN k ON k.event_id = r.event_id""",
     "reply_recovery": f"WITH {rs.reply_ctes()} SELECT event_id, json, dropped FROM rec",
     "extraction_report": f"WITH {rs.REPORT_CTES} {rs.REPORT}",
+    "car_status": f"""WITH {_PLAIN}, {rs.REPORT_CTES},
+      vp AS (SELECT DISTINCT variant_path AS path FROM located WHERE variant_path IS NOT NULL),
+      fl AS (SELECT vp.path, count(*) FILTER (WHERE sfx = '.pdf') AS n_pdfs, count(*) FILTER (WHERE sfx IN ({ps.quoted(library.IMAGE_SUFFIXES)})) AS n_photos
+        FROM vp JOIN (SELECT path, {_SUFFIX} AS sfx FROM library_entries) e ON starts_with(e.path, vp.path || '/') GROUP BY vp.path),
+      cs AS (SELECT concat('car', l.car_id) AS car, variant_path AS folder_path, coalesce(n_pdfs, 0) AS n_pdfs, coalesce(n_photos, 0) AS n_photos, coalesce(n_pdfs, 0) > 0 AS reached, rp.attempt IS NOT NULL AS usable
+        FROM located l LEFT JOIN fl ON fl.path = variant_path LEFT JOIN rp ON rp.car = concat('car', l.car_id))
+      SELECT car, CASE WHEN reached THEN 'ok' ELSE 'needs_folder_link' END AS status, folder_path, n_pdfs, n_photos, reached AND usable AS extracted,
+        NOT (reached AND NOT usable AND n_photos <= 3) AS completed FROM cs""",
     "page_boundary": """WITH p AS (SELECT conv_id AS doc, turn AS page, length(text) % 100 < 50 AND length(text) % 7 >= 3 AS photo FROM conversations),
       n AS (SELECT doc, page, photo AND lead(photo) OVER (PARTITION BY doc ORDER BY page) AS pair FROM p)
       SELECT doc, count(*) AS n_pages, coalesce(min(page) FILTER (WHERE pair AND page >= 1), count(*)) AS boundary FROM n GROUP BY doc""",

@@ -49,8 +49,8 @@ REPORT_CTES = f"""{reply_ctes()}, {judge_ctes()},
   pd AS (SELECT car, pdf, (lower(trim(pdf)) <> lower(trim(search_key)) || '.pdf')::INT * 1000 + pdf_ord AS place, count(*) AS n_attempts,
       min(attempt) FILTER (WHERE error IS NULL) AS attempt, arg_min(truncated, attempt) FILTER (WHERE error IS NULL) AS truncated, bool_or(coalesce(error = 'truncated', false)) AS cut
     FROM jd GROUP BY car, pdf, pdf_ord, search_key),
-  st AS (SELECT car, min(place) FILTER (WHERE attempt IS NOT NULL OR cut) AS stop FROM pd GROUP BY car),
-  tr AS (SELECT pd.* FROM pd JOIN st ON st.car = pd.car WHERE stop IS NULL OR place <= stop),
+  sp AS (SELECT car, min(place) FILTER (WHERE attempt IS NOT NULL OR cut) AS stop FROM pd GROUP BY car),
+  tr AS (SELECT pd.* FROM pd JOIN sp ON sp.car = pd.car WHERE stop IS NULL OR place <= stop),
   rp AS (SELECT car, count(*) AS n_pdfs_tried, CAST(sum(n_attempts) AS BIGINT) AS n_attempts, arg_min(pdf, place) FILTER (WHERE attempt IS NOT NULL) AS pdf,
       arg_min(attempt, place) FILTER (WHERE attempt IS NOT NULL) AS attempt, arg_min(truncated, place) FILTER (WHERE attempt IS NOT NULL) AS truncated,
       bool_or(cut AND attempt IS NULL) AS stopped_on_truncation FROM tr GROUP BY car)"""
