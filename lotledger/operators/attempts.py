@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotledger.functions import replies as rp
 from lotledger.functions import text as tx
+from lotledger.session import merged
 
 TRUNCATED_NOTE = (
     "TRUNCATED: the spec sheet was longer than the model's output budget. Later specification rows and "
@@ -112,7 +113,7 @@ def car_status(
     n = files.groupBy("folder_path").agg(
         F.count_if(F.col("kind") == "pdf").alias("n_pdfs"), F.count_if(F.col("kind") == "photo").alias("n_photos")
     )
-    df = cars.join(n, "folder_path", "left").fillna(0, ["n_pdfs", "n_photos"]).join(extractions, "car", "left")
+    df = cars.join(n, "folder_path", "left").fillna(0, ["n_pdfs", "n_photos"]).join(merged(extractions), "car", "left")
     given = F.col("status") if "status" in cars.columns else F.lit(None).cast("string")
     no_sheet = F.concat(
         F.lit("Found this car's folder and "), F.col("n_photos").cast("string"),
