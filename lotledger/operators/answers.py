@@ -17,7 +17,8 @@ def _folded(c: Column) -> Column:
 def canonical_options(answers: DataFrame, options: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Inner join of answers to allowed options: exact text first, then caseless
     and trimmed, the last listed of options that fold alike. ``options``: ``by...,
-    option, ord``. Adds ``canonical``."""
+    option, ord``, a form's own lists, so they travel to the answers: dealt out by
+    field, all answers to one field would gather in a task. Adds ``canonical``."""
     exact = options.select(*by, F.col("option").alias(value), F.col("option").alias("__exact")).distinct()
     loose = (
         options.withColumn("__fold", _folded(F.col("option")))
@@ -25,9 +26,9 @@ def canonical_options(answers: DataFrame, options: DataFrame, by: list[str], val
         .agg(F.max_by("option", "ord").alias("__loose"))
     )
     return (
-        answers.join(exact, [*by, value], "left")
+        answers.join(F.broadcast(exact), [*by, value], "left")
         .withColumn("__fold", _folded(F.col(value)))
-        .join(loose, [*by, "__fold"], "left")
+        .join(F.broadcast(loose), [*by, "__fold"], "left")
         .withColumn("canonical", F.coalesce("__exact", "__loose"))
         .filter("canonical IS NOT NULL")
         .drop("__exact", "__loose", "__fold")
@@ -40,7 +41,7 @@ def clean_field_answers(answers: DataFrame, fields: DataFrame) -> DataFrame:
     ``answers``: ``car, provider, field, value``; ``fields``: ``field, type,
     options``. Returns ``car, provider, field, value``.
     """
-    known = answers.filter(tx.strip(F.col("value")) != "").join(fields.select("field", "type"), "field")
+    known = answers.filter(tx.strip(F.col("value")) != "").join(F.broadcast(fields.select("field", "type")), "field")
     cols = ["car", "provider", "field", "value"]
     allowed = fields.filter("type = 'select'").select("field", F.posexplode("options").alias("ord", "option"))
     selected = canonical_options(known.filter("type = 'select'"), allowed, ["field"]).select(
