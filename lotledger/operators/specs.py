@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotledger.functions import text as tx
@@ -72,10 +72,6 @@ def resolve_spec_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.select("parent", "value", res.alias("res"))
 
 
-def _attach(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    return rows.join(settle(resolve_spec_values(rows, catalog)), ["parent", "value"])
-
-
 def resolve_specifications(
     rows: DataFrame, catalog: DataFrame, parents: DataFrame, fallbacks: DataFrame | None = None
 ) -> DataFrame:
@@ -87,55 +83,59 @@ def resolve_specifications(
     open. Returns one row per outcome with ``kind`` in ``resolved, unresolved,
     unmapped``.
     """
-    rows = (
-        rows.withColumn("label", tx.strip(F.col("label")))
-        .withColumn("value", tx.strip(F.col("value")))
-        .filter("label != '' AND value != ''")
+    # Texts repeat over the cars: each distinct one is read and resolved once, then its rows meet it.
+    texts = rows.select("label", "value").distinct().withColumns(
+        {"__label": tx.strip(F.col("label")), "__value": tx.strip(F.col("value"))}
+    )
+    texts = settle(texts.filter("__label != '' AND __value != ''"))
+    parent_of = settle(label_parents(texts.select(F.col("__label").alias("label")), parents)).withColumnRenamed("label", "__label")
+    texts = texts.join(parent_of, "__label")
+    asked = texts.select("parent", F.col("__value").alias("value")).filter("parent IS NOT NULL")
+    if fallbacks is not None:
+        tinted = F.coalesce((F.col("stage") == 1) & (F.col("parent") == "Color"), F.lit(False))
+        fallbacks = fallbacks.withColumn("__tinted", tinted)
+        colour = F.when(F.col("__tinted"), tx.primary_colour(F.col("value")))
+        given = fallbacks.select("__tinted", "parent", "value").distinct().withColumn("__value", F.coalesce(colour, F.col("value")))
+        given = settle(given.filter("__value != ''"))
+        asked = asked.unionByName(given.select("parent", F.col("__value").alias("value")))
+    resolved = settle(resolve_spec_values(asked, catalog)).withColumnRenamed("value", "__value")
+    texts = settle(texts.join(resolved, ["parent", "__value"], "left"))
+    sheet = rows.select("car", "ord", "label", "value").join(texts, ["label", "value"]).select(
+        "car", F.lit(0).alias("stage"), "ord", "parent", F.col("__label").alias("label"), F.col("__value").alias("value"), "res"
     )
-    labelled = rows.join(settle(label_parents(rows, parents)), "label")
-    sheet = labelled.filter("parent IS NOT NULL").select("car", F.lit(0).alias("stage"), "ord", "parent", "label", "value")
-    unmapped = labelled.filter("parent IS NULL")
-    asked = sheet
+    loose = sheet.filter("parent IS NULL").select(F.lit("unmapped").alias("kind"), "car", "label", "value", "ord")
+    found = sheet.filter("parent IS NOT NULL")
     if fallbacks is not None:
-        colour = F.when((F.col("stage") == 1) & (F.col("parent") == "Color"), tx.primary_colour(F.col("value")))
-        more = fallbacks.withColumn("value", F.coalesce(colour, F.col("value"))).filter("value != ''")
-        asked = sheet.unionByName(
-            more.withColumn("label", F.when(F.col("stage") == 1, F.lit("model code")).otherwise("folder path"))
+        label = F.when(F.col("stage") == 1, F.lit("model code")).otherwise("folder path")
+        more = fallbacks.join(settle(given.join(resolved, ["parent", "__value"])), ["__tinted", "parent", "value"])
+        found = found.unionByName(
+            more.select("car", "stage", "ord", "parent", label.alias("label"), F.col("__value").alias("value"), "res")
         )
-    found = _attach(asked, catalog)
+    # One pass over each car's rows of a parent, in the order of asking: the earliest match wins,
+    # anything after it never gets asked.
     matched = F.col("res.status") == "matched"
-    at = F.struct("stage", "ord")
-    # The earliest match wins; anything after it never gets asked.
-    won = found.groupBy("car", "parent").agg(
-        F.min(F.when(matched, at)).alias("won_at"),
-        F.min_by(F.struct("label", "value", "res"), F.when(matched, at)).alias("w"),
-    )
-    from_text = F.when(F.col("won_at.stage") == 2, F.concat(F.lit("folder path: "), F.col("w.value"))).when(
-        F.col("won_at.stage") == 1, F.concat(F.lit("model code: "), F.col("w.value"))
-    ).otherwise(F.concat("w.label", F.lit(": "), "w.value"))
-    prefix = F.when(F.col("won_at.stage") == 2, F.lit("folder_path_")).when(
-        F.col("won_at.stage") == 1, F.lit("model_code_")
-    ).otherwise(F.lit(""))
-    resolved = won.filter("won_at IS NOT NULL").select(
-        F.lit("resolved").alias("kind"), "car", "parent",
-        F.col("w.res.id").alias("id"), F.col("w.res.name").alias("name"),
-        from_text.alias("matched_from"), F.concat(prefix, "w.res.method").alias("method"),
-        F.lit("matched").alias("status"),
-    )
+    asking = Window.partitionBy("car", "parent").orderBy("stage", "ord")
+    upto = asking.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumns({"__won": F.count_if(matched).over(upto), "__tied": F.count_if(matched).over(asking)})
     # Failures before the winner are reported; colour fallbacks only with
     # candidates, folder segments never.
     reported = (F.col("stage") == 0) | ((F.col("stage") == 1) & (F.size("res.candidates") > 0))
-    unresolved = (
-        found.filter(~matched & reported)
-        .join(won.select("car", "parent", "won_at"), ["car", "parent"])
-        .filter(F.col("won_at").isNull() | (at < F.col("won_at")))
-        .select(
-            F.lit("unresolved").alias("kind"), "car", "parent", "label", "value", "ord",
-            F.col("res.status").alias("status"), F.col("res.candidates").alias("candidates"),
-        )
+    lost = F.col("car").isNotNull() & ~matched & reported & (F.col("__tied") == 0)
+    found = found.withColumn("__wins", matched & (F.col("__won") == 1)).filter(F.col("__wins") | lost)
+    stage, wins = F.col("stage"), F.col("__wins")
+    from_text = F.when(stage == 2, F.concat(F.lit("folder path: "), F.col("value"))).when(
+        stage == 1, F.concat(F.lit("model code: "), F.col("value"))
+    ).otherwise(F.concat("label", F.lit(": "), "value"))
+    prefix = F.when(stage == 2, F.lit("folder_path_")).when(stage == 1, F.lit("model_code_")).otherwise(F.lit(""))
+    out = found.select(
+        F.when(wins, F.lit("resolved")).otherwise("unresolved").alias("kind"), "car", "parent",
+        F.when(wins, F.col("res.id")).alias("id"), F.when(wins, F.col("res.name")).alias("name"),
+        F.when(wins, from_text).alias("matched_from"), F.when(wins, F.concat(prefix, "res.method")).alias("method"),
+        F.col("res.status").alias("status"),
+        *[F.when(~wins, F.col(c)).alias(c) for c in ("label", "value", "ord")],
+        F.when(~wins, F.col("res.candidates")).alias("candidates"),
     )
-    loose = unmapped.select(F.lit("unmapped").alias("kind"), "car", "label", "value", "ord")
-    return resolved.unionByName(unresolved, allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
+    return out.unionByName(loose, allowMissingColumns=True)
 
 
 def mandatory_gaps(cars: DataFrame, filled: DataFrame, mandatory: DataFrame) -> DataFrame:
