@@ -172,7 +172,8 @@ def _bags(docs: DataFrame, id_col: str, text: str, nodes: DataFrame, size: int)
 
 
 def _sketches(bags: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, size, sketch) of the nodes: how many shingles fall in each hash class."""
+    """(node, size, sketch) of the nodes, and maybe of others: how many shingles fall in each hash
+    class. Sketches are made where the bags lie, so no bag is dealt by node for them."""
     kind = bags.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,8 @@ def _sketches(bags: DataFrame, nodes: DataFrame) -> DataFrame:
                 out.append(np.minimum(classes, 65535).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["node", "size", "sketch"])
 
-    return _of(bags, "node", nodes).join(nodes.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi").mapInArrow(run, f"node {kind}, size long, sketch binary")
+    # Nodes that share a cell with a wanted one come along; the join with the buckets drops them.
+    return _of(bags, "node", nodes).mapInArrow(run, f"node {kind}, size long, sketch binary")
 
 
 def bounds(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -249,11 +251,11 @@ def _near_pairs(opened: DataFrame, sketches: DataFrame, threshold: float, best:
     """Pairs (a, b, more) of two components in a bucket whose bound reaches the threshold. With
     ``best``, only so many for each node and foreign component, the highest bounds; ``more`` marks
     pairs of nodes that have others."""
-    rows = opened.join(sketches.select(F.col("node").alias("m"), "size", "sketch"), F.col("node") == F.col("m")).drop("m")
     # A bucket's members in blocks; its heads in blocks as well, each sent to all blocks of members.
     n = opened.groupBy("key").agg(F.count("*").alias("all"), F.count(F.when(F.col("head"), 1)).alias("heads"))
     n = n.select(F.col("key").alias("k"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("heads") / BLOCK).cast("int").alias("cuts"))
-    rows = rows.join(n, F.col("key") == F.col("k")).drop("k")
+    rows = opened.join(n, F.col("key") == F.col("k")).drop("k")
+    rows = rows.join(sketches.select(F.col("node").alias("m"), "size", "sketch"), F.col("node") == F.col("m")).drop("m")
     # Buckets of one block are dealt by many in a cell; a larger one has cells of its own.
     cells = max(1, opened.count() // BLOCK)
     alone = (F.col("blocks") > 1) | (F.col("cuts") > 1)
@@ -305,13 +307,35 @@ def _near_pairs(opened: DataFrame, sketches: DataFrame, threshold: float, best:
     return met.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node) of the pairs that had others and are still in two components."""
+    more = pairs.filter("more")
+    for side in ("a", "b"):
+        of = labels.select(F.col("node").alias(f"n{side}"), F.col("label").alias(f"l{side}"))
+        more = more.join(of, F.col(side) == F.col(f"n{side}"), "left")
+    more = more.filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    return more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+
+
+def _buckets_of(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All members of the buckets that hold one of the nodes.
+
+    A pair left out of the first turn has a node with more pairs to the other's component than
+    ``BEST``. If this node is apart from none of those compared, the pair lies in one component;
+    else the node is among ``nodes``, and the pair's bucket is kept whole.
+    """
+    keys = members.join(nodes.select(F.col("node").alias("m")), F.col("node") == F.col("m"), "left_semi")
+    return members.join(keys.select(F.col("key").alias("k")).distinct(), F.col("key") == F.col("k"), "left_semi")
+
+
 def _links(docs: DataFrame, id_col: str, text: str, members: DataFrame, size: int, threshold: float) -> DataFrame:
     """(node, label) from the buckets (key, node, n)."""
     bags = settle(_bags(docs, id_col, text, members.select("node").distinct(), size))
     links = settle(_verified(settle(_central(members)), bags, threshold))
     labels = settle(components(links))
+    left = members
     for best in (BEST, None):
-        opened = settle(_open(members, labels))
+        opened = settle(_open(left, labels))
         if opened.isEmpty():
             break
         sketches = _sketches(bags, opened.select("node").distinct())
@@ -320,13 +344,12 @@ def _links(docs: DataFrame, id_col: str, text: str, members: DataFrame, size: in
         if not found.isEmpty():
             links = links.union(found)
             labels = settle(components(links))
-        # The second turn is for nodes that had further pairs and are still in another component.
-        apart = pairs.filter("more")
-        for side in ("a", "b"):
-            of = labels.select(F.col("node").alias(f"n{side}"), F.col("label").alias(f"l{side}"))
-            apart = apart.join(of, F.col(side) == F.col(f"n{side}"), "left")
-        if apart.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).isEmpty():
+        if best is None:
+            break
+        apart = settle(_apart(pairs, labels))
+        if apart.isEmpty():
             break
+        left = _buckets_of(members, apart)
     return labels
 
 

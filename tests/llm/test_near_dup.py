@@ -108,6 +108,41 @@ def test_blocks_do_not_change_classes(documents, monkeypatch):
     assert got(documents(rows)) == brute(rows)
 
 
+def test_second_turn_keeps_the_buckets_of_nodes_apart(spark):
+    members = spark.createDataFrame([(7, 1, 3), (7, 2, 3), (7, 3, 3), (8, 3, 2), (8, 4, 2), (9, 5, 2), (9, 6, 2)], "key long, node long, n long")
+    pairs = spark.createDataFrame([(1, 2, True), (3, 4, False), (5, 6, True)], "a long, b long, more boolean")
+    labels = spark.createDataFrame([(5, 5), (6, 5)], "node long, label long")
+    apart = nd._apart(pairs, labels)
+    assert sorted(r.node for r in apart.collect()) == [1, 2]  # 5 and 6 were joined since, 3 and 4 had no others
+    assert sorted((r.key, r.node, r.n) for r in nd._buckets_of(members, apart).collect()) == [(7, 1, 3), (7, 2, 3), (7, 3, 3)]
+
+
+def test_turns_end_where_no_node_is_apart(documents, monkeypatch):
+    """The second turn reads no bucket again that the first has settled."""
+    seen, own = [], nd._near_pairs
+    monkeypatch.setattr(nd, "_near_pairs", lambda opened, *a: (seen.append(opened.count()), own(opened, *a))[1])
+    monkeypatch.setattr(nd, "BEST", 1)
+    # Sketches in one class bound by size alone, so unlike texts of one length stay apart.
+    monkeypatch.setattr(nd, "CLASSES", 1)
+    r = random.Random(4)
+    rows = []
+    for family in range(6):
+        words = prose(r, 60)
+        for i in range(5):  # a fifth of the words differ: buckets are shared, links aren't
+            rows.append((len(rows), " ".join(words[:48] + [f"v{family}x{i}w{j}" for j in range(12)])))
+    words = prose(r, 90)
+    rows += [(100 + i, " ".join(words + [f"z{i}"])) for i in range(4)]
+    assert got(documents(rows)) == brute(rows)
+    assert len(seen) < 2 or seen[1] <= seen[0]
+
+
+def test_sketches_deal_no_bags(spark):
+    bags = spark.createDataFrame([(1, bytes(16)), (2, bytes(8))], "node long, bag binary")
+    made = nd._sketches(bags, bags.select("node").filter("node = 1"))
+    assert {r.node: r["size"] for r in made.collect()}[1] == 2
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1  # the broadcast cells
+
+
 def test_bounds_hold():
     r = np.random.default_rng(0)
     bags = [np.sort(r.integers(0, 40, r.integers(1, 90)).astype(np.uint64)) for _ in range(30)]
