@@ -58,7 +58,8 @@ def resolve_colours(
     rules' own result.
     """
     reduced = F.when(F.col("parent") == "Color", tx.primary_colour(F.col("raw"))).otherwise(F.col("raw"))
-    asked = colours.select("parent", "raw").distinct().select("parent", "raw", tx.sealed(reduced).alias("value"))
+    # The resolution asks for the distinct values in several jobs; what they are read off is read once.
+    asked = settle(colours.select("parent", "raw").distinct().select("parent", "raw", tx.sealed(reduced).alias("value")))
     ruled = asked.join(settle(resolve_spec_values(asked.filter("value != ''"), catalog)), ["parent", "value"], "left")
     empty = tx.strip(F.col("raw")) == ""
     blank = _result(F.lit("missing"), F.lit("empty"))
@@ -122,9 +123,13 @@ def vehicle_colours(
     read = F.col("consulted") & ~F.col("several")
     for side, tag in (("exterior", "ext"), ("interior", "int")):
         c = c.withColumn(f"{tag}_raw", F.coalesce(f"{tag}0", F.when(read, F.col(f"f.{side}"))))
-    wanted = c.select(F.lit("Color").alias("parent"), F.col("ext_raw").alias("raw")).unionByName(
-        c.select(F.lit("Interior Color").alias("parent"), F.col("int_raw").alias("raw"))
-    ).filter("raw IS NOT NULL")
+    # Cars are parsed once: their colours are asked for, and the results joined, from the written rows.
+    c = settle(c)
+    sides = F.array(*[
+        F.struct(F.lit(parent).alias("parent"), F.col(raw).alias("raw"))
+        for parent, raw in (("Color", "ext_raw"), ("Interior Color", "int_raw"))
+    ])
+    wanted = c.select(F.inline(sides)).filter("raw IS NOT NULL")
     found = settle(resolve_colours(wanted, catalog, cache, answers))
     c = c.drop("parent")
     for parent, tag in (("Color", "ext"), ("Interior Color", "int")):

@@ -124,16 +124,20 @@ def colour_resolve(spark, sf):
 
 def vehicle_fields(spark, sf):
     """Description fields with colours given, parsed or read off the folder."""
-    cars = modelcode.parse_descriptions(table(spark, sf, "car_strings"), "car_string").select(
+    # A file of cars is few tasks by its bytes; the rows are dealt out before their texts are parsed.
+    n_tasks = 4 * spark.sparkContext.defaultParallelism
+    strings = table(spark, sf, "car_strings").withColumn(
+        "folder_path", F.concat(F.lit("lib/f"), (F.col("car_id") % 700).cast("string"), F.lit("/GREY INSIDE BLACK 26"))
+    )
+    cars = modelcode.parse_descriptions(strings.repartition(n_tasks), "car_string").select(
         F.col("car_id").alias("car"), "fields.brand", "fields.year",
         F.when(F.col("car_id") % 5 == 0, F.lit("White")).alias("given_exterior"), F.lit(None).cast("string").alias("given_interior"),
-        F.col("fields.exterior_color").alias("exterior_color"), F.col("fields.interior_color").alias("interior_color"),
-        F.concat(F.lit("lib/f"), (F.col("car_id") % 700).cast("string"), F.lit("/GREY INSIDE BLACK 26")).alias("folder_path"),
+        F.col("fields.exterior_color").alias("exterior_color"), F.col("fields.interior_color").alias("interior_color"), "folder_path",
     )
     leaves = table(spark, sf, "leaf_names").select(
         F.concat(F.lit("lib/f"), (F.col("car_id") % 1100).cast("string"), F.lit("/"), F.col("leaf")).alias("path")
     )
-    options = library.colour_options(cars.select(F.col("folder_path").alias("path")), leaves)
+    options = library.colour_options(strings.select(F.col("folder_path").alias("path")), leaves.repartition(n_tasks))
     out = colours.vehicle_colours(cars, options, _spec_catalog(spark, sf), _cache(spark, sf))
     return out.select(
         "car", "brand", "year", "ext_raw", "int_raw", F.col("ext_res.status").alias("ext_status"), F.col("ext_res.method").alias("ext_method"),
