@@ -16,6 +16,9 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
 
+#: Bytes of a word that are hashed one place at a time over all words.
+HEAD = 32
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -65,16 +68,27 @@ class Slice:
         """A 64-bit multilinear hash of each word's bytes, or of its first ``upto`` bytes."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        lo = self.starts[0]
-        place = np.arange(lo, len(self.data)) - np.repeat(self.starts, np.diff(self.starts, append=len(self.data)))
-        longest = int((self.ends - self.starts).max())
-        factors = stream(longest + 1, seed)
-        bytes_ = self.data[lo:]
-        terms = (bytes_.astype(np.uint64) + np.uint64(1)) * factors[np.minimum(place, longest)]
-        terms[_SPACE[bytes_]] = 0
+        length = self.ends - self.starts
+        factors = stream(int(length.max()) + 1, seed)
         if upto is not None:
-            terms[place >= upto] = 0
-        return mix64(np.add.reduceat(terms, self.starts - lo))
+            length = np.minimum(length, upto)
+        # Byte by byte over the words that have it, longer words first; what lies beyond HEAD in one go.
+        head = np.minimum(length, HEAD + 1)
+        order = np.argsort((HEAD + 1 - head).astype(np.uint8), kind="stable")
+        at, length = self.starts[order], length[order]
+        longer = len(at) - np.cumsum(np.bincount(head, minlength=HEAD + 2))
+        total = np.zeros(len(at), np.uint64)
+        for j, n in enumerate(longer[: min(HEAD, int(head.max()))].tolist()):
+            total[:n] += (self.data[at[:n] + j].astype(np.uint64) + np.uint64(1)) * factors[j]
+        if n := int(longer[HEAD]):
+            rest = length[:n] - HEAD
+            begin = np.cumsum(rest) - rest
+            place = np.arange(HEAD, HEAD + int(rest.sum())) - np.repeat(begin, rest)
+            bytes_ = self.data[np.repeat(at[:n], rest) + place]
+            total[:n] += np.add.reduceat((bytes_.astype(np.uint64) + np.uint64(1)) * factors[place], begin)
+        out = np.empty(len(at), np.uint64)
+        out[order] = total
+        return mix64(out)
 
     def shingles(self, words: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of each run of ``size`` words inside one text."""

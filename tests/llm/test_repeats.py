@@ -70,6 +70,41 @@ def test_shards_locate_the_same():
     assert whole == every
 
 
+def test_automata_read_only_runs_of_known_words(monkeypatch):
+    """Words that no window holds leave an automaton at its root, so they aren't read by any shard."""
+    read, inner = [], repeats.ahocorasick.Automaton
+
+    class Counted:
+        def __init__(self, *a):
+            self.automaton = inner(*a)
+
+        def __getattr__(self, name):
+            return getattr(self.automaton, name)
+
+        def iter(self, signs):
+            read.append(len(signs))
+            return self.automaton.iter(signs)
+
+    monkeypatch.setattr(repeats.ahocorasick, "Automaton", Counted)
+    passage = [b"p%d" % i for i in range(20)]
+    texts = [[b"own%d_%d" % (d, i) for i in range(400)] + passage[: 20 if d < 2 else 12] + [b"end%d" % d] for d in range(50)]
+    windows = [(0, 400 + k) for k in range(8)]
+    got = sorted(repeats.locate(texts, windows, np.arange(8), 3))
+    assert got == [(d, 400 + k, k) for d in (0, 1) for k in range(8)]
+    # Three shards, each of which reads the passage twice: two signs a word, and a word behind each.
+    assert sum(read) <= 3 * 2 * 2 * 21
+
+
+@pytest.mark.parametrize("values", [1, 3, 50])
+def test_distinct_pairs(values):
+    r = np.random.default_rng(values)
+    a, b = r.integers(-values, values, 400) * 2**56, np.sort(r.integers(0, 9, 400)).astype(np.int32)
+    one = repeats._distinct_pairs(a, b)
+    want = sorted(set(zip(a.tolist(), b.tolist(), strict=True)))
+    assert sorted(zip(a[one].tolist(), b[one].tolist(), strict=True)) == want
+    assert len(repeats._distinct_pairs(a[:0], b[:0])) == 0
+
+
 def test_hot_passage(documents):
     r = random.Random(1)
     hot = " ".join(f"hot{i}" for i in range(25))
