@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotledger.functions import replies as rp
 from lotledger.functions import text as tx
-from lotledger.session import merged
+from lotledger.session import merged, settle
 
 TRUNCATED_NOTE = (
     "TRUNCATED: the spec sheet was longer than the model's output budget. Later specification rows and "
@@ -36,7 +36,7 @@ def judge_replies(replies: DataFrame, content: str = "content", finish: str = "f
     df = df.withColumn("__whole", F.try_parse_json("__body").isNotNull())
     cut = F.coalesce(F.col(finish).isin("length", "max_tokens"), F.lit(False))
     blank = tx.strip(F.col(content)) == ""
-    df = rp.recover_json(df.withColumn("__try", F.when(cut | F.col("__whole"), F.col("__body"))), "__try", "__rec")
+    df = rp.recover_json(df.withColumn("__try", F.when(cut | F.col("__whole"), F.col("__body"))), "__try", "__rec", F.col("__whole"))
     df = df.withColumn("truncated", cut & ~F.col("__whole") & ~blank)
     df = df.select("*", tx.sealed(rp.shape_issues(F.col("__rec.json"))).alias("__issues"))
     error = (
@@ -63,7 +63,8 @@ def extraction_report(judged: DataFrame) -> DataFrame:
     usable = F.col("json").isNotNull()
     pick = F.struct("attempt", "json", "truncated", "dropped")
     order = candidate_order(F.col("pdf"), F.col("search_key"), F.col("pdf_ord"))
-    pdfs = (
+    # The stop is joined back to the PDFs: they are settled, so that replies are judged once.
+    pdfs = settle(
         judged.groupBy("car", "pdf", "pdf_ord", "search_key")
         .agg(
             F.min_by(pick, F.when(usable, F.col("attempt"))).alias("won"),

@@ -41,7 +41,7 @@ def reply_shape(spark, sf):
 
 
 def _report(spark, sf):
-    return attempts.extraction_report(attempts.judge_replies(table(spark, sf, "sheet_replies")))
+    return attempts.extraction_report(attempts.judge_replies(table(spark, sf, "sheet_replies", deal=True)))
 
 
 def extraction_report(spark, sf):
